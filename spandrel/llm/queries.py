@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op3_bpe
+from .chat import op5_chat_format
 from .quality import OP8_SQL, op8_quality_rules
+from .secrets import op2_secret_scan
 from .sharding import op1_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_secret_scan": op2_secret_scan,
     "op3_bpe": op3_bpe,
+    "op5_chat_format": op5_chat_format,
     "op8_quality_rules": op8_quality_rules,
 }
 
