@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op3_bpe
 from .chat import op5_chat_format
+from .decontamination import OP9_SQL, op9_decontamination
 from .quality import OP8_SQL, op8_quality_rules
 from .secrets import op2_secret_scan
 from .sharding import op1_sharding
@@ -18,8 +19,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op5_chat_format": op5_chat_format,
     "op8_quality_rules": op8_quality_rules,
+    "op9_decontamination": op9_decontamination,
 }
 
 ORACLES: dict[str, str] = {
     "op8_quality_rules": OP8_SQL,
+    "op9_decontamination": OP9_SQL,
 }
