@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op3_bpe
 from .chat import op5_chat_format
 from .decontamination import OP9_SQL, op9_decontamination
+from .html_text import op6_html_text
+from .licenses import op7_license_scan
 from .quality import OP8_SQL, op8_quality_rules
 from .secrets import op2_secret_scan
 from .sharding import op1_sharding
@@ -18,6 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
     "op3_bpe": op3_bpe,
     "op5_chat_format": op5_chat_format,
+    "op6_html_text": op6_html_text,
+    "op7_license_scan": op7_license_scan,
     "op8_quality_rules": op8_quality_rules,
     "op9_decontamination": op9_decontamination,
 }
