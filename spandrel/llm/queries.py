@@ -10,6 +10,7 @@ from .bpe import op3_bpe
 from .chat import op5_chat_format
 from .decontamination import OP9_SQL, op9_decontamination
 from .html_text import op6_html_text
+from .jaccard_join import op4_jaccard_join
 from .licenses import op7_license_scan
 from .quality import OP8_SQL, op8_quality_rules
 from .secrets import op2_secret_scan
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_secret_scan": op2_secret_scan,
     "op3_bpe": op3_bpe,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_chat_format": op5_chat_format,
     "op6_html_text": op6_html_text,
     "op7_license_scan": op7_license_scan,
