@@ -12,6 +12,7 @@ from .decontamination import OP9_SQL, op9_decontamination
 from .html_text import op6_html_text
 from .jaccard_join import op4_jaccard_join
 from .licenses import op7_license_scan
+from .lm_scoring import op10_lm_scoring
 from .quality import OP8_SQL, op8_quality_rules
 from .secrets import op2_secret_scan
 from .sharding import op1_sharding
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_license_scan": op7_license_scan,
     "op8_quality_rules": op8_quality_rules,
     "op9_decontamination": op9_decontamination,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 ORACLES: dict[str, str] = {
