@@ -33,11 +33,13 @@ class Kind:
     least: int
 
 
-#: Fixed patterns of the base kinds, in the order in which spans that start together are listed.
+#: Fixed patterns of the base kinds, in the order in which spans that start together are listed. Where the whole
+#: match decides, its least length is in the pattern: a run that is too short holds no longer one, so the matches are
+#: the same and the many short runs cost nothing.
 KINDS = (
     Kind("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
-    Kind("access", r"AKIA[A-Z0-9]+", 0, 16),
-    Kind("hex", r"[0-9a-f]+", 0, 32),
+    Kind("access", r"AKIA[A-Z0-9]{12,}", 0, 16),
+    Kind("hex", r"(?<![0-9a-f])[0-9a-f]{32,}", 0, 32),
 )
 
 
@@ -59,7 +61,7 @@ CLASSES = (
     CharacterClass("base36", _LOWER + _DIGITS, 3.4),
     CharacterClass("base64", _UPPER + _LOWER + _DIGITS + "+/_=-", 3.7),
 )
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 #: What is never a secret: no digit or no letter, UUIDs, placeholders, runs of one character, paths and slugs of plain words.
 ALLOWED = (
     r"^[^0-9]*$",
