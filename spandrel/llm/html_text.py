@@ -46,8 +46,8 @@ MAIN = re.compile(r"(?:^|[^a-z])(?:article|main|content|entry|post|story|body-?t
 _OFF, _ON = frozenset("nav aside footer menu".split()), frozenset("article main".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(" + HIDDEN.replace(" ", "|") + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
-    r"|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    r"|<(" + HIDDEN.replace(" ", "|") + r")\b(?:[^>\"'=]|=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[=\"'])*>"
+    r"|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"'=]|=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[=\"'])*)(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
