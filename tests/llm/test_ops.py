@@ -1,0 +1,428 @@
+"""The text operators against brute force, libraries and round trips, with hard inputs."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from spandrel.llm import bpe, chat, common, decontamination, html_text, jaccard_join, licenses, lm_scoring, quality, secrets, sharding
+from spandrel.llm.components import components
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+LONG = "word " * 40_000
+
+
+def texts(n=60, seed=1):
+    rng = random.Random(seed)
+    words = ["".join(rng.choices("abcdefgh é", k=rng.randint(2, 8))).strip() or "x" for _ in range(120)]
+    return [" ".join(rng.choices(words, k=rng.randint(6, 120))) for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def rows():
+    base = texts()
+    near = base[0].split(" ")
+    near[3] = "changed"
+    out = [*base, base[0], base[0], " ".join(near), base[1] + " tail", "", None, "   \n\t ", "one two", "one two", LONG, LONG + "end", "Tab\tand\vtext x  y"]
+    return [(i, t) for i, t in enumerate(out)] + [(3, base[3]), (None, "null key text here for all"), (None, None)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows], DOCS)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+# sharding
+
+
+def test_sharding_law_and_slots(docs, empty, rows):
+    got = sharding.place(docs.withColumn("shard", F.lit("clash")), sharding.Topology.balanced(8)).collect()
+    assert len(got) == len(rows)
+    by = defaultdict(list)
+    for r in got:
+        by[r.shard].append(r.slot)
+        assert r.grown_shard in (r.shard, 8) and 0 <= r.shard < 8 and r.law == "key"
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows)
+    keys = defaultdict(set)
+    for r in got:
+        keys[r.doc_id].add(r.shard)
+    assert all(len(v) == 1 for v in keys.values())
+    assert sharding.place(empty, sharding.Topology.balanced(8)).count() == 0
+
+
+def test_sharding_confines_movement(spark):
+    ids = spark.range(4000).withColumnRenamed("id", "doc_id")
+    before = sharding.Topology.balanced(8)
+    after = sharding.Topology({**before.weights, (0, 1, 2): 2.0})
+    moved = ids.select(sharding.shard_of(F.col("doc_id"), before).alias("a"), sharding.shard_of(F.col("doc_id"), after).alias("b")).filter("a <> b").collect()
+    assert moved and all(r.b // 4 == 0 for r in moved)  # only into the region whose weight grew
+    assert all(r.b in (2, 3) for r in moved if r.a // 4 == 0)  # within it only into the rack
+    share = ids.groupBy(sharding.shard_of(F.col("doc_id"), before).alias("s")).count().collect()
+    assert len(share) == 8 and all(abs(r["count"] - 500) < 100 for r in share)
+
+
+# secrets
+
+
+def brute_spans(text):
+    t = text or ""
+    kinds = [
+        ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 8),
+        ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 16),
+        ("hex", re.compile(r"[0-9a-f]+"), 0, 32),
+    ]
+    base = sorted((m.start(), k, m.end(), name) for k, (name, p, g, least) in enumerate(kinds) for m in p.finditer(t) if len(m[g]) >= least)
+    allowed = [re.compile(a) for a in secrets.ALLOWED]
+    more = list(base)
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", t):
+        if any(b[0] < m.end() and m.start() < b[2] for b in base) or any(a.search(m[0]) for a in allowed):
+            continue
+        for c in secrets.CLASSES:
+            if set(m[0]) <= set(c.alphabet):
+                w = secrets.WINDOW
+                best = max(-sum(k / w * math.log2(k / w) for k in Counter(m[0][i : i + w]).values()) for i in range(len(m[0]) - w + 1))
+                if best >= c.bits - 1e-9:
+                    more.append((m.start(), 3, m.end(), "entropy"))
+                break
+    join = lambda s: ",".join(f"{x[3]}:{x[0]}:{x[2]}" for x in sorted(s))
+    return join(base), join(more)
+
+
+HARD = [
+    "", None, "é🙂 password = 'abcdefgh12' AKIAABCDEFGHIJKL12 " + "0123456789abcdef" * 3, "PASSWORD:'short' secret=token:abcdefghij", "AKIAAKIA AKIA12345678901",
+    "key Zk3J9qLm2Xv8Pq4Rt7Yw1Bn5 550e8400-e29b-41d4-a716-446655440000 path/to/the/file/number/12", "deadbeef" * 4 + "api_key=" + "deadbeef" * 5,
+    " ".join(f"token=abcdefgh{i}" for i in range(700)), "aB3dE5gH7jK9mN1pQ3sT5" * 60, "a" * 50_000, "EXAMPLEkey1234567890abcdEF", "toKen: \"x.y-z_12345\"",
+]
+
+
+def test_secrets_equal_brute_force(spark, docs, rows, empty):
+    df = spark.createDataFrame(list(enumerate(HARD)), "doc_id long, text string").withColumn("spans", F.lit("clash"))
+    found = secrets.scan(df).select("doc_id", secrets.listed(F.col("base_spans")), secrets.listed(F.col("spans"))).collect()
+    assert {r[0]: (r[1], r[2]) for r in found} == {i: brute_spans(t) for i, t in enumerate(HARD)}
+    assert all(r[0] == "" for r in secrets.scan(docs).select(secrets.listed(F.col("spans"))).collect())
+    assert secrets.scan(empty).count() == 0
+    assert not any("Python" in x or "Arrow" in x for x in secrets.scan(df)._jdf.queryExecution().executedPlan().toString().split("\n"))
+
+
+def test_redaction_masks_all_and_nothing_else(spark, docs):
+    df = spark.createDataFrame(list(enumerate(HARD)), "doc_id long, text string")
+    for r, t in zip(secrets.redact(df).orderBy("doc_id").collect(), HARD, strict=True):
+        spans = [tuple(map(int, s.split(":")[1:])) for s in brute_spans(t)[1].split(",") if s]
+        want, at = "", 0
+        for a, b in sorted(spans):
+            if a >= at:
+                want += (t or "")[at:a] + "[SECRET]"
+            at = max(at, b)
+        assert r.text == (None if t is None else want + t[at:])
+    assert sorted(map(str, secrets.redact(docs).collect())) == sorted(map(str, docs.collect()))
+
+
+# BPE
+
+
+def test_bpe_equals_the_library(spark, docs, rows, empty):
+    tokenizers = pytest.importorskip("tokenizers")
+    pytest.importorskip("public_tokenizers")
+    path = bpe.vocabulary_path()
+    library = tokenizers.Tokenizer.from_file(path)
+    odd = ["a<|endoftext|>b <|endoftext|><|endoftext|>", "  \n\n x    y z", "'s 't I'LL don't", "x" * 5000, "ab" * 3000 + "é" * 700, "\u0000\u0085​﻿", "漢字かな🙂👩‍👩‍👧 ٣٤ ²½ Ⅷ", " " * 700, *[t for _, t in rows]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "doc_id long, text string").withColumn("token_ids", F.lit(1))
+    for r in bpe.encode_decode(df, path).collect():
+        ids = library.encode(r.text or "", add_special_tokens=False).ids
+        assert bytes(r.token_ids) == b"".join(i.to_bytes(4, "little") for i in ids)
+        assert r.decoded_text == library.decode(ids, skip_special_tokens=False) == (r.text or "")
+    assert bpe.encode_decode(empty, path).count() == 0
+
+
+def test_short_and_long_words_merge_alike():
+    pytest.importorskip("public_tokenizers")
+    codec = bpe.Codec(open(bpe.vocabulary_path(), encoding="utf-8").read())
+    rng = random.Random(5)
+    for _ in range(300):
+        word = bytes(rng.choices(b"thein aros", k=rng.randint(1, 120)))
+        assert codec._short([codec.byte_id[b] for b in word]) == codec._long([codec.byte_id[b] for b in word])
+
+
+# Jaccard join
+
+
+def brute_classes(rows, threshold=0.8):
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root, links = list(range(len(rows))), [0] * len(rows)
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in range(len(rows)):
+        for b in range(a):
+            n = len(sets[a] & sets[b])
+            if n and n >= threshold * len(sets[a] | sets[b]) - 1e-9:
+                links[a] += 1
+                links[b] += 1
+                root[find(a)] = find(b)
+    return [find(i) for i in range(len(rows))], links
+
+
+@pytest.mark.parametrize("block,limit", [(448, 200_000), (2, 0)])
+def test_jaccard_join_equals_brute_force(spark, docs, rows, block, limit):
+    keyed = [(i, t) for i, t in rows if i is not None]
+    group, links = brute_classes(keyed)
+    got = jaccard_join.similar(docs.filter("doc_id is not null").withColumn("class_id", F.lit("clash")), block=block, broadcast_rows=limit).collect()
+    want = Counter()
+    for k, (i, _) in enumerate(keyed):
+        least = min(keyed[j][0] for j in range(len(keyed)) if group[j] == group[k])
+        want[(i, least, links[k])] += 1
+    assert Counter((r.doc_id, r.class_id, r.n_links) for r in got) == want
+
+
+def test_one_of_each_class_stays(docs, rows, empty):
+    keyed = [(i, t) for i, t in rows if i is not None]
+    group, _ = brute_classes(keyed)
+    kept = jaccard_join.keep_one(docs.filter("doc_id is not null"))
+    assert kept.columns == docs.columns
+    assert kept.count() == len(set(group))
+    assert jaccard_join.keep_one(docs).filter("doc_id is null").count() == 2
+    assert jaccard_join.keep_one(empty).count() == 0 == jaccard_join.similar(empty).count()
+
+
+def test_forest_depth_meets_the_recall():
+    d = jaccard_join.depth_for(0.8)
+    assert 1 - (1 - 0.8**d) ** jaccard_join.TREES >= jaccard_join.RECALL
+    assert 1 - (1 - 0.8 ** (d + 1)) ** jaccard_join.TREES < jaccard_join.RECALL
+
+
+def test_components(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)], "a long, b long")
+    got = {r.node: r.label for r in components(edges).collect()}
+    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
+
+
+# chat
+
+
+def test_chats_read_back(spark):
+    t = [(1, 0, "user", "a\\b<s>"), (1, 1, "to[ROLE]ol", None), (1, 1, None, "\\"), (1, 2, "assistant", "é</s>\\"), (None, None, "assistant", "z"), (2, 1, "assistant", ""), (2, 0, "system", "<<s>>[INST][TEXT]"), (2, 1, "assistant", ""), (3, 0, "user", LONG)]
+    t += [(9, i, "assistant" if i % 2 else "user", f"turn [INST] {i}") for i in range(3000)]
+    df = spark.createDataFrame(t, "conv_id long, turn long, role string, text string").repartition(7)
+    by = defaultdict(list)
+    for c, n, r, x in t:
+        by[c].append(((n is not None, n or 0), (r is not None, r or ""), (x is not None, x or "")))
+    got = {r.conv_id: r for r in chat.format_chats(df.withColumn("formatted", F.lit(1))).collect()}
+    assert set(got) == set(by)
+    for c, turns in by.items():
+        want = [(r[1], x[1]) for _, r, x in sorted(turns)]
+        r = got[c]
+        assert list(chat.parse(r.formatted)) == want and r.n_turns == len(want)
+        raw = r.formatted.encode()
+        assert [chat.unescape(raw[a:b].decode()) for a, b in zip(r.loss_start, r.loss_end)] == [x for role, x in want if role == "assistant"]
+    assert chat.format_chats(df.limit(0)).count() == 0
+
+
+def test_escaping_is_reversible():
+    rng = random.Random(3)
+    for _ in range(500):
+        s = "".join(rng.choice([*chat.CONTROLS, "\\", " ", "x", "<", "[", "]"]) for _ in range(rng.randint(0, 12)))
+        f = f"{chat.OPEN['user']}{chat.escape(s)}{chat.CLOSE['user']}"
+        assert list(chat.parse(f)) == [("user", s)]
+
+
+# HTML
+
+PAGE = """<html><head><title>T</title><script>var t="</p>";</script></head><body><header><h1>Site</h1></header><nav><a href=x>A</a></nav>
+<div class="cookie-notice"><p>We use cookies.</p></div><article><h1>Head &amp; title</h1><p>First&nbsp;  line
+of text.<br>More.<div class=ad>Buy now</div><p>Second &lt;b&gt; part.<form>name <input></form><section id="comments"><p>Great post!</p></section></article>
+<aside>side</aside><footer>&copy; me</footer>"""
+
+
+def test_main_text():
+    assert html_text.main_text(PAGE) == "Head & title\nFirst line of text. More.\nSecond <b> part."
+    assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<p unclosed \"") == html_text.main_text("<script>x") == ""
+    assert html_text.main_text("plain words only.") == "plain words only."
+    assert html_text.main_text("<p>" * 2000 + "deep text here." + "</div>" * 10) == "deep text here."
+
+
+def test_minimum_cut_is_minimal():
+    rng = random.Random(9)
+    for _ in range(200):
+        n = rng.randint(1, 8)
+        cost = [rng.choice([0, rng.uniform(-3, 3)]) for _ in range(n)]
+        edges = [(a, b, rng.uniform(0, 2)) for a in range(n) for b in range(a) if rng.random() < 0.6]
+        total = lambda l: sum(c for c, y in zip(cost, l) if y) + sum(w for a, b, w in edges if l[a] != l[b])  # noqa: B023,E731,E741
+        best = min(total([bool(m >> i & 1) for i in range(n)]) for m in range(1 << n))
+        assert total(html_text.minimum_cut(cost, edges)) == pytest.approx(best)
+
+
+def test_html_extraction_on_a_table(spark):
+    df = spark.createDataFrame([(1, PAGE), (2, None), (3, ""), (4, PAGE)], "page_id long, html string").withColumn("main_text", F.lit(0))
+    got = {r.page_id: r.main_text for r in html_text.extract(df).collect()}
+    assert got[1] == got[4] == html_text.main_text(PAGE) and got[2] == got[3] == ""
+    assert html_text.extract(df.limit(0)).count() == 0
+
+
+def test_classifier_learns_from_marked_pages():
+    counted = Counter()
+    for b in html_text.blocks_of(PAGE * 1):
+        if b.node.off or b.node.on:
+            for hide in (False, True):
+                counted[(html_text.features(b, hide), int(b.node.on and not b.node.off))] += 1
+    w = html_text.fit([(*k, n) for k, n in counted.items()])
+    assert len(w) == html_text.WIDTH and w[1] < 0 < w[2]
+    assert html_text.fit([]) == html_text.PRIOR
+
+
+# licenses
+
+
+def test_licenses_equal_exact_search(spark, docs):
+    made = [licenses.Template(*t) for t in licenses.TEMPLATES]
+    short = [(n, w) for n, w in licenses.TEMPLATES if len(w) < 80]
+    rng = random.Random(2)
+    for _ in range(150):
+        picked = rng.sample(short, rng.randint(0, 3))
+        lines = [*texts(3, rng.random()), *(rng.choice([w, "see: " + w, w.upper(), w.rstrip(".") + ","]) for _, w in picked)]
+        rng.shuffle(lines)
+        text = "\n".join(lines)
+        want = []
+        for name, w in picked:
+            m = re.search(re.escape(w.rstrip(".")), text, re.I)
+            want.append((m.start(), m.end(), name))
+        assert sorted((f.start, f.end, f.license) for f in licenses.find_licenses(text, made)) == sorted(want)
+    assert licenses.find_licenses(None, made) == licenses.find_licenses("", made) == licenses.find_licenses("a license to sing", made) == []
+    long = LONG + "\n" + licenses.TEMPLATES[1][1].replace("copy", "duplicate") + "\n" + LONG
+    assert [(f.license, f.n_differences) for f in licenses.find_licenses(long, made)] == [("Apache-2.0", 1)]
+    assert licenses.find_licenses("This work is licensed under the GNU General Public License, version 9.", made) == []
+    assert licenses.scan(docs).count() == 0
+
+
+# quality
+
+
+def brute_figures(text):
+    t = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", t)
+    windows = Counter(zip(words, words[1:], words[2:]))
+    covered = {i + k for i, w in enumerate(zip(words, words[1:], words[2:])) if windows[w] > 1 for k in range(3)}
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_figures_and_cascade(spark, docs, rows, empty):
+    extra = ["a b c a b c", "x\n\nx\ny\n x", "## $ % <a>", "LOUD WORDS " * 60, "good words make a fine text about many things " * 8]
+    df = docs.unionByName(spark.createDataFrame([(900 + i, t, "", "", 0) for i, t in enumerate(extra)], DOCS)).withColumn("kept", F.lit(3))
+    got = sorted((tuple(r) for r in quality.judge(df).collect()), key=str)
+    want = []
+    for i, t in [*rows, *((900 + i, t) for i, t in enumerate(extra))]:
+        f = brute_figures(t)
+        failed = f[0] < 50 or 100 * f[4] > 50 * f[0]
+        want.append((i, *f, failed, not failed and not any(r.rejects(quality.Figures(t)) for r in quality.RULES)))
+    assert got == sorted(want, key=str)
+    assert quality.judge(empty).count() == 0 == quality.keep_good(empty).count()
+    kept = quality.keep_good(docs)
+    assert kept.columns == docs.columns and kept.count() == sum(quality.kept(t, quality.RULES) for _, t in rows)
+
+
+def test_rule_order_follows_rejections_per_cost():
+    e = [quality.Estimate("few_words", 1.0, 10), quality.Estimate("symbols", 1.0, 90), quality.Estimate("repeated_words", 9.0, 95)]
+    order = [r.name for r in quality.ordered(quality.RULES, e)]
+    assert order[:3] == ["symbols", "repeated_words", "few_words"]
+
+
+# decontamination
+
+
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_containment_equals_brute_force(spark, rows, docs, empty, limit):
+    base = [t for _, t in rows[:6]]
+    items = [(1, " ".join(base[0].split()[:14])), (2, base[1].upper()), (3, "a b c"), (4, None), (5, "never seen words stand in this item at all"), (6, "word word word word word word word"), (7, " ".join(base[2].split()[:9]) + " odd ending"), (1, "a second text of item one that is nowhere")]
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit("clash"))
+    shingles = lambda t: {tuple(w[i : i + 5]) for w in [(t or "").lower().split()] for i in range(len(w) - 4)}
+    want = set()
+    for i, t in rows:
+        for k, x in items:
+            s = shingles(x)
+            if s and len(s & shingles(t)) >= 0.8 * len(s) - 1e-9:
+                want.add((i, k, len(s & shingles(t)), len(s)))
+    found = decontamination.contaminated(docs, bench, broadcast_rows=limit)
+    assert {(r.doc_id, r.item_id, r.n_shared, r.n_item) for r in found.collect()} == want
+    left = decontamination.decontaminate(docs, bench, broadcast_rows=limit)
+    dirty = {(i, t) for i, t in rows if any(w[0] == i and shingles(dict([(k, x) for k, x in items if k == w[1]][:1])[w[1]]) and len(shingles(t)) for w in want)}
+    assert left.columns == docs.columns and left.count() == len(rows) - sum((i, t) in dirty for i, t in rows)
+    assert decontamination.contaminated(empty, bench).count() == 0 and decontamination.decontaminate(docs, bench.limit(0)).count() == len(rows)
+    assert not any("Python" in x or "Arrow" in x for x in found._jdf.queryExecution().executedPlan().toString().split("\n"))
+
+
+# language model
+
+
+@pytest.mark.parametrize("frequent", [200_000, 5])
+def test_scores(spark, docs, rows, empty, frequent):
+    held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 5 == 1
+    lower = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+    tokens = lambda t: [*(t or "").encode().translate(lower).split(), b""]
+    c = Counter()
+    for i, t in rows:
+        if not held(i):
+            c.update(tokens(t))
+    n, v = sum(c.values()), len(c)
+    got = lm_scoring.score(docs.withColumn("score", F.lit("clash")), frequent=frequent).collect()
+    key = lambda r: (str(r[0]), r[2], round(r[-1], 6))
+    want = sorted(((i, held(i), len(tokens(t)), sum(c[w] > 0 for w in tokens(t)), n, sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens(t))) for i, t in rows), key=key)
+    have = sorted((tuple(r)[:6] for r in got), key=key)
+    assert [h[:5] for h in have] == [w[:5] for w in want]
+    assert [h[5] for h in have] == pytest.approx([w[5] for w in want])
+    assert all(r.score < 0 and math.isfinite(r.score) for r in got)
+    assert lm_scoring.score(empty).count() == 0
+
+
+def test_model_is_a_distribution_and_learns():
+    words = [w.encode() for w in "the cat sat on the mat and the dog sat too".split()] * 30
+    np = pytest.importorskip("numpy")
+    tables = [np.zeros((2, 1 << size), np.int64) for size in lm_scoring.TABLE_BITS]
+    for _, slots, _, _, b in lm_scoring.Spelling([*words, b""]).steps():
+        for t, s in zip(tables, slots, strict=True):
+            np.add.at(t, (b, s), 1)
+    model = lm_scoring.Model.blank([lm_scoring._quantized(*t) for t in tables])
+    first = bytes(range(256))
+    total = sum(10 ** model.log10([bytes([c])])[0] for c in first if c not in (9, 32))
+    assert 0 < total < 1
+    before = model.log10(words[:66]).sum()
+    for _ in range(30):
+        model.learn(words[:66], 0.00125)
+    assert model.log10(words[:66]).sum() > before
+    assert model.log10([b"the", b"cat"]).sum() > model.log10([b"xqzv", b"qqjk"]).sum()
+
+
+def test_held_out_text_costs_less_than_unknown_text(spark):
+    known = [(i, t) for i, t in enumerate(texts(200, 4))]
+    df = spark.createDataFrame(known, "doc_id long, text string")
+    r = lm_scoring.score(df).groupBy("held_out").agg(F.avg("bits_per_byte").alias("b")).collect()
+    assert all(x.b < 4 for x in r)
+
+
+# shared
+
+
+def test_missing_columns_are_named(spark, docs):
+    with pytest.raises(ValueError, match="text"):
+        quality.judge(docs.drop("text"))
+    assert common.shared_dir(spark)
+
+
+def test_ids_hash():
+    assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
