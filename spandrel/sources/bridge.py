@@ -35,13 +35,13 @@ select concat('S', cast(700 + p_size as string)) as design, concat(p_brand, '/',
   h.hours as hours,
   case when p_partkey % 17 = 0 then cast(null as double) else (4 + ((p_partkey * 7 + h.i * 3) % 20)) / 16e0 end as thickness_in,
   (20 + (p_partkey % 64)) / 64e0 as ratio, 'W/D' as ratio_kind, 10e0 + 2 * (p_partkey % 6) as depth_in
-from {part} cross join (select 1 as i, 1.0e0 as hours union all select 2, 1.5e0 union all select 3, 2.0e0) h""",
+from (select *, 1 as i, 1.0e0 as hours from {part} union all select *, 2, 1.5e0 from {part} union all select *, 3, 2.0e0 from {part}) h""",
     "ul_cell": """
 select concat('S', cast(700 + p_size as string)) as design, p_partkey as seq,
   concat('W', cast(8 + 2 * (p_partkey % 10) as string), 'X', cast(10 + (p_partkey % 30) as string)) as canonical,
   case p_partkey % 5 when 0 then 'Restrained assembly' when 1 then 'Unrestrained assembly' else cast(null as string) end as condition,
   h.hours as hours, (4 + ((p_partkey * 7 + h.i * 3) % 20)) / 16e0 as thickness_in, (20 + (p_partkey % 64)) / 64e0 as ratio
-from {part} cross join (select 1 as i, 1.0e0 as hours union all select 3, 2.0e0) h where p_partkey % 6 = 1""",
+from (select *, 1 as i, 1.0e0 as hours from {part} union all select *, 3, 2.0e0 from {part}) h where p_partkey % 6 = 1""",
     "equation": """
 select concat('S', cast(700 + p_size as string)) as design, min(p_partkey) as seq, 'W/D' as factor,
   case p_size % 4 when 0 then 'h = R / (a*X + b)' when 1 then 'T = k / (X)' when 2 then 'T = a*(X) + b' else 'h = (R - c) / (k*X)' end as form,
