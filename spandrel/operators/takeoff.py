@@ -214,3 +214,63 @@ def synthetic_members(spark, bays_x: int = 4, bays_y: int = 3, bay_in: float = 3
     girders = nodes.filter(F.col("i") < bays_x).select("i", "j", F.lit("girder").alias("role"), F.lit(bay_in).alias("length_in"))
     beams = nodes.filter(F.col("j") < bays_y).select("i", "j", F.lit("beam").alias("role"), F.lit(bay_in).alias("length_in"))
     return girders.unionByName(beams)
+
+
+def line_text(spans: DataFrame) -> DataFrame:
+    """Text of each printed line (page, block, line), its spans in order."""
+    parts = F.array_sort(F.collect_list(F.struct("x", "span_id", "text")))
+    return spans.groupBy("page", "block", "line").agg(F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("text"))
+
+
+def neighbourhood(labels: DataFrame, spans: DataFrame) -> DataFrame:
+    """Text around each label: spans within max(60, 6 size) in x and y, in reading order; by buckets of 128 points."""
+    cell, radius = 128.0, F.greatest(F.lit(60.0), 6 * F.col("size"))
+    near = labels.select("span_id", "page", "size", F.col("x").alias("lx"), F.col("y").alias("ly"))
+    for axis in ("lx", "ly"):
+        near = near.withColumn(f"b{axis}", F.explode(F.sequence(F.floor((F.col(axis) - radius) / cell), F.floor((F.col(axis) + radius) / cell))))
+    s = spans.select("page", F.col("span_id").alias("other"), "x", "y", "text", F.floor(F.col("x") / cell).alias("blx"), F.floor(F.col("y") / cell).alias("bly"))
+    hit = near.join(s, ["page", "blx", "bly"]).filter((F.abs(F.col("x") - F.col("lx")) <= radius) & (F.abs(F.col("y") - F.col("ly")) <= radius) & (F.col("other") != F.col("span_id")))
+    words = F.array_sort(F.collect_list(F.struct("y", "x", "other", "text")))
+    return hit.groupBy("span_id").agg(F.array_join(F.transform(words, lambda w: w["text"]), " ").alias("around"))
+
+
+def label_context(labels: DataFrame) -> DataFrame:
+    """What a label stands in, by the text around it and whether it is stacked: schedule, legend, note or plan."""
+    around = F.upper(F.coalesce("around", F.lit("")))
+    context = (
+        F.when(around.rlike(r"\bSCHEDULE\b") | F.coalesce("stacked", F.lit(False)), "schedule")
+        .when(around.rlike(r"\b(LEGEND|ABBREVIATIONS?)\b"), "legend")
+        .when(around.rlike(r"\b(NOTES?|TYP\.? DETAIL|SEE DETAIL)\b"), "note")
+        .otherwise("plan_label")
+    )
+    return labels.withColumn("context", context)
+
+
+def corroborated(chains: DataFrame, dimensions: DataFrame, share: float = 0.02, reach: float = 60.0) -> DataFrame:
+    """Chains with the first printed dimension beside them (within reach and their ends) that agrees with their length."""
+    cell = reach * 2
+    d = dimensions.select("page", "dim_id", F.col("x").alias("dx"), F.col("y").alias("dy"), "inches").withColumn("b", F.explode(F.sequence(F.floor((F.col("dy") - reach) / cell), F.floor((F.col("dy") + reach) / cell))))
+    c = chains.withColumn("b", F.floor(F.col("y") / cell))
+    agrees = F.abs(F.col("inches") - F.col("length_in")) <= share * F.col("inches")
+    hit = c.join(d, ["page", "b"]).filter((F.abs(F.col("dy") - F.col("y")) <= reach) & F.col("dx").between(F.col("x0"), F.col("x1")) & agrees)
+    first = hit.groupBy("chain_id").agg(F.min("dim_id").alias("dim_id"))
+    return chains.join(first, "chain_id", "left").withColumn("confidence", F.least(F.col("confidence") + F.when(F.col("dim_id").isNotNull(), 0.1).otherwise(0.0), F.lit(1.0)))
+
+
+def crossings(horizontal: DataFrame, vertical: DataFrame, slack: float = 1.0) -> DataFrame:
+    """Where vertical chains (page, x, y0, y1) meet horizontal ones (page, y, x0, x1), with slack at the ends; by buckets of 64 points."""
+    cell = 64.0
+    h = horizontal.withColumn("b", F.explode(F.sequence(F.floor((F.col("x0") - slack) / cell), F.floor((F.col("x1") + slack) / cell))))
+    v = vertical.select("page", F.col("chain_id").alias("v_id"), "x", "y0", "y1").withColumn("b", F.floor(F.col("x") / cell))
+    met = h.join(v, ["page", "b"]).filter(F.col("x").between(F.col("x0") - slack, F.col("x1") + slack) & F.col("y").between(F.col("y0") - slack, F.col("y1") + slack))
+    return met.select("page", "chain_id", "v_id", "x", "y")
+
+
+def cuts_between_labels(labels: DataFrame, crossed: DataFrame) -> DataFrame:
+    """A cut between each two neighbouring labels of a chain: the crossing nearest their midpoint within 0.4 of the gap, else the midpoint for review."""
+    w = Window.partitionBy("chain_id").orderBy("x", "span_id")
+    gaps = labels.withColumn("next_x", F.lead("x").over(w)).filter("next_x > x").select("chain_id", "span_id", ((F.col("x") + F.col("next_x")) / 2).alias("mid"), (F.col("next_x") - F.col("x")).alias("gap"))
+    c = crossed.select("chain_id", F.col("x").alias("cx")).distinct()
+    off = F.abs(F.col("cx") - F.col("mid"))
+    near = gaps.join(c, "chain_id").filter(off <= 0.4 * F.col("gap")).groupBy("chain_id", "span_id").agg(F.min(F.struct(off.alias("off"), "cx")).alias("n"))
+    return gaps.join(near, ["chain_id", "span_id"], "left").select("chain_id", "span_id", F.coalesce("n.cx", "mid").alias("cut"), F.col("n").isNull().alias("needs_review"))
