@@ -8,6 +8,7 @@ cost only: a text is kept exactly if no rule rejects it.
 
 from __future__ import annotations
 
+import itertools
 import time
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
@@ -122,22 +123,26 @@ def kept(text: str | None, rules: Iterable[Rule]) -> bool:
 
 
 def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS, text: str = "text") -> list[Estimate]:
-    """Cost and rejections of each rule by itself on `rows` rows; only one row a rule reaches the driver."""
+    """Cost and rejections of each rule by itself on the first `rows` rows of the first partition that has any.
+
+    The limit lets Spark stop after that partition; only a row for each rule reaches the driver.
+    """
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        took, hits = [0.0] * len(rules), [0] * len(rules)
+        took, hits, seen = [0.0] * len(rules), [0] * len(rules), 0
         for batch in batches:
-            for value in batch.column(0).to_pylist():
-                for i, rule in enumerate(rules):
-                    start = time.perf_counter()
-                    hits[i] += rule.rejects(Figures(value))
-                    took[i] += time.perf_counter() - start
-        yield pa.RecordBatch.from_pydict({"name": [r.name for r in rules], "seconds": took, "rejected": hits})
+            values = batch.column(0).slice(0, rows - seen).to_pylist() if seen < rows else []
+            seen += len(values)
+            for value, (i, rule) in itertools.product(values, enumerate(rules)):
+                start = time.perf_counter()
+                hits[i] += rule.rejects(Figures(value))
+                took[i] += time.perf_counter() - start
+        if seen:
+            yield pa.RecordBatch.from_pydict({"name": [r.name for r in rules], "seconds": took, "rejected": hits})
 
     common.small_batches(docs.sparkSession)
-    sample = docs.select(F.col(text).alias("t")).limit(rows).mapInArrow(measure, "name string, seconds double, rejected long")
-    total = sample.groupBy("name").agg(F.sum("seconds").alias("seconds"), F.sum("rejected").alias("rejected"))
-    return [Estimate(r["name"], r["seconds"], r["rejected"]) for r in total.collect()]
+    measured = docs.select(F.col(text).alias("t")).mapInArrow(measure, "name string, seconds double, rejected long")
+    return [Estimate(r["name"], r["seconds"], r["rejected"]) for r in measured.limit(len(rules)).collect()]
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
