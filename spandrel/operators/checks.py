@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -14,9 +14,9 @@ def designs_for_role(sheets: DataFrame) -> DataFrame:
     return sheets.withColumn("designs", F.when(F.size(fit) == 0, F.col("designs")).otherwise(fit))
 
 
-def product_line(name) -> F.Column:
-    """'Isolatek Cafco 400' as 'CAFCO 400': words of makers dropped, upper case."""
-    kept = F.filter(F.split(F.trim(name), r"\s+"), lambda w: ~F.lower(w).isin("isolatek", "international", "inc", "inc.", "gcp", "carboline", "company"))
+def product_line(name: Column, makers: tuple[str, ...] = ("inc", "inc.", "company", "international")) -> Column:
+    """A product name in capitals without the words of its maker; null if nothing is left."""
+    kept = F.filter(F.split(F.trim(name), r"\s+"), lambda w: ~F.lower(w).isin(*[m.lower() for m in makers]))
     return F.nullif(F.upper(F.array_join(kept, " ")), F.lit(""))
 
 
@@ -45,7 +45,7 @@ def verdict_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("verdict").agg(F.count("*").alias("n"))
 
 
-def condition_of_tokens(tokens) -> F.Column:
+def condition_of_tokens(tokens: Column) -> Column:
     """The chart condition that printed code tokens stand for: concrete weight, and cellular or corrugated deck."""
     up = F.transform(F.coalesce(tokens, F.array().cast("array<string>")), lambda t: F.upper(t))
     weight = F.when(F.array_contains(up, "LW"), "Lightweight").when(F.array_contains(up, "NW"), "Normal Weight")

@@ -35,7 +35,7 @@ def test_scales(spark):
 
 
 def test_phrases(spark):
-    rows = spark.createDataFrame([("Unprotected Roof Deck", "Protected Roof Deck"), ("CAFCO® 400 and 300", "cafco 400"), ("x", ""), ("x", None), (None, "x")], "h string, n string")
+    rows = spark.createDataFrame([("Unprotected Roof Deck", "Protected Roof Deck"), ("SHIELD® 400 and 300", "shield 400"), ("x", ""), ("x", None), (None, "x")], "h string, n string")
     assert [r[0] for r in rows.select(T.has_phrase(F.col("h"), F.col("n"))).collect()] == [False, True, True, True, False]
 
 

@@ -13,18 +13,18 @@ QUERY = "query_id int, design string, member string, rating_hours double, restra
 def library(spark):
     charts = spark.createDataFrame(
         [
-            ("S721", "c1", 1, "W12X26", "CAFCO 300 and CAFCO 400", "Beam", "Unrestrained", None, 1.0, 0.5, None, "W12x26", 0.62),
-            ("S721", "c1", 2, "W12X26", "CAFCO 300 and CAFCO 400", "Beam", "Restrained", None, 1.5, 0.5, None, "W12x26", 0.62),
-            ("S721", "c2", 3, "W12X26", "CAFCO 400", "Beam, half flange tip", "Unrestrained", None, 1.0, 0.5625, None, "W12x26", 0.62),
-            ("S740", "c3", 4, "W8X10", "CAFCO 400", "Beam", None, None, 1.0, None, None, "W8x10", 0.4),
-            ("S740", "c3", 5, "W8X10", "CAFCO 400", "Beam", None, None, 1.0, 0.75, None, "W8x10", 0.4),
+            ("S721", "c1", 1, "W12X26", "SHIELD 300 and SHIELD 400", "Beam", "Unrestrained", None, 1.0, 0.5, None, "W12x26", 0.62),
+            ("S721", "c1", 2, "W12X26", "SHIELD 300 and SHIELD 400", "Beam", "Restrained", None, 1.5, 0.5, None, "W12x26", 0.62),
+            ("S721", "c2", 3, "W12X26", "SHIELD 400", "Beam, half flange tip", "Unrestrained", None, 1.0, 0.5625, None, "W12x26", 0.62),
+            ("S740", "c3", 4, "W8X10", "SHIELD 400", "Beam", None, None, 1.0, None, None, "W8x10", 0.4),
+            ("S740", "c3", 5, "W8X10", "SHIELD 400", "Beam", None, None, 1.0, 0.75, None, "W8x10", 0.4),
             ("S750", "c4", 6, None, "MK-6", "Joist", None, None, 1.0, 0.875, 16.0, "16K2", None),
             ("S750", "c4", 7, None, "MK-6", "Joist", None, None, 1.0, 0.875, 16.0, "16K4", None),
         ],
         CELL,
     )
     listing = spark.createDataFrame([("N782", 1, "W12X26", None, 1.0, 0.4375, 0.62), ("N790", 2, "W10X12", "Restrained", 2.0, 1.0, 0.5)], "design string, seq int, canonical string, condition string, hours double, thickness_in double, ratio double")
-    xrefs = spark.createDataFrame([("P723", "CAFCO 300 and CAFCO 400", None, "S721"), ("S721", "CAFCO 400", None, "P723")], "design string, products string, condition string, target string")
+    xrefs = spark.createDataFrame([("P723", "SHIELD 300 and SHIELD 400", None, "S721"), ("S721", "SHIELD 400", None, "P723")], "design string, products string, condition string, target string")
     return listing, charts, xrefs
 
 
@@ -36,13 +36,13 @@ def test_resolution_by_cross_reference(spark, library):
     listing, charts, xrefs = library
     q = ask(
         spark,
-        (1, "P723", "W12X26", 1.0, "unrestrained", "CAFCO 400"),
-        (2, "P723", "W12X26", 1.5, "restrained", "CAFCO 400"),
-        (3, "P723", "W12X26", 1.0, "unrestrained", "CAFCO 400", "half_flange_tip"),
+        (1, "P723", "W12X26", 1.0, "unrestrained", "SHIELD 400"),
+        (2, "P723", "W12X26", 1.5, "restrained", "SHIELD 400"),
+        (3, "P723", "W12X26", 1.0, "unrestrained", "SHIELD 400", "half_flange_tip"),
         (4, "P723", "W12X26", 1.0, "unrestrained", None),
         (5, "P723", "W12X26", 1.0, "unrestrained", "MK-6"),
         (6, "X999", "W12X26", 1.0),
-        (7, "S740", "W8X10", 1.0, None, "CAFCO 400"),
+        (7, "S740", "W8X10", 1.0, None, "SHIELD 400"),
         (8, "N782", "W12X26", 1.0),
     )
     got = {r.query_id: (r.status, r.thickness_in) for r in resolve.resolve(q, listing, charts, xrefs=xrefs).collect()}
@@ -69,8 +69,8 @@ def test_joists_collapse(spark, library):
 
 def test_shape_charts_only_for_review(spark, library):
     listing, charts, _ = library
-    shapes = spark.createDataFrame([("s1", 1, "L4X4X1/4", "CAFCO 400", 1.0, 0.9375)], "chart_id string, seq int, canonical string, products string, hours double, thickness_in double").withColumn("design", F.lit(None).cast("string"))
-    q = ask(spark, (1, "S721", "L4X4X1/4", 1.0, None, "CAFCO 400"), (2, "S721", "L4X4X1/4", 1.0))
+    shapes = spark.createDataFrame([("s1", 1, "L4X4X1/4", "SHIELD 400", 1.0, 0.9375)], "chart_id string, seq int, canonical string, products string, hours double, thickness_in double").withColumn("design", F.lit(None).cast("string"))
+    q = ask(spark, (1, "S721", "L4X4X1/4", 1.0, None, "SHIELD 400"), (2, "S721", "L4X4X1/4", 1.0))
     got = {r.query_id: r.status for r in resolve.resolve(q, listing, charts, shapes=shapes).collect()}
     assert got == {1: "review", 2: "unknown"}
 
@@ -78,7 +78,7 @@ def test_shape_charts_only_for_review(spark, library):
 def test_deduplication_keeps_provenance(spark, library):
     listing, charts, _ = library
     copy = charts.withColumn("chart_id", F.concat("chart_id", F.lit("-copy"))).withColumn("seq", F.col("seq") + 100)
-    q = ask(spark, (1, "S721", "W12X26", 1.0, "unrestrained", "CAFCO 300"))
+    q = ask(spark, (1, "S721", "W12X26", 1.0, "unrestrained", "SHIELD 300"))
     rows = resolve.deduplicated(resolve.chart_route(q, charts.unionByName(copy))).collect()
     assert [(r.chart_id, r.also_in) for r in rows] == [("c1", ["c1-copy"])]
 
@@ -200,3 +200,8 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], CELL)
     assert resolve.resolve(q, none, none).count() == 0
     assert model.current(spark.createDataFrame([], "id long, member_id long, scenario_id string, created_at long, thickness_in double, supersedes_id long")).count() == 0
+
+
+def test_product_lines(spark):
+    rows = spark.createDataFrame([("Acme Shield 400",), ("ACME",), (None,)], "n string")
+    assert [r[0] for r in rows.select(checks.product_line(F.col("n"), ("acme",))).collect()] == ["SHIELD 400", None, None]
