@@ -66,3 +66,15 @@ def confidence(near: Column, competing: Column, far: Column, dashed: Column) ->
     """0.9, less 0.2 for each competing line (0.35 at least), less 0.1 if far and 0.1 if dashed."""
     base = F.greatest(F.lit(0.9) - 0.2 * competing, F.lit(0.35))
     return F.when(near, base - F.when(far, 0.1).otherwise(0.0) - F.when(dashed, 0.1).otherwise(0.0)).otherwise(F.lit(0.0))
+
+
+def calibrated(x0: Column, y0: Column, x1: Column, y1: Column, real_inches: Column) -> Column:
+    """Real inches per point from two points a known distance apart; null where either is not positive."""
+    d = length(x0, y0, x1, y1)
+    return F.when((d > 0) & (real_inches > 0), real_inches / d)
+
+
+def agrees(points: Column, inches_per_point: Column, printed_inches: Column, share: float = 0.01) -> Column:
+    """Whether a measured length agrees with a printed dimension; false where the dimension is missing."""
+    error = F.try_divide(F.abs(points * inches_per_point - printed_inches), printed_inches)
+    return F.coalesce((printed_inches > 0) & (points > 0) & (error <= share), F.lit(False))

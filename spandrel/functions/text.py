@@ -119,3 +119,41 @@ def sniff(magic: Column, text: Column) -> Column:
         .when(t.rlike(r"(?i)<html"), "page")
         .otherwise("unknown")
     )
+
+
+def extracts(text: Column, most: int = 12) -> Column:
+    """What a document mentions, each list distinct, sorted and up to `most`: ratings, designs, members, years, dates."""
+    listed = lambda pattern, k=0: F.slice(F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(k)))), 1, most)
+    return F.struct(
+        listed(r"(?i)\b(\d+(?:-\d+/\d+|/\d+|\.\d+)?)\s*-?\s*(?:hr|hour)s?\b", 1).alias("ratings"),
+        listed(r"(?<![A-Za-z0-9])([A-Z]\d{3})(?![A-Za-z0-9])", 1).alias("designs"),
+        listed(r"(?<![A-Za-z0-9])((?:W|HP|WT|MC|HSS)\d+[xX]\d+(?:[xX][\d/.]+)?)(?![A-Za-z0-9])", 1).alias("members"),
+        listed(r"(?<![\d.])((?:19|20)\d{2})(?![\d.])", 1).alias("years"),
+        listed(r"(?<!\d)(\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/(?:19|20)?\d{2})(?!\d)", 1).alias("dates"),
+    )
+
+
+def first_guess(text: Column, rules: dict[str, str], otherwise: str = "unknown") -> Column:
+    """The name of the first rule, in order, whose pattern the text has."""
+    out = None
+    for name, pattern in rules.items():
+        out = F.when(text.rlike(pattern), name) if out is None else out.when(text.rlike(pattern), name)
+    return F.lit(otherwise) if out is None else out.otherwise(otherwise)
+
+
+def not_rated(printed: Column) -> Column:
+    """Whether a cell is printed as not rated."""
+    return F.coalesce(F.upper(F.trim(printed)).isin("NR", "N/R", "N.R.", "-", "–", "—"), F.lit(False))
+
+
+def file_name(url: Column) -> Column:
+    """The decoded last path segment of a URL, or of its `file` or `name` parameter."""
+    asked = F.regexp_extract(url, r"[?&](?:file|filename|name)=([^&#]+)", 1)
+    last = F.regexp_extract(F.regexp_replace(url, r"[?#].*$", ""), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]+.*?/([^/]+)/?$", 1)
+    return F.nullif(F.try_url_decode(F.when(asked != "", asked).otherwise(last)), F.lit(""))
+
+
+def evidence_text(document: Column, page: Column, sheet: Column, raw: Column) -> Column:
+    """'document p3 sheet S-101: text', leaving out what is null."""
+    where = F.concat_ws(" ", document, F.concat(F.lit("p"), page.cast("string")), F.concat(F.lit("sheet "), sheet))
+    return F.concat_ws(": ", where, raw)

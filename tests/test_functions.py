@@ -85,3 +85,23 @@ def test_page_list():
 
 def test_white_space_is_linear(spark):
     assert values(spark, T.white_space, " " * 300_000 + "a \t b") == ["a b"]
+
+
+def test_extracts_and_guesses(spark):
+    got = values(spark, T.extracts, "Design N782 and X701, 1-1/2 hr and 2 hour, W12x26, HSS6x4x3/8, 2019-10-09, 10/3/2013; N782", "", None)
+    assert (got[0].ratings, got[0].designs, got[0].members) == (["1-1/2", "2"], ["N782", "X701"], ["HSS6x4x3/8", "W12x26"])
+    assert got[0].dates == ["10/3/2013", "2019-10-09"] and got[0].years == ["2013", "2019"] and got[1].designs == []
+    assert values(spark, lambda c: T.first_guess(c, {"chart": "thickness", "list": "design"}), "design thickness", "design", "x", None) == ["chart", "list", "unknown", "unknown"]
+
+
+def test_names_marks_and_evidence(spark):
+    assert values(spark, T.file_name, "https://h/a/My%20File.pdf?x=1", "https://h/get?file=B.pdf", "https://h") == ["My File.pdf", "B.pdf", None]
+    assert values(spark, T.not_rated, " nr ", "—", "1/2", None) == [True, True, False, False]
+    row = spark.range(1).select(T.evidence_text(F.lit("a.pdf"), F.lit(3), F.lit(None).cast("string"), F.lit("W12"))).first()
+    assert row[0] == "a.pdf p3: W12"
+
+
+def test_calibration(spark):
+    n = [F.lit(float(v)) for v in (0, 0, 3, 4)]
+    row = spark.range(1).select(geometry.calibrated(*n, F.lit(60.0)), geometry.calibrated(*n[:2], *n[:2], F.lit(60.0)), geometry.agrees(F.lit(270.0), F.lit(96 / 72), F.lit(360.0)), geometry.agrees(F.lit(270.0), F.lit(1.0), F.lit(None).cast("double"))).first()
+    assert list(row) == [12, None, True, False]
