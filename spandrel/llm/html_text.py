@@ -179,23 +179,30 @@ def fit(patterns: list[tuple[tuple[int, ...], int, int]], steps: int = 300) -> t
 
 
 def train(pages: DataFrame, text: str = "html", limit: int = TRAIN_PAGES) -> tuple[float, ...]:
-    """Weights from the first `limit` pages; blocks inside article elements against those of other parts."""
+    """Weights from the first `limit` pages of the first partition that has any; blocks inside articles against other parts.
+
+    The outer limit lets Spark stop after that partition; one row of pattern counts reaches the driver.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple, int] = {}
+        pages = 0
         for batch in batches:
-            for page in batch.column(0).to_pylist():
-                for b in blocks_of(page):
-                    if b.node.off or b.node.on:
-                        for hide in (False, True):
-                            k = (features(b, hide), int(b.node.on and not b.node.off))
-                            seen[k] = seen.get(k, 0) + 1
-        if seen:
-            yield pa.RecordBatch.from_pydict({"x": [list(k[0]) for k in seen], "y": [k[1] for k in seen], "n": list(seen.values())})
+            part = batch.column(0).slice(0, limit - pages).to_pylist() if pages < limit else []
+            pages += len(part)
+            for b in (b for page in part for b in blocks_of(page) if b.node.off or b.node.on):
+                for hide in (False, True):
+                    k = (features(b, hide), int(b.node.on and not b.node.off))
+                    seen[k] = seen.get(k, 0) + 1
+        if pages:
+            yield pa.RecordBatch.from_pydict({"x": [[list(k[0]) for k in seen]], "y": [[k[1] for k in seen]], "n": [list(seen.values())]}, _COUNTS)
 
     common.small_batches(pages.sparkSession)
-    rows = pages.select(text).limit(limit).mapInArrow(count, "x array<long>, y long, n long").collect()
-    return fit([(tuple(r["x"]), r["y"], r["n"]) for r in rows])
+    rows = pages.select(text).mapInArrow(count, "x array<array<long>>, y array<long>, n array<long>").limit(1).collect()
+    return fit([(tuple(x), y, n) for r in rows for x, y, n in zip(r["x"], r["y"], r["n"], strict=True)])
+
+
+_COUNTS = pa.schema({"x": pa.list_(pa.list_(pa.int64())), "y": pa.list_(pa.int64()), "n": pa.list_(pa.int64())})
 
 
 def _common_depth(a: Node, b: Node) -> int:
