@@ -309,6 +309,17 @@ def test_licenses_equal_exact_search(spark, docs):
     assert licenses.scan(docs).count() == 0
 
 
+def test_licenses_inside_long_lines():
+    made = [licenses.Template(*t) for t in licenses.TEMPLATES]
+    rng = random.Random(3)
+    words = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 9))) for _ in range(3000)]
+    for size in (300, 1000, 4000):
+        for name, w in [t for t in licenses.TEMPLATES if len(t[1]) < 80]:
+            around = [" ".join(rng.choices(words, k=size // 12)) for _ in range(2)]
+            text = f"{around[0]}. {w} {around[1]}"
+            assert [(f.license, f.start, f.end) for f in licenses.find_licenses(text, made)] == [(name, len(around[0]) + 2, len(around[0]) + 2 + len(w.rstrip(".")))]
+
+
 # quality
 
 
