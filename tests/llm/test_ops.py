@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -320,6 +321,19 @@ def test_licenses_inside_long_lines():
             assert [(f.license, f.start, f.end) for f in licenses.find_licenses(text, made)] == [(name, len(around[0]) + 2, len(around[0]) + 2 + len(w.rstrip(".")))]
 
 
+def test_wrapped_license_texts_are_found_whole():
+    made = [licenses.Template(*t) for t in licenses.TEMPLATES]
+    for name, w in licenses.TEMPLATES:
+        for width in (30, 60, 72, 80):
+            for lead in ("", " * ", "# "):
+                lines = [lead + x for x in textwrap.wrap(w, width, break_on_hyphens=False, break_long_words=False)]
+                text = "\n".join(["int before;", *lines, "int after;"])
+                found = licenses.find_licenses(text, made)
+                assert [(f.license, f.n_differences) for f in found] == [(name, 0)], (name, width, lead, found)
+                start = len("int before;\n") + licenses.WORD.search(lines[0]).start()
+                assert (found[0].start, found[0].end) == (start, [m.end() for m in licenses.WORD.finditer(text)][-3])
+
+
 # quality
 
 
