@@ -8,7 +8,7 @@ deeper their common ancestor. The minimum cut, found by maximum flow, is the lab
 The classifier is fitted on a bounded sample of pages (`TRAIN_PAGES`) with labels taken from the pages' own
 semantic elements; half of the sample is fitted with those elements hidden, so that wording features carry
 pages without them. Scripts, styles, forms and other elements that never hold page text are left out while
-reading.
+reading; one that is not closed within its parent ends at the next block-level tag.
 """
 
 from __future__ import annotations
@@ -30,7 +30,11 @@ from . import common
 #: Pages on which the classifier is fitted; only counts of feature patterns reach the driver.
 TRAIN_PAGES = 1000
 #: Elements whose content is not page text.
-HIDDEN = "script style noscript template svg math iframe object canvas audio video head title form textarea select button option datalist dialog"
+HIDDEN = "script style noscript template svg math iframe object canvas audio video title form textarea select button option datalist dialog"
+#: Of these, the ones whose content is no markup, and the ones that an opening tag may close itself.
+RAW, FOREIGN = frozenset("script style noscript iframe title textarea".split()), frozenset("svg math".split())
+#: And those within which another of their kind cannot open.
+SINGLE = frozenset("form button select option".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form"
     " h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -46,10 +50,11 @@ MAIN = re.compile(r"(?:^|[^a-z])(?:article|main|content|entry|post|story|body-?t
 _OFF, _ON = frozenset("nav aside footer menu".split()), frozenset("article main".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(" + HIDDEN.replace(" ", "|") + r")\b(?:[^>\"'=]|=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[=\"'])*>"
+    r"|<(" + HIDDEN.replace(" ", "|") + r")(?=[\s/>])(?:[^>\"'=]|=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[=\"'])*>"
     r"|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"'=]|=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[=\"'])*)(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
+_PAST_TITLE = re.compile(r"<(?:/head|body|svg|title)(?=[\s/>])", re.IGNORECASE)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _SPACE = re.compile(r"[\s\x00]+")
 #: Implied ends: an opening tag closes an open element of these, up to a container.
@@ -73,6 +78,49 @@ class Block:
     node: Node
 
 
+def _ends(page: str, tag: str, position: int, node: Node, last: dict[str, int]) -> int:
+    """Where a left-out element ends whose opening tag ends at `position`; `last` keeps each tag's last end tag.
+
+    Content that is no markup runs to the next end tag. Other content ends with the parent, found by the end tag of
+    a block that was open before. An element without an end tag of its own ends at the next block-level tag.
+    """
+    if tag not in last:
+        last[tag] = max((m.start() for m in re.finditer(rf"</{tag}\s*>", page, re.IGNORECASE)), default=-1)
+    if tag in RAW and last[tag] >= position:
+        close = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, position)
+        if tag != "title" or not _PAST_TITLE.search(page, position, close.start()):
+            return close.end()
+    outer = set()
+    up: Node | None = node
+    while up is not None:
+        outer.add(up.tag)
+        up = up.parent
+    opened: list[str] = []
+    first = len(page)
+    while m := _TOKEN.search(page, position):
+        position = m.end()
+        name = (m[1] or m[3] or "").lower()
+        if m[2] and name == tag:
+            return m.end()
+        if name in BLOCKS or name == "body":
+            first = min(first, m.start())
+        if first < len(page) and (last[tag] < position or tag == "title"):
+            return first
+        if m[1] and name == tag and tag in SINGLE:
+            return min(first, m.start())
+        if m[1] and name in RAW:
+            position = _ends(page, name, position, node, last)
+        elif m[3] and name in BLOCKS and name not in VOID:
+            if not m[2]:
+                opened.append(name)
+            elif name in opened:
+                while opened.pop() != name:
+                    pass
+            elif name in outer:
+                return first
+    return first
+
+
 def blocks_of(page: str | None) -> list[Block]:
     """The page's text blocks in order, white space collapsed and character references decoded."""
     root = Node("html", None, 0, False, False)
@@ -92,16 +140,17 @@ def blocks_of(page: str | None) -> list[Block]:
         parts.append(piece)
         links += len(piece) if anchors else 0
 
-    position, end = 0, len(page)
+    position, end, last = 0, len(page), {}
     while m := _TOKEN.search(page, position):
         if m.start() > at:
             push(page[at : m.start()])
         position = at = m.end()
-        if m[1]:  # left out with its content; an unclosed one ends with the page
-            if m[1].lower() in BLOCKS or m[1].lower() in ("head", "title"):
+        if m[1]:  # left out with its content
+            hidden = m[1].lower()
+            if hidden in BLOCKS or hidden == "title":
                 flush()
-            close = re.compile(rf"</{m[1]}\s*>", re.IGNORECASE).search(page, position)
-            position = at = close.end() if close else end
+            if not (hidden in FOREIGN and m[0].endswith("/>")):
+                position = at = _ends(page, hidden, position, node, last)
             continue
         if not m[3]:
             continue

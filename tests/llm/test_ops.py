@@ -257,6 +257,32 @@ def test_main_text():
     assert html_text.main_text("<p>" * 2000 + "deep text here." + "</div>" * 10) == "deep text here."
 
 
+def test_left_out_elements_end_where_they_must():
+    def read(page):
+        return [b.text for b in html_text.blocks_of(page)]
+
+    text = "<article><p>One two.</p><p>Three four.</p></article>"
+    want = ["One two.", "Three four."]
+    assert read("<head><title>t</title><meta name=a><style>p {}</style><body>" + text) == want
+    assert read("<html><head><title>t</title><script>a('<p>')</script></head><body>" + text + "</body></html>") == want
+    assert read("<head><title>t<body>" + text) == want
+    for tag in ("<svg width='1'/>", "<math/>", "<svg><path/><text>x</text></svg>", "<form><p>x</p><div>y</div></form>", "<select><option>a<option>b</select>"):
+        assert read(tag + text) == want and read("<div>" + tag + "</div>" + text) == want, tag
+    for name in ("form-field", "button-group", "video-player", "object-x", "title-bar"):
+        assert read(f"<{name}>Zero.</{name}>" + text) == ["Zero.", *want]
+    for tag in ("form", "dialog", "object", "video", "button", "script", "iframe", "svg", "template"):
+        assert read(f"<body><{tag}>" + text) == want, tag
+        closed = f"<{tag}>x</{tag}>"
+        if tag not in html_text.RAW:
+            assert read(f"<div><{tag}>x</div>" + text + closed) == want, tag
+    assert read("<head><title>t<body>" + text + "<svg><title>x</title></svg>") == want
+    assert read("<title>The <p> tag</title>" + text) == want
+    for tag in ("form", "button", "select"):
+        assert read(f"<body><{tag}>" + text + f"<{tag}>x</{tag}>") == want, tag
+    assert read("<div><script>a = '</div><p>no</p>';</script></div>" + text) == want
+    assert read("<div>" * 300 + "<form>x" * 300 + text)[-2:] == want
+
+
 def test_minimum_cut_is_minimal():
     rng = random.Random(9)
     for _ in range(200):
