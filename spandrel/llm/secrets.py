@@ -4,8 +4,9 @@ Base kinds are regular expressions; a kind's matches and the pieces between them
 extraction, so positions are running sums of lengths (code points). The method adds kind ``entropy``: over each
 candidate string a window of `WINDOW` characters slides, the counts of its characters are kept as an array
 over the class's alphabet and updated by the one character that leaves and the one that enters, and with them
-the sum of c*log2(c) and so the Shannon entropy. A candidate whose highest window entropy reaches its class's
-threshold is a secret, unless the allow-list knows it or a base span covers it.
+the sum of c*log2(c) and so the Shannon entropy. Base spans are cut out of the candidates first; a piece of
+`WINDOW` characters or more whose highest window entropy reaches its class's threshold is a secret, unless the
+allow-list knows it.
 
 All of it stays in the scan's stage: no join, no shuffle, no Python.
 """
@@ -156,6 +157,20 @@ def _long_enough(found: Column, least: int) -> Column:
     return F.filter(found, lambda m: F.length(m["value"]) >= least)
 
 
+_PIECES = "array<struct<start:int,end:int,value:string>>"
+
+
+def uncovered(m: Column, spans: Column) -> Column:
+    """The pieces of match `m` that no span covers, of `WINDOW` characters at least; `spans` is sorted by start."""
+    piece = lambda a, b: F.struct(a.alias("start"), b.alias("end"), F.substring(m["value"], a - m["start"] + 1, b - a).alias("value"))
+    with_piece = lambda out, a, b: F.when(b - a >= WINDOW, F.concat(out, F.array(piece(a, b)))).otherwise(out)
+    touching = F.filter(spans, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
+    start = F.struct(m["start"].alias("at"), F.array().cast(_PIECES).alias("out"))
+    cut = lambda s, b: F.struct(F.greatest(s["at"], b["end"]).alias("at"), with_piece(s["out"], s["at"], b["start"]).alias("out"))
+    left = F.aggregate(touching, start, cut, lambda s: with_piece(s["out"], s["at"], m["end"]))
+    return F.when(F.size(touching) > 0, left).otherwise(F.array(m).cast(_PIECES))
+
+
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with base_spans and spans: arrays of struct(start, rank, end, kind), by start, then kind as listed.
 
@@ -167,8 +182,8 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
     base = [_named(_long_enough(matches(body, k.pattern, k.group), k.least), k.name, i) for i, k in enumerate(KINDS)]
     docs = docs.withColumn("base_spans", F.array_sort(F.concat(*base)))
-    covered = lambda m: F.exists(F.col("base_spans"), lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
-    added = F.filter(F.filter(matches(body, CANDIDATE), lambda m: ~covered(m)), lambda m: is_random(m["value"]))
+    pieces = F.flatten(F.transform(matches(body, CANDIDATE), lambda m: uncovered(m, F.col("base_spans"))))
+    added = F.filter(pieces, lambda m: is_random(m["value"]))
     return docs.withColumn("spans", F.array_sort(F.concat(F.col("base_spans"), _named(added, "entropy", len(KINDS)))))
 
 
