@@ -7,6 +7,7 @@ import textwrap
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -468,6 +469,28 @@ def test_model_is_a_distribution_and_learns():
     assert model.log10([b"the", b"cat"]).sum() > model.log10([b"xqzv", b"qqjk"]).sum()
 
 
+def test_mixing_stream_grows_with_the_corpus(spark, monkeypatch):
+    for tokens in (10**3, 10**5, 10**8, 10**10):
+        assert lm_scoring.mix_share(tokens) * tokens >= tokens / 256
+    learned = spark.sparkContext.accumulator(0)
+    learn = lm_scoring.Model.learn
+
+    def counted(self, words, rate):
+        learned.add(len(words))
+        learn(self, words, rate)
+
+    monkeypatch.setattr(lm_scoring.Model, "learn", counted)
+    monkeypatch.setattr(lm_scoring, "MIX_TOKENS", 40)
+    monkeypatch.setattr(lm_scoring, "MIX_SHARE", 0.25)
+    monkeypatch.setattr(lm_scoring, "STREAM", 300)
+    words = spark.createDataFrame([(w.encode(), 4, 4) for w in {x for t in texts(80) for x in t.split()}], "word binary, c long, n long")
+    n = words.count()
+    model = lm_scoring.train(words, 4 * n, n)
+    assert learned.value >= 0.9 * n > 40
+    assert not np.allclose(model.weights, lm_scoring.Model.blank(model.tables).weights)
+    assert np.isfinite(model.weights).all() and ((model.refined > 0) & (model.refined < 1)).all()
+
+
 def test_held_out_text_costs_less_than_unknown_text(spark):
     known = [(i, t) for i, t in enumerate(texts(200, 4))]
     df = spark.createDataFrame(known, "doc_id long, text string")
