@@ -1,9 +1,10 @@
-"""N-gram Jaccard self-join by a MinHash LSH forest with exact verification.
+"""N-gram Jaccard self-join by MinHash banding with exact verification.
 
 A text's set holds its distinct windows of five words. Texts with equal sets are one class from the start.
-Each set has `TREES` signatures of `MAX_DEPTH` MinHashes: a path in each of the forest's prefix tries. Matched
-prefixes are shortened from the full depth until sets of the asked similarity meet in some trie with the target
-recall. Sets below one trie node are candidates.
+Each set has `TREES` paths of MinHashes, of one depth that follows from the asked similarity and recall before any
+data is seen: the greatest up to `MAX_DEPTH` at which a pair of that similarity shares a whole path in some tree
+with the target recall. This is fixed banding and stands in for an LSH forest: no trie is built and no prefix is
+shortened by the data. Sets with a path in common, called a node below, are candidates.
 
 A node's members are not paired: each is tied to the least member, and the components of these ties are the
 groups to verify. The texts of a group meet once, in blocks of about `BLOCK` sets, and all intersections of two
@@ -35,11 +36,11 @@ CACHE_WORDS = 400_000
 
 
 def depth_for(threshold: float, recall: float = RECALL, trees: int = TREES, deepest: int = MAX_DEPTH) -> int:
-    """Shortens the prefix until a pair of the asked similarity shares one in some tree with the target recall."""
-    depth = deepest
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
-        depth -= 1
-    return depth
+    """The greatest depth at which a pair of the asked similarity shares a path in some tree with the target recall."""
+    for depth in range(deepest, 0, -1):
+        if 1 - (1 - threshold**depth) ** trees >= recall:
+            return depth
+    raise ValueError(f"{trees} trees cannot reach recall {recall} at similarity {threshold}, even with one hash each")
 
 
 class WordHashes(dict):

@@ -226,6 +226,14 @@ def test_forest_depth_meets_the_recall():
     assert 1 - (1 - 0.8 ** (d + 1)) ** jaccard_join.TREES < jaccard_join.RECALL
 
 
+def test_a_recall_out_of_reach_is_an_error():
+    for threshold in (0.3, 0.5, 0.8, 0.95):
+        assert 1 - (1 - threshold ** jaccard_join.depth_for(threshold)) ** jaccard_join.TREES >= jaccard_join.RECALL
+    for threshold in (0.05, 0.2, 0.24):
+        with pytest.raises(ValueError):
+            jaccard_join.depth_for(threshold)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)], "a long, b long")
     got = {r.node: r.label for r in components(edges).collect()}
