@@ -2,11 +2,14 @@
 
 Base kinds are regular expressions; a kind's matches and the pieces between them come from one split and one
 extraction, so positions are running sums of lengths (code points). The method adds kind ``entropy``: over each
-candidate string a window of `WINDOW` characters slides, the counts of its characters are kept as an array
-over the class's alphabet and updated by the one character that leaves and the one that enters, and with them
-the sum of c*log2(c) and so the Shannon entropy. Base spans are cut out of the candidates first; a piece of
-`WINDOW` characters or more whose highest window entropy reaches its class's threshold is a secret, unless the
-allow-list knows it.
+candidate string a window of `WINDOW` characters slides, the counts of its characters over the class's alphabet
+are updated by the one character that leaves and the one that enters, and with them the sum of c*log2(c) and so
+the Shannon entropy. Base spans are blanked out before candidates are looked for; a piece of `WINDOW` characters
+or more whose highest window entropy reaches its class's threshold is a secret, unless the allow-list knows it.
+The allow-list has words such as `example`: a random string that holds one of them is taken for a placeholder,
+and is reported only where a base kind finds it.
+
+Work grows with the length of a text, however long its runs and however many its matches.
 
 All of it stays in the scan's stage: no join, no shuffle, no Python.
 """
@@ -14,6 +17,7 @@ All of it stays in the scan's stage: no join, no shuffle, no Python.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +26,9 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW = 20
+#: Characters of the pieces into which a text is cut where spans are replaced.
+PIECE = 1024
+_REST = "__text_between_base_spans"
 
 
 @dataclass(frozen=True)
@@ -70,7 +77,7 @@ ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"(?i)example|placeholder|changeme|redacted|your[_-]?(key|token|secret)|0123456789|abcdefgh",
     r"([A-Za-z0-9])\1{7,}",
-    r"^[/_=-]*([A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})([/_=-]+([A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*[/_=-]*$",
+    r"^[/_=-]*+(?:[A-Z]?[a-z]++|[A-Z]++|[0-9]{1,4}+)(?:[/_=-]++(?:[A-Z]?[a-z]++|[A-Z]++|[0-9]{1,4}+))*+[/_=-]*+$",
 )
 
 
@@ -78,21 +85,29 @@ def _zero() -> Column:
     return F.lit(0).cast("int")
 
 
-def running_starts(lengths: Column) -> Column:
-    """Sums of the elements before each element; by blocks of 256, so that long arrays stay cheap."""
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with `value` worked out once: inside a lambda a plain column would be worked out for each element."""
+    return F.transform(F.array(F.struct(value.alias("v"))), lambda h: use(h["v"]))[0]
+
+
+def before(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """What `combine` makes of the elements before each element, from 0; by blocks of 256, so that long arrays stay cheap."""
     size = 256
-    blocks = F.transform(F.sequence(_zero(), F.greatest(F.ceil(F.size(lengths) / size).cast("int") - 1, _zero())), lambda b: F.slice(lengths, b * size + 1, F.lit(size)))
 
     def scan(xs: Column, start: Column) -> Column:
         state = F.aggregate(
             xs,
             F.struct(start.alias("at"), F.array().cast("array<int>").alias("out")),
-            lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")),
+            lambda s, x: F.struct(combine(s["at"], x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")),
         )
         return state["out"]
 
-    totals = F.transform(blocks, lambda b: F.aggregate(b, _zero(), lambda a, x: a + x))
-    return F.flatten(F.transform(F.arrays_zip(blocks.alias("b"), scan(totals, _zero()).alias("s")), lambda z: scan(z["b"], z["s"])))
+    def by_blocks(v: Column) -> Column:
+        blocks = F.transform(F.sequence(_zero(), F.greatest(F.ceil(F.size(v) / size).cast("int") - 1, _zero())), lambda b: F.slice(v, b * size + 1, F.lit(size)))
+        totals = F.transform(blocks, lambda b: F.aggregate(b, _zero(), combine))
+        return F.flatten(F.transform(F.arrays_zip(blocks.alias("b"), scan(totals, _zero()).alias("s")), lambda z: scan(z["b"], z["s"])))
+
+    return bound(values, by_blocks)
 
 
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
@@ -101,7 +116,7 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
     between = F.split(text, pattern, -1)
     lengths = F.transform(F.arrays_zip(between.alias("p"), found.alias("m")), lambda z: F.length(z["p"]) + F.coalesce(F.length(z["m"]), _zero()))
     values = found if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    zipped = F.arrays_zip(running_starts(lengths).alias("s"), between.alias("p"), found.alias("m"), values.alias("v"))
+    zipped = F.arrays_zip(before(lengths, lambda a, x: a + x).alias("s"), between.alias("p"), found.alias("m"), values.alias("v"))
     spans = F.transform(
         F.slice(zipped, 1, F.size(found)),
         lambda z: F.struct((z["s"] + F.length(z["p"])).alias("start"), (z["s"] + F.length(z["p"]) + F.length(z["m"])).alias("end"), z["v"].alias("value")),
@@ -109,30 +124,64 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
     return F.when(text.rlike(pattern), spans).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
 
 
+def spliced(text: Column, spans: Column, fill: Callable[[Column, Column], Column]) -> Column:
+    """`text` with its spans, sorted by start, replaced: by fill(span, end of the spans before it) each.
+
+    The text is cut once into pieces of `PIECE` characters, and what stands between spans is put together from these,
+    so the work grows with the text and the number of spans and not with their product.
+    """
+    ends = before(F.transform(spans, lambda x: x["end"]), lambda a, x: F.greatest(a, x))
+    cuts = F.transform(
+        F.arrays_zip(spans.alias("x"), ends.alias("e")),
+        lambda z: F.struct(z["e"].alias("a"), F.greatest(z["x"]["start"], z["e"]).alias("b"), fill(z["x"], z["e"]).alias("fill")),
+    )
+    last = F.struct(F.array_max(F.transform(spans, lambda x: x["end"])).alias("a"), F.length(text).alias("b"), F.lit("").alias("fill"))
+    held = F.struct(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)).alias("pieces"), F.concat(cuts, F.array(last)).alias("cuts"))
+
+    def part(pieces: Column, c: Column) -> Column:
+        i, j = F.call_function("div", c["a"], F.lit(PIECE)).cast("int"), F.call_function("div", c["b"], F.lit(PIECE)).cast("int")
+        at = lambda k: F.coalesce(F.try_element_at(pieces, k + 1), F.lit(""))
+        one = F.substring(at(i), c["a"] % PIECE + 1, c["b"] - c["a"])
+        many = F.concat(F.substring(at(i), c["a"] % PIECE + 1, F.lit(PIECE)), F.array_join(F.slice(pieces, i + 2, j - i - 1), ""), F.substring(at(j), F.lit(1), c["b"] % PIECE))
+        return F.concat(F.when(i == j, one).otherwise(many), c["fill"])
+
+    return bound(held, lambda h: F.array_join(F.transform(h["cuts"], lambda c: part(h["pieces"], c)), ""))
+
+
 def window_entropy(value: Column, alphabet: str, window: int = WINDOW) -> Column:
     """The highest Shannon entropy, in bits, of the windows of `value`; it spells its characters in `alphabet`.
 
-    State: counts over the alphabet, the sum S of c*log2(c), the least S so far; entropy is log2(w) - S/w.
+    State: counts over the alphabet in fields of five bits, twelve to a long, the sum S of c*log2(c), the least S so
+    far; entropy is log2(w) - S/w. The character that enters and the one that leaves come as one element, so a step
+    costs the same wherever it stands.
     """
-    weights = F.array(*[F.lit(c * math.log2(c) if c > 1 else 0.0) for c in range(window + 1)])
+    if window > 31:
+        raise ValueError("counts have five bits: a window has 31 characters at most")
+    weights = F.array(*[F.lit(c * math.log2(c) if c > 1 else 0.0) for c in range(window + 2)])
     weight = lambda c: F.element_at(weights, c + 1)
-    index = lambda i: F.instr(F.lit(alphabet), F.substring(value, i, F.lit(1)))
-    empty = F.array_repeat(_zero(), len(alphabet))
-
-    def step(s: Column, i: Column) -> Column:
-        enters, leaves = index(i), F.when(i > window, index(i - window)).otherwise(_zero())
-        same = enters == leaves
-        c_in, c_out = F.element_at(s["counts"], enters), F.when(leaves > 0, F.element_at(s["counts"], F.greatest(leaves, F.lit(1)))).otherwise(_zero())
-        counts = F.when(same, s["counts"]).otherwise(
-            F.transform(s["counts"], lambda c, k: c + F.when(k + 1 == enters, 1).when(k + 1 == leaves, -1).otherwise(0))
+    fields = F.array(*[F.struct(F.lit(k // 12).alias("at"), F.lit(k % 12 * 5).alias("shift"), F.lit(1 << k % 12 * 5).cast("long").alias("unit")) for k in range(len(alphabet))])
+    spelled = F.transform(F.split(value, ""), lambda c: F.element_at(fields, F.instr(F.lit(alphabet), c)))
+    none = F.array_repeat(F.lit(None).cast("struct<at:int,shift:int,unit:bigint>"), window)
+    full = F.concat(F.array_repeat(F.lit(False), window - 1), F.array_repeat(F.lit(True), F.length(value) - (window - 1)))
+    steps = F.arrays_zip(spelled.alias("enters"), F.slice(F.concat(none, spelled), F.lit(1), F.length(value)).alias("leaves"), full.alias("full"))
+    count = lambda counts, f: F.call_function("shiftright", F.element_at(counts, f["at"] + 1), f["shift"]).bitwiseAND(F.lit(31)).cast("int")
+
+    def step(s: Column, x: Column) -> Column:
+        enters, leaves = x["enters"], x["leaves"]
+        moved = (enters["unit"] != leaves["unit"]) | (enters["at"] != leaves["at"])
+        c_in = count(s["counts"], enters)
+        c_out = F.when(leaves.isNotNull(), count(s["counts"], leaves)).otherwise(_zero())
+        counts = F.transform(
+            s["counts"], lambda c, k: c + F.when(k == enters["at"], enters["unit"]).otherwise(F.lit(0).cast("long")) - F.when(k == leaves["at"], leaves["unit"]).otherwise(F.lit(0).cast("long"))
         )
-        total = F.when(same, s["sum"]).otherwise(
-            s["sum"] + weight(c_in + 1) - weight(c_in) + F.when(leaves > 0, weight(F.greatest(c_out, F.lit(1)) - 1) - weight(c_out)).otherwise(F.lit(0.0))
-        )
-        return F.struct(counts.alias("counts"), total.alias("sum"), F.when(i >= window, F.least(s["best"], total)).otherwise(s["best"]).alias("best"))
+        total = s["sum"] + weight(c_in + 1) - weight(c_in) + F.when(c_out > 0, weight(F.greatest(c_out, F.lit(1)) - 1) - weight(c_out)).otherwise(F.lit(0.0))
+        still = leaves.isNotNull() & ~F.coalesce(moved, F.lit(True))
+        total = F.when(still, s["sum"]).otherwise(total)
+        return F.struct(F.when(still, s["counts"]).otherwise(counts).alias("counts"), total.alias("sum"), F.when(x["full"], F.least(s["best"], total)).otherwise(s["best"]).alias("best"))
 
+    empty = F.array_repeat(F.lit(0).cast("long"), (len(alphabet) + 11) // 12)
     start = F.struct(empty.alias("counts"), F.lit(0.0).alias("sum"), F.lit(float("inf")).alias("best"))
-    least = F.aggregate(F.sequence(F.lit(1), F.length(value)), start, step)["best"]
+    least = F.aggregate(steps, start, step)["best"]
     return F.lit(math.log2(window)) - least / window
 
 
@@ -160,20 +209,6 @@ def _long_enough(found: Column, least: int) -> Column:
     return F.filter(found, lambda m: F.length(m["value"]) >= least)
 
 
-_PIECES = "array<struct<start:int,end:int,value:string>>"
-
-
-def uncovered(m: Column, spans: Column) -> Column:
-    """The pieces of match `m` that no span covers, of `WINDOW` characters at least; `spans` is sorted by start."""
-    piece = lambda a, b: F.struct(a.alias("start"), b.alias("end"), F.substring(m["value"], a - m["start"] + 1, b - a).alias("value"))
-    with_piece = lambda out, a, b: F.when(b - a >= WINDOW, F.concat(out, F.array(piece(a, b)))).otherwise(out)
-    touching = F.filter(spans, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
-    start = F.struct(m["start"].alias("at"), F.array().cast(_PIECES).alias("out"))
-    cut = lambda s, b: F.struct(F.greatest(s["at"], b["end"]).alias("at"), with_piece(s["out"], s["at"], b["start"]).alias("out"))
-    left = F.aggregate(touching, start, cut, lambda s: with_piece(s["out"], s["at"], m["end"]))
-    return F.when(F.size(touching) > 0, left).otherwise(F.array(m).cast(_PIECES))
-
-
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with base_spans and spans: arrays of struct(start, rank, end, kind), by start, then kind as listed.
 
@@ -185,9 +220,11 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
     base = [_named(_long_enough(matches(body, k.pattern, k.group), k.least), k.name, i) for i, k in enumerate(KINDS)]
     docs = docs.withColumn("base_spans", F.array_sort(F.concat(*base)))
-    pieces = F.flatten(F.transform(matches(body, CANDIDATE), lambda m: uncovered(m, F.col("base_spans"))))
-    added = F.filter(pieces, lambda m: is_random(m["value"]))
-    return docs.withColumn("spans", F.array_sort(F.concat(F.col("base_spans"), _named(added, "entropy", len(KINDS)))))
+    blank = lambda x, e: F.repeat(F.lit("\n"), F.greatest(x["end"], e) - F.greatest(x["start"], e))
+    rest = F.when(F.size("base_spans") > 0, spliced(body, F.col("base_spans"), blank)).otherwise(body)
+    docs = docs.withColumn(_REST, rest)
+    added = F.filter(matches(F.col(_REST), CANDIDATE), lambda m: is_random(m["value"]))
+    return docs.withColumn("spans", F.array_sort(F.concat(F.col("base_spans"), _named(added, "entropy", len(KINDS))))).drop(_REST)
 
 
 def listed(spans: Column) -> Column:
@@ -201,18 +238,7 @@ def redact(docs: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataF
     n_chars, where there is one, is counted anew for changed texts. A null text stays null.
     """
     scanned = scan(docs, text)
-    start = F.struct(F.lit(1).alias("at"), F.lit("").alias("out"))
-    cut = F.aggregate(
-        F.col("spans"),
-        start,
-        lambda s, x: F.when(x["end"] < s["at"], s).otherwise(
-            F.struct(
-                F.greatest(x["end"] + 1, s["at"]).alias("at"),
-                F.when(x["start"] + 1 >= s["at"], F.concat(s["out"], F.substring(F.col(text), s["at"], x["start"] + 1 - s["at"]), F.lit(mask))).otherwise(s["out"]).alias("out"),
-            )
-        ),
-    )
-    rest = F.concat(cut["out"], F.substring(F.col(text), cut["at"], F.length(text)))
+    rest = spliced(F.col(text), F.col("spans"), lambda x, e: F.when(x["start"] >= e, F.lit(mask)).otherwise(F.lit("")))
     found = F.size("spans") > 0
     out = scanned.withColumn("clean", F.when(found, rest).otherwise(F.col(text)))
     columns = []

@@ -134,6 +134,35 @@ def test_secrets_joined_to_base_spans_are_found(spark):
     assert not any(secret in r.text for r in secrets.redact(df).collect())
 
 
+def test_long_runs_and_many_matches_end_soon(spark):
+    rng = random.Random(8)
+    alphabet = "".join(c for c in secrets.CLASSES[-1].alphabet if c not in "_-=")
+    long = ["".join(rng.choices(alphabet, k=100_000)), "ab/1/" * 40_000, "é ab/1/ab/ " * 3000 + "-" * 100_000, " ".join("%040x" % rng.getrandbits(160) for _ in range(5000)) + "🙂", "token=abcdefgh1;" * 5000 + "x" * 3000]
+    df = spark.createDataFrame(list(enumerate(long)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r[1], r[2]) for r in secrets.scan(df).select("doc_id", F.size("base_spans"), F.size("spans")).collect()}
+    assert got == {0: (0, 1), 1: (0, 0), 2: (0, 0), 3: (5000, 5000), 4: (5000, 5000)}
+    masked = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert masked == {0: "[SECRET]", 1: long[1], 2: long[2], 3: " ".join(["[SECRET]"] * 5000) + "🙂", 4: "[SECRET];" * 5000 + "x" * 3000}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_replacing_spans_equals_slicing(spark, seed):
+    rng = random.Random(seed)
+    cases = []
+    for k in range(30):
+        text = "".join(rng.choices("aé🙂b ", k=rng.choice([1, 5, 40, 1023, 1024, 1025, 2048, 5000])))
+        spans = sorted((a, min(len(text), a + rng.randint(1, 60))) for a in (rng.randrange(len(text)) for _ in range(rng.randint(1, 600))))
+        cases.append((k, text, [(a, b) for a, b in spans if b > a]))
+    df = spark.createDataFrame(cases, "id int, text string, spans array<struct<start:int,end:int>>")
+    got = {r.id: r.out for r in df.select("id", secrets.spliced(F.col("text"), F.col("spans"), lambda x, e: F.when(x["start"] >= e, F.lit("#")).otherwise(F.lit(""))).alias("out")).collect()}
+    for k, text, spans in cases:
+        want, at = "", 0
+        for a, b in spans:
+            want += text[at:a] + ("#" if a >= at else "")
+            at = max(at, b)
+        assert got[k] == want + text[at:]
+
+
 def test_redaction_masks_all_and_nothing_else(spark, docs):
     df = spark.createDataFrame(list(enumerate(HARD)), "doc_id long, text string")
     for r, t in zip(secrets.redact(df).orderBy("doc_id").collect(), HARD, strict=True):
