@@ -7,8 +7,10 @@ deeper their common ancestor. The minimum cut, found by maximum flow, is the lab
 
 The classifier is fitted on a bounded sample of pages (`TRAIN_PAGES`) with labels taken from the pages' own
 semantic elements; half of the sample is fitted with those elements hidden, so that wording features carry
-pages without them. Scripts, styles, forms and other elements that never hold page text are left out while
-reading; one that is not closed within its parent ends at the next block-level tag.
+pages without them. Scripts, styles, titles, templates and form elements are left out while reading; one that is not
+closed within its parent ends at the next block-level tag. All other elements' text is page text, formulas and
+fallback contents included. Reading a page takes time in proportion to its length, however its tags are nested,
+left open or cut off.
 """
 
 from __future__ import annotations
@@ -27,13 +29,12 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Pages on which the classifier is fitted; only counts of feature patterns reach the driver.
+#: Pages on which the classifier is fitted, about; only counts of feature patterns reach the driver.
 TRAIN_PAGES = 1000
-#: Elements whose content is not page text.
-HIDDEN = "script style noscript template svg math iframe object canvas audio video title form textarea select button option datalist dialog"
-#: Of these, the ones whose content is no markup, and the ones that an opening tag may close itself.
-RAW, FOREIGN = frozenset("script style noscript iframe title textarea".split()), frozenset("svg math".split())
-#: And those within which another of their kind cannot open.
+#: Elements whose content is not page text: scripts, styles, titles, inert templates and the parts of forms.
+HIDDEN = frozenset("script style noscript template iframe title form textarea select button option datalist".split())
+#: Of these, the ones whose content is no markup, and those within which another of their kind cannot open.
+RAW = frozenset("script style noscript iframe title textarea".split())
 SINGLE = frozenset("form button select option".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form"
@@ -48,18 +49,21 @@ PARTS = re.compile(
 )
 MAIN = re.compile(r"(?:^|[^a-z])(?:article|main|content|entry|post|story|body-?text)(?:$|[^a-z])")
 _OFF, _ON = frozenset("nav aside footer menu".split()), frozenset("article main".split())
+#: A comment, declaration or tag. Quantifiers are possessive and alternatives exclusive, so no character is tried twice.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(" + HIDDEN.replace(" ", "|") + r")(?=[\s/>])(?:[^>\"'=]|=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[=\"'])*>"
-    r"|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"'=]|=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[=\"'])*)(?:>|\Z)",
-    re.DOTALL | re.IGNORECASE,
+    r"<!--(?:.*?-->|.*+)|<!\[CDATA\[(?:.*?\]\]>|.*+)|<[!?][^>]*+(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][\w:-]*+)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))?|[\"'])*+)(?:>|\Z)",
+    re.DOTALL,
 )
-_PAST_TITLE = re.compile(r"<(?:/head|body|svg|title)(?=[\s/>])", re.IGNORECASE)
+_RAW_END = {t: re.compile(rf"</{t}\s*+>", re.IGNORECASE) for t in RAW}
+_RAW_END["title"] = re.compile(r"</title\s*+>|<(?:/head|body|svg|title)(?=[\s/>])", re.IGNORECASE)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _SPACE = re.compile(r"[\s\x00]+")
 #: Implied ends: an opening tag closes an open element of these, up to a container.
-_CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _CONTAINERS = frozenset("article aside body div footer header main nav section table ul ol dl blockquote td".split())
+_P = frozenset(("p",))
+_CLOSABLE = frozenset("p li dt dd tr td th".split())
 
 
 @dataclass
@@ -69,6 +73,20 @@ class Node:
     depth: int
     off: bool
     on: bool
+    #: Tags open here, up to the nearest container, that an opening tag may close.
+    closable: frozenset[str] = frozenset()
+
+
+@dataclass
+class Tag:
+    start: int
+    end: int
+    name: str
+    closing: bool
+    names: str
+    #: Of a left-out element: the index of the tag from which reading goes on, and whether the tag before is its end.
+    resume: int = -1
+    ended: bool = False
 
 
 @dataclass
@@ -78,47 +96,62 @@ class Block:
     node: Node
 
 
-def _ends(page: str, tag: str, position: int, node: Node, last: dict[str, int]) -> int:
-    """Where a left-out element ends whose opening tag ends at `position`; `last` keeps each tag's last end tag.
+def tags_of(page: str) -> list[Tag]:
+    """The page's tags in order, other markup as tags without a name; content that is no markup is part of its opening tag."""
+    out, position, unended = [], 0, set()
+    while m := _TOKEN.search(page, position):
+        name, end = (m[2] or "").lower(), m.end()
+        closing = bool(m[1])
+        if name in RAW and not closing and name not in unended:
+            stop = _RAW_END[name].search(page, end)
+            if stop is None:
+                unended.add(name)
+            elif stop[0][:7].lower() == "</title" or name != "title":
+                out.append(Tag(m.start(), stop.end(), name, False, "", len(out) + 1, True))
+                position = stop.end()
+                continue
+        attributes = m[3] or ""
+        out.append(Tag(m.start(), end, name, closing, attributes))
+        position = end
+    return out
+
+
+def _leave_out(tags: list[Tag]) -> None:
+    """Sets where reading goes on after each left-out element.
 
-    Content that is no markup runs to the next end tag. Other content ends with the parent, found by the end tag of
-    a block that was open before. An element without an end tag of its own ends at the next block-level tag.
+    One that is closed within its parent ends with its own end tag. Another, or one within which a tag of its kind
+    opens that cannot, ends at the next block-level tag, or at the page's end.
     """
-    if tag not in last:
-        last[tag] = max((m.start() for m in re.finditer(rf"</{tag}\s*>", page, re.IGNORECASE)), default=-1)
-    if tag in RAW and last[tag] >= position:
-        close = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, position)
-        if tag != "title" or not _PAST_TITLE.search(page, position, close.start()):
-            return close.end()
-    outer = set()
-    up: Node | None = node
-    while up is not None:
-        outer.add(up.tag)
-        up = up.parent
-    opened: list[str] = []
-    first = len(page)
-    while m := _TOKEN.search(page, position):
-        position = m.end()
-        name = (m[1] or m[3] or "").lower()
-        if m[2] and name == tag:
-            return m.end()
-        if name in BLOCKS or name == "body":
-            first = min(first, m.start())
-        if first < len(page) and (last[tag] < position or tag == "title"):
-            return first
-        if m[1] and name == tag and tag in SINGLE:
-            return min(first, m.start())
-        if m[1] and name in RAW:
-            position = _ends(page, name, position, node, last)
-        elif m[3] and name in BLOCKS and name not in VOID:
-            if not m[2]:
-                opened.append(name)
-            elif name in opened:
-                while opened.pop() != name:
-                    pass
-            elif name in outer:
-                return first
-    return first
+    n = len(tags)
+    block_after, following = [n] * (n + 1), n
+    for k in range(n - 1, -1, -1):
+        block_after[k] = following
+        if tags[k].name in BLOCKS or tags[k].name == "body":
+            following = k
+    stack: list[tuple[str, int]] = []
+    opened: dict[str, int] = {}
+    for k, tag in enumerate(tags):
+        name = tag.name
+        if tag.resume >= 0 or not (name in BLOCKS or name in HIDDEN) or name in VOID:
+            continue
+        if not tag.closing:
+            if name in HIDDEN:
+                tag.resume = block_after[k]
+                if name in SINGLE and opened.get(name):
+                    for other, j in reversed(stack):
+                        if other == name:
+                            tags[j].resume = min(tags[j].resume, k)
+                            break
+            stack.append((name, k))
+            opened[name] = opened.get(name, 0) + 1
+        elif opened.get(name):
+            while True:
+                last, j = stack.pop()
+                opened[last] -= 1
+                if last == name:
+                    break
+            if name in HIDDEN and not (name in SINGLE and tags[j].resume < block_after[j]):
+                tags[j].resume, tags[j].ended = k + 1, True
 
 
 def blocks_of(page: str | None) -> list[Block]:
@@ -126,6 +159,7 @@ def blocks_of(page: str | None) -> list[Block]:
     root = Node("html", None, 0, False, False)
     node, anchors, links, parts, out, at = root, 0, 0, [], [], 0
     page = page or ""
+    opened: dict[str, int] = {}
 
     def flush() -> None:
         nonlocal links
@@ -140,49 +174,59 @@ def blocks_of(page: str | None) -> list[Block]:
         parts.append(piece)
         links += len(piece) if anchors else 0
 
-    position, end, last = 0, len(page), {}
-    while m := _TOKEN.search(page, position):
-        if m.start() > at:
-            push(page[at : m.start()])
-        position = at = m.end()
-        if m[1]:  # left out with its content
-            hidden = m[1].lower()
-            if hidden in BLOCKS or hidden == "title":
+    def leave(to: Node) -> None:
+        nonlocal node
+        while node is not to:
+            opened[node.tag] -= 1
+            node = node.parent
+
+    tags = tags_of(page)
+    _leave_out(tags)
+    k = 0
+    while k < len(tags):
+        t = tags[k]
+        if t.start > at:
+            push(page[at : t.start])
+        at, k = t.end, k + 1
+        tag = t.name
+        if tag in HIDDEN:
+            if tag in BLOCKS or tag == "title":
                 flush()
-            if not (hidden in FOREIGN and m[0].endswith("/>")):
-                position = at = _ends(page, hidden, position, node, last)
-            continue
-        if not m[3]:
+            if not t.closing:
+                k = t.resume
+                at = tags[k - 1].end if t.ended else tags[k].start if k < len(tags) else len(page)
             continue
-        tag = m[3].lower()
         if tag == "br":
             parts.append(" ")
         elif tag == "a":
-            anchors = 0 if m[2] else 1
+            anchors = 0 if t.closing else 1
         if tag not in BLOCKS:
             continue
         flush()
-        if m[2]:
-            up = node
-            while up is not root and up.tag != tag:
-                up = up.parent
-            node = up.parent if up is not root else node
+        if t.closing:
+            if opened.get(tag):
+                up = node
+                while up.tag != tag:
+                    up = up.parent
+                leave(up.parent)
         elif tag not in VOID:
-            closes = _CLOSES.get(tag, {"p"})
+            closes = _CLOSES.get(tag, _P)
             up = node
-            while up is not root and up.tag not in _CONTAINERS:
+            while closes & up.closable and up.tag not in _CONTAINERS:
                 if up.tag in closes:
-                    node = up.parent
+                    leave(up.parent)
                 up = up.parent
             if node.tag in closes and node is not root:
-                node = node.parent
-            names = " ".join(a or b or c for a, b, c in _NAMES.findall(m[4])).lower() if "=" in m[4] else ""
+                leave(node.parent)
+            names = " ".join(a or b or c for a, b, c in _NAMES.findall(t.names)).lower() if "=" in t.names else ""
             if names and MAIN.search(names):  # the head of an article is no page header
                 names = names.replace("header", "")
             off = node.off or tag in _OFF or tag == "header" and not node.on or bool(names and PARTS.search(names))
             on = node.on or tag in _ON or bool(names and MAIN.search(names))
-            node = Node(tag, node, node.depth + 1, off, on)
-    if at < end:
+            closable = frozenset() if tag in _CONTAINERS else node.closable
+            node = Node(tag, node, node.depth + 1, off, on, closable | {tag} if tag in _CLOSABLE else closable)
+            opened[tag] = opened.get(tag, 0) + 1
+    if at < len(page):
         push(page[at:])
     flush()
     return out
@@ -227,10 +271,17 @@ def fit(patterns: list[tuple[tuple[int, ...], int, int]], steps: int = 300) -> t
     return tuple(float(v) for v in w)
 
 
+def sample_of(pages: DataFrame, limit: int = TRAIN_PAGES) -> DataFrame:
+    """About `limit` pages, picked by a hash of the whole row, so that the files' layout has no say."""
+    share = min(1.0, limit / max(pages.count(), 1))
+    u = F.shiftrightunsigned(F.xxhash64(*[F.col(f"`{c}`") for c in pages.columns]), 11).cast("double") * F.lit(2.0**-53)
+    return pages.filter(u < share)
+
+
 def train(pages: DataFrame, text: str = "html", limit: int = TRAIN_PAGES) -> tuple[float, ...]:
-    """Weights from the first `limit` pages of the first partition that has any; blocks inside articles against other parts.
+    """Weights from about `limit` pages; blocks inside articles against other parts.
 
-    The outer limit lets Spark stop after that partition; one row of pattern counts reaches the driver.
+    A task reads `limit` pages of the sample at most. Only counts of feature patterns, which are few, reach the driver.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,15 +294,16 @@ def train(pages: DataFrame, text: str = "html", limit: int = TRAIN_PAGES) -> tup
                 for hide in (False, True):
                     k = (features(b, hide), int(b.node.on and not b.node.off))
                     seen[k] = seen.get(k, 0) + 1
-        if pages:
-            yield pa.RecordBatch.from_pydict({"x": [[list(k[0]) for k in seen]], "y": [[k[1] for k in seen]], "n": [list(seen.values())]}, _COUNTS)
+        if seen:
+            yield pa.RecordBatch.from_pydict({"x": [list(k[0]) for k in seen], "y": [k[1] for k in seen], "n": list(seen.values())}, _COUNTS)
 
     common.small_batches(pages.sparkSession)
-    rows = pages.select(text).mapInArrow(count, "x array<array<long>>, y array<long>, n array<long>").limit(1).collect()
-    return fit([(tuple(x), y, n) for r in rows for x, y, n in zip(r["x"], r["y"], r["n"], strict=True)])
+    counted = sample_of(pages, limit).select(text).mapInArrow(count, "x array<long>, y long, n long")
+    rows = counted.groupBy("x", "y").agg(F.sum("n").alias("n")).collect()
+    return fit(sorted((tuple(r["x"]), r["y"], r["n"]) for r in rows))
 
 
-_COUNTS = pa.schema({"x": pa.list_(pa.list_(pa.int64())), "y": pa.list_(pa.int64()), "n": pa.list_(pa.int64())})
+_COUNTS = pa.schema({"x": pa.list_(pa.int64()), "y": pa.int64(), "n": pa.int64()})
 
 
 def _common_depth(a: Node, b: Node) -> int:
@@ -326,6 +378,7 @@ def _flow(left: list[int], cost: list[float], near: list[dict[int, float]]) -> s
         if sink not in level:
             break
         todo = {u: iter(list(room[u])) for u in level}
+        ahead = {u: next(todo[u], None) for u in level}  # the arc that a node tries: once given up, it stays so in this phase
         path = [source]
         while path:
             u = path[-1]
@@ -334,16 +387,17 @@ def _flow(left: list[int], cost: list[float], near: list[dict[int, float]]) -> s
                 for a, b in zip(path, path[1:], strict=False):
                     room[a][b] -= push
                     room[b][a] = room[b].get(a, 0.0) + push
-                path = [source]
-                todo = {k: iter(list(room[k])) for k in level}
+                path = path[: next(k for k, (a, b) in enumerate(zip(path, path[1:], strict=False)) if room[a][b] <= 1e-12) + 1]
                 continue
-            for v in todo[u]:
-                if room[u][v] > 1e-12 and level.get(v, -9) == level[u] + 1:
-                    path.append(v)
-                    break
-            else:
-                level[u] = -9
+            v = ahead[u]
+            if v is None:
                 path.pop()
+                if path:
+                    ahead[path[-1]] = next(todo[path[-1]], None)
+            elif room[u][v] > 1e-12 and level.get(v, -9) == level[u] + 1:
+                path.append(v)
+            else:
+                ahead[u] = next(todo[u], None)
     reach_sink, queue = {sink}, deque([sink])
     while queue:
         v = queue.popleft()
