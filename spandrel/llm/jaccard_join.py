@@ -1,15 +1,18 @@
-"""N-gram Jaccard self-join by MinHash banding with exact verification.
-
-A text's set holds its distinct windows of five words. Texts with equal sets are one class from the start.
-Each set has `TREES` paths of MinHashes, of one depth that follows from the asked similarity and recall before any
-data is seen: the greatest up to `MAX_DEPTH` at which a pair of that similarity shares a whole path in some tree
-with the target recall. This is fixed banding and stands in for an LSH forest: no trie is built and no prefix is
-shortened by the data. Sets with a path in common, called a node below, are candidates.
-
-A node's members are not paired: each is tied to the least member, and the components of these ties are the
-groups to verify. The texts of a group meet once, in blocks of about `BLOCK` sets, and all intersections of two
-blocks come from one product of 0/1 matrices, exactly. A task emits a row for each set (its links) and a
-spanning forest of the links, never the pairs.
+"""N-gram Jaccard self-join by a MinHash LSH forest with exact verification.
+
+A text's set holds its distinct windows of five words; texts with equal sets are one class from the start. Each set
+has a path of `MAX_DEPTH` labels in each of `TREES` tries, a label being one byte of a MinHash. All paths are stored
+and sorted by tree and path, which is the trie written out: a node is a run of paths with a common prefix, and the
+longest prefix that a set shares with any other stands beside it. Matched prefixes are shortened, level by level from
+the full depth, until a pair of the asked similarity shares one in some tree with the target recall (`shortest`); one
+scan in sorted order ties neighbours whose common prefix is that long. That last level follows from similarity and
+recall and so is the same for all sets.
+
+The components of the ties are the groups to verify. A group of up to `BLOCK` sets is verified at once. A larger
+one is sorted by its first path and cut into blocks, and two blocks meet only if some node has sets in both; so a
+group that chance matches have chained costs in proportion to its size. All intersections of two blocks come from
+one product of 0/1 matrices, exactly. A task emits a row for each set (its links) and a spanning forest of the
+links, never the pairs.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,8 +39,9 @@ BROADCAST_ROWS = 200_000
 CACHE_WORDS = 400_000
 
 
-def depth_for(threshold: float, recall: float = RECALL, trees: int = TREES, deepest: int = MAX_DEPTH) -> int:
-    """The greatest depth at which a pair of the asked similarity shares a path in some tree with the target recall."""
+def shortest(threshold: float, recall: float = RECALL, trees: int = TREES, deepest: int = MAX_DEPTH) -> int:
+    """How far prefixes are shortened: the first depth, from the full one, at which a pair of the asked similarity
+    shares a prefix in some tree with the target recall."""
     for depth in range(deepest, 0, -1):
         if 1 - (1 - threshold**depth) ** trees >= recall:
             return depth
@@ -71,50 +76,97 @@ def shingle_set(text: str | None, hashes: WordHashes, n: int = WORDS) -> np.ndar
 
 
 class Forest:
-    """Prefix keys of a set, one for each tree."""
+    """The paths of a set, one for each tree: `MAX_DEPTH` labels of a byte, the first one highest."""
 
-    def __init__(self, depth: int, trees: int = TREES, seed: int = 20):
+    def __init__(self, trees: int = TREES, seed: int = 20):
         rng = np.random.default_rng(seed)
-        self.depth, self.trees = depth, trees
-        self.mul = rng.integers(0, 1 << 63, trees * depth, np.uint64) * np.uint64(2) + np.uint64(1)
-        self.add = rng.integers(0, 1 << 63, trees * depth, np.uint64)
+        self.trees = trees
+        self.mul = rng.integers(0, 1 << 63, trees * MAX_DEPTH, np.uint64) * np.uint64(2) + np.uint64(1)
+        self.add = rng.integers(0, 1 << 63, trees * MAX_DEPTH, np.uint64)
 
-    def keys(self, shingles: np.ndarray) -> np.ndarray:
-        least = np.full(self.trees * self.depth, np.iinfo(np.uint64).max)
+    def paths(self, shingles: np.ndarray) -> np.ndarray:
+        least = np.full(self.trees * MAX_DEPTH, np.iinfo(np.uint64).max)
         for k in range(0, len(shingles), 1024):
             np.minimum(least, (shingles[k : k + 1024, None] * self.mul + self.add).min(axis=0), out=least)
-        path = least.reshape(self.trees, self.depth)
-        key = np.arange(self.trees, dtype=np.uint64)
-        for k in range(self.depth):
-            key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + path[:, k])
-        return key.view(np.int64)
+        labels = (_mixed(least) >> np.uint64(56)).astype(np.uint8)
+        return labels.reshape(self.trees, MAX_DEPTH).copy().view(">i8")[:, 0].astype(np.int64)
 
 
-def set_id(shingles: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+def set_id(shingles: np.ndarray) -> bytes:
+    """128 bits, so that different sets stay apart however many there are."""
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
 def row_key(docs: DataFrame, key: str, text: str) -> Column:
-    return F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("\0null")), F.col(text))
+    """128 bits of a row's key and text."""
+    name = F.coalesce(F.col(key).cast("string"), F.lit("\0null"))
+    return F.concat(F.hex(F.xxhash64(name, F.col(text))), F.lit("-"), F.hex(F.xxhash64(F.lit("second"), F.col(text), name)))
 
 
-def signed(docs: DataFrame, threshold: float, recall: float, key: str, text: str) -> DataFrame:
-    """doc_id, row_key, set_id (null: no words) and the forest's keys of each row."""
-    depth = depth_for(threshold, recall)
+def signed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """doc_id, row_key, set_id (null: no words) and the paths of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, forest = WordHashes(), Forest(depth)
+        hashes, forest = WordHashes(), Forest()
         for batch in batches:
-            ids, keys = [], []
+            ids, paths = [], []
             for t in batch.column(2).to_pylist():
                 s = shingle_set(t, hashes)
                 ids.append(set_id(s) if len(s) else None)
-                keys.append(forest.keys(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "row_key", "set_id", "keys"])
+                paths.append(forest.paths(s) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary()), pa.array(paths, pa.list_(pa.int64()))], ["doc_id", "row_key", "set_id", "paths"])
 
     common.small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("doc_id"), row_key(docs, key, text).alias("row_key"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {docs.schema[key].dataType.simpleString()}, row_key long, set_id long, keys array<long>")
+    return rows.mapInArrow(run, f"doc_id {docs.schema[key].dataType.simpleString()}, row_key string, set_id binary, paths array<long>")
+
+
+def _shared_depth(tree_a: np.ndarray, path_a: np.ndarray, tree_b: np.ndarray, path_b: np.ndarray) -> np.ndarray:
+    """Labels that two paths have in common from the start; -1 in different trees."""
+    differ = (path_a ^ path_b).view(np.uint64)
+    depth = sum((differ >> np.uint64(8 * (MAX_DEPTH - d)) == 0).astype(np.int64) for d in range(1, MAX_DEPTH + 1))
+    return np.where(tree_a == tree_b, depth, -1)
+
+
+def ties(paths: DataFrame, depth: int) -> DataFrame:
+    """(a, b): neighbours in the sorted tries of `paths` (tree, path, node) whose common prefix has `depth` labels.
+
+    The sort is by range, so a node of any size is spread over tasks; each task hands its first and last path to
+    the driver, where neighbours on two sides of a cut are tied.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, part = None, TaskContext.get().partitionId()
+
+        def out(a: np.ndarray, b: np.ndarray, edge: int, tree: int, path: int) -> pa.RecordBatch:
+            columns = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), *(pa.array(np.full(len(a), v), pa.int64()) for v in (edge, tree, path))]
+            return pa.RecordBatch.from_arrays(columns, ["a", "b", "edge", "tree", "path"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tree, path, node = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns)
+            if last is None:
+                yield out(node[:1], node[:1], 2 * part, tree[0], path[0])
+            else:
+                tree, path, node = (np.concatenate(([v], c)) for v, c in zip(last, (tree, path, node), strict=True))
+            near = _shared_depth(tree[:-1], path[:-1], tree[1:], path[1:]) >= depth
+            yield out(node[:-1][near], node[1:][near], -1, 0, 0)
+            last = (tree[-1], path[-1], node[-1])
+        if last is not None:
+            yield out(np.array([last[2]]), np.array([last[2]]), 2 * part + 1, last[0], last[1])
+
+    ordered = paths.select("tree", "path", "node").repartitionByRange("tree", "path", "node").sortWithinPartitions("tree", "path", "node")
+    found = common.stored(ordered.mapInArrow(run, "a long, b long, edge long, tree long, path long"), "ties")
+    ends = found.filter("edge >= 0").orderBy("edge").collect()
+    across = [(x["a"], y["a"]) for x, y in zip(ends, ends[1:], strict=False) if x["edge"] % 2 and x["tree"] == y["tree"] and _common_labels(x["path"], y["path"]) >= depth]
+    tied = found.filter("edge < 0").select("a", "b")
+    return tied.union(paths.sparkSession.createDataFrame(across, "a long, b long")) if across else tied
+
+
+def _common_labels(a: int, b: int) -> int:
+    one = np.zeros(1, np.int64)
+    return int(_shared_depth(one, np.array([a], np.int64), one, np.array([b], np.int64))[0])
 
 
 def intersections(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np.ndarray:
@@ -140,7 +192,7 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray] | None = None)
 
 
 def _linked(left: list[tuple], right: list[tuple] | None, threshold: float) -> Iterator[tuple[int, int, int, int]]:
-    """Rows (set_id, links to sets, links to texts, least set in its tree) of a block, or of two."""
+    """Rows (node, links to sets, links to texts, least set in its tree) of a block, or of two."""
     a, b = left, left if right is None else right
     sizes_a, sizes_b = (np.array([len(x[2]) for x in side], float) for side in (a, b))
     common_ = intersections([x[2] for x in a], None if right is None else [x[2] for x in b])
@@ -170,7 +222,7 @@ def _linked(left: list[tuple], right: list[tuple] | None, threshold: float) -> I
 
 
 def _verified(threshold: float):
-    names = ["set_id", "links", "texts", "root"]
+    names = ["node", "links", "texts", "root"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, group, sides = WordHashes(), None, ({}, {})
@@ -187,10 +239,10 @@ def _verified(threshold: float):
         for batch in batches:
             rows = []
             columns = [c.to_pylist() for c in batch.columns]
-            for comp, i, j, block, one, copies, text in zip(*columns, strict=True):
-                if (comp, i, j) != group:
+            for whole, i, j, block, one, copies, text in zip(*columns, strict=True):
+                if (whole, i, j) != group:
                     rows += done()
-                    group, sides = (comp, i, j), ({}, {})
+                    group, sides = (whole, i, j), ({}, {})
                 side = sides[0 if block == i else 1]
                 if one not in side:
                     side[one] = (copies, shingle_set(text, hashes))
@@ -216,27 +268,26 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     columns are ignored, an empty table gives an empty result.
     """
     common.require(docs, key, text)
-    rows = common.stored(signed(docs, threshold, recall, key, text), "forest")
-    sets = common.checkpointed(
-        rows.filter("set_id is not null").groupBy("set_id").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "row_key")).alias("least"), F.min("row_key").alias("row_key"))
-    )
-    keyed = rows.filter("set_id is not null").groupBy("set_id").agg(F.first("keys").alias("keys")).select("set_id", F.explode("keys").alias("k"))
-    nodes = keyed.groupBy("k").agg(F.min("set_id").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("k", "hub")
-    ties = keyed.join(nodes, "k").filter("set_id <> hub").select(F.col("set_id").alias("a"), F.col("hub").alias("b")).distinct()
-    groups = components(ties)
-    links = common.checkpointed(_links(docs, sets, groups, threshold, key, text, block, broadcast_rows))
-    tied = links.groupBy("set_id").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"), F.min("root").alias("root"), F.max("root").alias("other"))
+    depth = shortest(threshold, recall)
+    rows = common.stored(signed(docs, key, text), "signatures")
+    distinct = rows.filter("set_id is not null").groupBy("set_id").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "row_key")).alias("least"), F.min("row_key").alias("row_key"), F.first("paths").alias("paths"))
+    sets = common.stored(distinct.withColumn("node", F.monotonically_increasing_id()), "sets")
+    paths = sets.select("node", F.posexplode("paths").alias("tree", "path"))
+    groups = components(ties(paths, depth))
+    links = common.checkpointed(_links(docs, sets, groups, threshold, depth, key, text, block, broadcast_rows))
+    tied = links.groupBy("node").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"), F.min("root").alias("root"), F.max("root").alias("other"))
     if tied.filter("root <> other").limit(1).count():  # some group took several tasks: its trees are joined
-        labels = components(links.select(F.col("set_id").alias("a"), F.col("root").alias("b")))
+        labels = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
     else:
-        labels = tied.select(F.col("set_id").alias("node"), F.col("root").alias("label"))
+        labels = tied.select("node", F.col("root").alias("label"))
     joined = (
-        sets.join(tied.select("set_id", "texts"), "set_id", "left")
-        .join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
-        .select("set_id", "copies", "least", F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("label", "set_id").alias("label"))
+        sets.join(tied.select("node", "texts"), "node", "left")
+        .join(labels, "node", "left")
+        .select("set_id", "copies", "least", F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("label", "node").alias("label"))
+        .filter("copies > 1 or texts > 0")
     )
     classes = joined.groupBy("label").agg(F.min("least").alias("first"))
-    known = joined.join(classes, "label").filter("copies > 1 or texts > 0").select("set_id", "copies", "texts", F.col("first.doc_id").alias("class_id"), F.col("first.row_key").alias("keeper"))
+    known = joined.join(classes, "label").select("set_id", "copies", "texts", F.col("first.doc_id").alias("class_id"), F.col("first.row_key").alias("keeper"))
     return rows.select("doc_id", "row_key", "set_id").join(_bounded(common.checkpointed(known), broadcast_rows), "set_id", "left").select(
         "doc_id",
         "row_key",
@@ -247,22 +298,31 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     )
 
 
-def _links(docs: DataFrame, sets: DataFrame, groups: DataFrame, threshold: float, key: str, text: str, block: int, broadcast_rows: int) -> DataFrame:
-    """Verified links of each set: (set_id, links, texts, root), a row for each task that found some."""
-    sized = groups.groupBy("label").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    members = (
-        groups.join(sized, "label")
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .join(sets, groups["node"] == sets["set_id"])
-        .select(F.col("label").alias("comp"), "blocks", "block", "set_id", "copies", "row_key")
-    )
+def block_pairs(large: DataFrame, depth: int) -> DataFrame:
+    """(i, j), i <= j: blocks of `large` (block, paths) of which some node of that depth has sets in both."""
+    prefix = F.call_function("shiftright", F.col("path"), F.lit(8 * (MAX_DEPTH - depth)))
+    held = large.select("block", F.posexplode("paths").alias("tree", "path")).select("tree", prefix.alias("prefix"), "block").distinct()
+    many = held.groupBy("tree", "prefix").agg(F.array_sort(F.collect_list("block")).alias("blocks"))
+    meet = many.select(F.explode("blocks").alias("i"), "blocks").select("i", F.explode(F.filter("blocks", lambda b: b >= F.col("i"))).alias("j"))
+    return meet.distinct()
+
+
+def _links(docs: DataFrame, sets: DataFrame, groups: DataFrame, threshold: float, depth: int, key: str, text: str, block: int, broadcast_rows: int) -> DataFrame:
+    """Verified links of each set: (node, links, texts, root), a row for each task that found some."""
+    sized = groups.groupBy("label").agg(F.count("*").alias("n"))
+    members = common.checkpointed(groups.join(sized, "label").join(sets.drop("set_id", "least"), "node"))
+    small = members.filter(F.col("n") <= block).select(F.lit(True).alias("whole"), F.col("label").alias("i"), F.col("label").alias("j"), F.col("label").alias("block"), "node", "copies", "row_key")
+    large = members.filter(F.col("n") > block)
+    if large.limit(1).count():
+        ordered = large.withColumn("first", F.col("paths")[0]).repartitionByRange("label", "first", "node").sortWithinPartitions("label", "first", "node")
+        large = common.stored(ordered.withColumn("block", F.call_function("div", F.monotonically_increasing_id(), F.lit(block))), "blocks")
+        pairs = common.checkpointed(block_pairs(large, depth))
+        sides = pairs.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+        small = small.unionByName(sides.join(large, "block").select(F.lit(False).alias("whole"), "i", "j", "block", "node", "copies", "row_key"))
     texts = docs.select(row_key(docs, key, text).alias("row_key"), F.col(text).alias("text"))
-    held = texts.join(_bounded(common.checkpointed(members), broadcast_rows), "row_key")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
-    spread = held.select("comp", "block", "set_id", "copies", "text", F.explode(pairs).alias("p"))
-    rows = spread.select("comp", "p.i", "p.j", "block", "set_id", "copies", "text")
-    dealt = rows.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")
-    return dealt.mapInArrow(_verified(threshold), "set_id long, links long, texts long, root long")
+    dealt = texts.join(_bounded(common.checkpointed(small), broadcast_rows), "row_key").select("whole", "i", "j", "block", "node", "copies", "text")
+    dealt = dealt.repartition("whole", "i", "j").sortWithinPartitions("whole", "i", "j")
+    return dealt.mapInArrow(_verified(threshold), "node long, links long, texts long, root long")
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, key: str = "doc_id", text: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -249,18 +249,64 @@ def test_one_of_each_class_stays(docs, rows, empty):
     assert jaccard_join.keep_one(empty).count() == 0 == jaccard_join.similar(empty).count()
 
 
-def test_forest_depth_meets_the_recall():
-    d = jaccard_join.depth_for(0.8)
+def test_prefixes_are_shortened_to_the_recall():
+    d = jaccard_join.shortest(0.8)
     assert 1 - (1 - 0.8**d) ** jaccard_join.TREES >= jaccard_join.RECALL
     assert 1 - (1 - 0.8 ** (d + 1)) ** jaccard_join.TREES < jaccard_join.RECALL
-
-
-def test_a_recall_out_of_reach_is_an_error():
     for threshold in (0.3, 0.5, 0.8, 0.95):
-        assert 1 - (1 - threshold ** jaccard_join.depth_for(threshold)) ** jaccard_join.TREES >= jaccard_join.RECALL
+        assert 1 - (1 - threshold ** jaccard_join.shortest(threshold)) ** jaccard_join.TREES >= jaccard_join.RECALL
     for threshold in (0.05, 0.2, 0.24):
         with pytest.raises(ValueError):
-            jaccard_join.depth_for(threshold)
+            jaccard_join.shortest(threshold)
+
+
+def test_ties_join_the_sets_of_each_node(spark):
+    rng = random.Random(4)
+    rows = [(t, int.from_bytes(bytes(rng.choice([0, 128, 255]) if d < 3 else rng.randrange(256) for d in range(8)), "big", signed=True), n) for t in range(3) for n in range(400)]
+    df = spark.createDataFrame(rows, "tree int, path long, node long")
+    for depth in (1, 2, 3, 8):
+        root = list(range(400))
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        nodes = defaultdict(list)
+        for t, p, n in rows:
+            nodes[t, (p % (1 << 64)) >> (64 - 8 * depth)].append(n)
+        for members in nodes.values():
+            for n in members:
+                root[max(find(n), find(members[0]))] = min(find(n), find(members[0]))
+        got = {r.node: r.label for r in components(jaccard_join.ties(df, depth)).collect()}
+        assert {n: got.get(n, n) for n in range(400)} == {n: find(n) for n in range(400)}
+
+
+def test_recall_of_the_forest_over_pairs_at_the_threshold(spark):
+    """1,200 pairs of similarity 0.8 to 0.9, found by ties alone."""
+    rng = random.Random(6)
+    hashes, forest = jaccard_join.WordHashes(), jaccard_join.Forest()
+    rows, pairs = [], 0
+    while pairs < 1200:
+        words = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+        other = list(words)
+        for _ in range(rng.choice([2, 2, 1])):
+            other[rng.randrange(120)] = "changed"
+        a, b = (jaccard_join.shingle_set(" ".join(w), hashes) for w in (words, other))
+        n = len(np.intersect1d(a, b))
+        if 0.8 <= n / (len(a) + len(b) - n) <= 0.9:
+            rows += [(t, int(p), 2 * pairs + k) for k, s in enumerate((a, b)) for t, p in enumerate(forest.paths(s))]
+            pairs += 1
+    df = spark.createDataFrame(rows, "tree int, path long, node long")
+    got = {r.node: r.label for r in components(jaccard_join.ties(df, jaccard_join.shortest(0.8))).collect()}
+    assert sum(got.get(2 * k) == got.get(2 * k + 1, -1) for k in range(1200)) >= 0.999 * 1200
+
+
+def test_chained_groups_meet_by_shared_nodes_only(spark):
+    """Sets in a chain, each sharing a node with the next: block pairs grow with the blocks, not with their square."""
+    rows = [(n // 10, [(n // 2) << 16, (n + 1) // 2 << 16]) for n in range(400)]
+    pairs = jaccard_join.block_pairs(spark.createDataFrame(rows, "block long, paths array<long>"), 6).collect()
+    assert {(r.i, r.j) for r in pairs} == {(i, i) for i in range(40)} | {(i, i + 1) for i in range(39)}
 
 
 def test_components(spark):
