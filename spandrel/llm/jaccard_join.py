@@ -5,7 +5,7 @@ has a path of `MAX_DEPTH` labels in each of `TREES` tries, a label being one byt
 and sorted by tree and path, which is the trie written out: a node is a run of paths with a common prefix, and the
 longest prefix that a set shares with any other stands beside it. Matched prefixes are shortened, level by level from
 the full depth, until a pair of the asked similarity shares one in some tree with the target recall (`shortest`); one
-scan in sorted order ties neighbours whose common prefix is that long. That last level follows from similarity and
+scan in sorted order ties each run of paths whose common prefix is that long to the least set of the run. That last level follows from similarity and
 recall and so is the same for all sets.
 
 The components of the ties are the groups to verify. A group of up to `BLOCK` sets is verified at once. A larger
@@ -129,9 +129,9 @@ def _shared_depth(tree_a: np.ndarray, path_a: np.ndarray, tree_b: np.ndarray, pa
 
 
 def ties(paths: DataFrame, depth: int) -> DataFrame:
-    """(a, b): neighbours in the sorted tries of `paths` (tree, path, node) whose common prefix has `depth` labels.
+    """(a, b): sets of `paths` (tree, path, node) in one node of `depth` labels of the sorted tries; b is the least of its run.
 
-    The sort is by range, so a node of any size is spread over tasks; each task hands its first and last path to
+    A run ends with the node or with the Arrow batch, whose runs of one node are tied to each other. The sort is by range, so a node of any size is spread over tasks; each task hands its first and last path to
     the driver, where neighbours on two sides of a cut are tied.
     """
 
@@ -148,19 +148,23 @@ def ties(paths: DataFrame, depth: int) -> DataFrame:
             tree, path, node = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns)
             if last is None:
                 yield out(node[:1], node[:1], 2 * part, tree[0], path[0])
-            else:
+            else:  # the run before this batch stands in front, as its least set
                 tree, path, node = (np.concatenate(([v], c)) for v, c in zip(last, (tree, path, node), strict=True))
-            near = _shared_depth(tree[:-1], path[:-1], tree[1:], path[1:]) >= depth
-            yield out(node[:-1][near], node[1:][near], -1, 0, 0)
-            last = (tree[-1], path[-1], node[-1])
+            starts = np.flatnonzero(np.concatenate(([True], _shared_depth(tree[:-1], path[:-1], tree[1:], path[1:]) < depth)))
+            least = np.minimum.reduceat(node, starts)
+            hub = np.repeat(least, np.diff(np.append(starts, len(node))))
+            yield out(node[node != hub], hub[node != hub], -1, 0, 0)
+            last = (tree[-1], path[-1], least[-1])
         if last is not None:
             yield out(np.array([last[2]]), np.array([last[2]]), 2 * part + 1, last[0], last[1])
 
+    common.small_batches(paths.sparkSession, 1 << 16)  # a row is 20 bytes
     ordered = paths.select("tree", "path", "node").repartitionByRange("tree", "path", "node").sortWithinPartitions("tree", "path", "node")
     found = common.stored(ordered.mapInArrow(run, "a long, b long, edge long, tree long, path long"), "ties")
+    common.small_batches(paths.sparkSession)
     ends = found.filter("edge >= 0").orderBy("edge").collect()
     across = [(x["a"], y["a"]) for x, y in zip(ends, ends[1:], strict=False) if x["edge"] % 2 and x["tree"] == y["tree"] and _common_labels(x["path"], y["path"]) >= depth]
-    tied = found.filter("edge < 0").select("a", "b")
+    tied = found.filter("edge < 0").select("a", "b").distinct()
     return tied.union(paths.sparkSession.createDataFrame(across, "a long, b long")) if across else tied
 
 
@@ -286,8 +290,9 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
         .select("set_id", "copies", "least", F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("label", "node").alias("label"))
         .filter("copies > 1 or texts > 0")
     )
-    classes = joined.groupBy("label").agg(F.min("least").alias("first"))
-    known = joined.join(classes, "label").select("set_id", "copies", "texts", F.col("first.doc_id").alias("class_id"), F.col("first.row_key").alias("keeper"))
+    joined = common.checkpointed(joined)
+    classes = common.checkpointed(joined.groupBy("label").agg(F.min("least").alias("first")))
+    known = joined.join(_bounded(classes, broadcast_rows), "label").select("set_id", "copies", "texts", F.col("first.doc_id").alias("class_id"), F.col("first.row_key").alias("keeper"))
     return rows.select("doc_id", "row_key", "set_id").join(_bounded(common.checkpointed(known), broadcast_rows), "set_id", "left").select(
         "doc_id",
         "row_key",
@@ -309,10 +314,10 @@ def block_pairs(large: DataFrame, depth: int) -> DataFrame:
 
 def _links(docs: DataFrame, sets: DataFrame, groups: DataFrame, threshold: float, depth: int, key: str, text: str, block: int, broadcast_rows: int) -> DataFrame:
     """Verified links of each set: (node, links, texts, root), a row for each task that found some."""
-    sized = groups.groupBy("label").agg(F.count("*").alias("n"))
-    members = common.checkpointed(groups.join(sized, "label").join(sets.drop("set_id", "least"), "node"))
-    small = members.filter(F.col("n") <= block).select(F.lit(True).alias("whole"), F.col("label").alias("i"), F.col("label").alias("j"), F.col("label").alias("block"), "node", "copies", "row_key")
-    large = members.filter(F.col("n") > block)
+    sized = common.checkpointed(groups.groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n") > block))
+    members = common.checkpointed(groups.join(_bounded(sized, broadcast_rows), "label", "left").join(sets.drop("set_id", "least"), "node"))
+    small = members.filter("n is null").select(F.lit(True).alias("whole"), F.col("label").alias("i"), F.col("label").alias("j"), F.col("label").alias("block"), "node", "copies", "row_key")
+    large = members.filter("n is not null")
     if large.limit(1).count():
         ordered = large.withColumn("first", F.col("paths")[0]).repartitionByRange("label", "first", "node").sortWithinPartitions("label", "first", "node")
         large = common.stored(ordered.withColumn("block", F.call_function("div", F.monotonically_increasing_id(), F.lit(block))), "blocks")
