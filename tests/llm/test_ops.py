@@ -643,6 +643,47 @@ def test_mixing_stream_grows_with_the_corpus(spark, monkeypatch):
     assert np.isfinite(model.weights).all() and ((model.refined > 0) & (model.refined < 1)).all()
 
 
+def test_chances_equal_inputs_and_predict():
+    rng = np.random.default_rng(3)
+    tables = [np.where(rng.random(1 << size) < 0.4, lm_scoring.UNKNOWN, rng.integers(-20000, 20000, 1 << size)).astype("<i2") for size in lm_scoring.TABLE_BITS]
+    model = lm_scoring.Model.blank(tables)
+    model.weights += rng.normal(0, 0.1, model.weights.shape)
+    for _, slots, bit, node, _ in lm_scoring.Spelling([b"some", b"words", b"", b"x" * 40]).steps():
+        assert np.allclose(model.chances(slots, bit, node), model.predict(*model.inputs(slots, bit), node)[1])
+
+
+def test_a_word_costs_the_sum_of_its_bits():
+    """The score of a word by a plain loop over bits, one context at a time."""
+    rng = np.random.default_rng(4)
+    tables = [np.where(rng.random(1 << size) < 0.3, lm_scoring.UNKNOWN, rng.integers(-9000, 9000, 1 << size)).astype("<i2") for size in lm_scoring.TABLE_BITS]
+    model = lm_scoring.Model.blank(tables)
+    mask, mix = (1 << 64) - 1, lambda x: (y := (x ^ (x >> 32)) * 0xD6E8FEB86659FD93 & ((1 << 64) - 1)) ^ (y >> 32)
+    for word in (b"the", b"", "é🙂".encode(), b"a" * 30):
+        total, history, prefix = 0.0, [0] * 4, 7
+        for byte in word + b" " if word else b"\t":
+            contexts, h = [], 1
+            for k in range(5):
+                contexts.append(mix((h + k * 0x9E3779B97F4A7C15) & mask))
+                if k < 4:
+                    h = mix((h * 0x2545F4914F6CDD1D + history[k] + 1) & mask)
+            node = 1
+            for i in range(8):
+                bit = byte >> (7 - i) & 1
+                slots = [node if n == 0 else ((c ^ (node * 0x9E3779B97F4A7C15 & mask)) * 0xD6E8FEB86659FD93 & mask) >> (64 - size) for n, c, size in zip(lm_scoring.ORDERS, [*contexts, prefix], lm_scoring.TABLE_BITS)]
+                raw = [int(t[s]) for t, s in zip(tables, slots)]
+                longest = max([k + 1 for k, r in enumerate(raw) if r != lm_scoring.UNKNOWN], default=0)
+                w = model.weights[longest * 8 + i]
+                dot = max(-12.0, min(12.0, w[-1] + sum(w[k] * r / lm_scoring.SCALE for k, r in enumerate(raw) if r != lm_scoring.UNKNOWN)))
+                at = (max(-7.999, min(7.999, dot)) + 8) * (lm_scoring.BUCKETS - 1) / 16
+                low = int(at)
+                p = 0.5 * (1 / (1 + math.exp(-dot)) + model.refined[node, low] * (1 - at + low) + model.refined[node, low + 1] * (at - low))
+                total += math.log10(p if bit else 1 - p)
+                node = node * 2 + bit
+            history = [byte + 1, *history[:3]]
+            prefix = mix((prefix * 0x2545F4914F6CDD1D + byte + 1) & mask)
+        assert model.log10([word])[0] == pytest.approx(total)
+
+
 def test_held_out_text_costs_less_than_unknown_text(spark):
     known = [(i, t) for i, t in enumerate(texts(200, 4))]
     df = spark.createDataFrame(known, "doc_id long, text string")
