@@ -14,6 +14,7 @@ beyond that the same joins run as shuffles. Words are runs without ASCII white s
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,9 +32,9 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), "")
 
 
-def shingled(rows: DataFrame, text: str = "text", n: int = WORDS) -> DataFrame:
-    """A row for each window of n words, in columns w0..w{n-1}; the text goes, other columns stay."""
-    words = rows.withColumn("ws", words_of(F.col(text))).filter(F.size("ws") >= n)
+def shingled(rows: DataFrame, text: str = "text", n: int = WORDS, whole: bool = False) -> DataFrame:
+    """A row for each window of n words, in columns w0..w{n-1}; the text goes, other columns stay. `whole`: texts of n words only."""
+    words = rows.withColumn("ws", words_of(F.col(text))).filter(F.size("ws") == n if whole else F.size("ws") >= n)
     shifted = [F.slice("ws", k + 1, F.size("ws") - (n - 1)).alias(f"w{k}") for k in range(n)]
     keep = [c for c in rows.columns if c != text]
     return words.select(*keep, F.inline(F.arrays_zip(*shifted)).alias(*[f"w{k}" for k in range(n)]))
@@ -47,10 +48,23 @@ def _shingle(n: int = WORDS) -> Column:
     return F.concat_ws(" ", *[f"w{k}" for k in range(n)])
 
 
-def item_shingles(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
-    """Distinct shingles of each item with their count; items of equal key and different text stay apart."""
+def widths_of(items: DataFrame, text: str = "text") -> list[int]:
+    """The windows that items need: five words, and fewer for each count of words that a shorter item has."""
+    short = items.select(F.size(words_of(F.col(text))).alias("n")).filter(F.col("n").between(1, WORDS - 1)).distinct().collect()
+    return sorted({WORDS, *(r["n"] for r in short)})
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def item_shingles(items: DataFrame, widths: list[int], key: str = "item_id", text: str = "text") -> DataFrame:
+    """Distinct shingles of each item with their count; items of equal key and different text stay apart.
+
+    An item of fewer than five words is one shingle of all its words."""
     rows = items.select(F.col(key).alias("item_id"), F.xxhash64(text).alias("item_text"), F.col(text).alias("text"))
-    shingles = shingled(rows).select("item_id", "item_text", _hash().alias("h"), _shingle().alias("shingle")).distinct()
+    each = [shingled(rows, n=n, whole=n < WORDS).select("item_id", "item_text", _hash(n).alias("h"), _shingle(n).alias("shingle")) for n in widths]
+    shingles = _union(each).distinct()
     sizes = shingles.groupBy("item_id", "item_text").agg(F.count("*").alias("n_item"))
     return shingles.join(sizes.withColumnRenamed("item_id", "i").withColumnRenamed("item_text", "t"), F.col("item_id").eqNullSafe(F.col("i")) & (F.col("item_text") == F.col("t"))).drop("i", "t")
 
@@ -72,16 +86,18 @@ def _bounded(df: DataFrame, rows: int, limit: int) -> DataFrame:
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row for each document text and item it holds at `threshold` or more.
 
-    Columns: doc_id, doc_text (hash of the text), item_id, n_shared, n_item, containment. Texts and items of
-    fewer than five words, nulls and empties have no shingle and match nothing; equal rows give one row.
+    Columns: doc_id, doc_text (hash of the text), item_id, n_shared, n_item, containment. An item of fewer than five
+    words is held by a text in which these words stand in a row. Nulls and empties have no shingle and match nothing;
+    equal rows give one row.
     """
     common.require(docs, key, "text")
     common.require(items, "item_id", "text")
-    shingles = common.checkpointed(item_shingles(items))
+    widths = widths_of(items)
+    shingles = common.checkpointed(item_shingles(items, widths))
     signed = common.checkpointed(signatures(shingles, threshold))
     n_signed, n_shingles = signed.count(), shingles.count()
     texts = docs.select(F.col(key).alias("doc_id"), F.xxhash64("text").alias("doc_text"), "text")
-    probes = shingled(texts).select("doc_id", "doc_text", _hash().alias("h"))
+    probes = _union([shingled(texts, n=n).select("doc_id", "doc_text", _hash(n).alias("h")) for n in widths])
     candidates = common.checkpointed(
         probes.join(_bounded(signed, n_signed, broadcast_rows), "h").select("doc_id", "doc_text", "item_id", "item_text").distinct()
     )
@@ -90,7 +106,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     asked = named.select("d", "t").distinct()
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("doc_text") == F.col("t"))
     held = texts.join(_bounded(asked, n_candidates, broadcast_rows), same, "left_semi")
-    held = shingled(held).select("doc_id", "doc_text", _shingle().alias("shingle"))
+    held = _union([shingled(held, n=n).select("doc_id", "doc_text", _shingle(n).alias("shingle")) for n in widths])
     shared = held.join(_bounded(shingles.drop("h"), n_shingles, broadcast_rows), "shingle")
     found = shared.groupBy("doc_id", "doc_text", "item_id", "item_text", "n_item").agg(F.countDistinct("shingle").alias("n_shared"))
     return found.filter(F.col("n_shared") >= F.col("n_item") * threshold - 1e-9).select(
@@ -99,7 +115,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The documents that hold no item, columns unchanged; short, null and empty texts stay."""
+    """The documents that hold no item, columns unchanged; null and empty texts stay."""
     hits = common.checkpointed(contaminated(docs, items, threshold, key, broadcast_rows).select(F.col("doc_id").alias("_d"), F.col("doc_text").alias("_t")).distinct())
     same = F.col(key).eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_t"))
     return docs.join(_bounded(hits, hits.count(), broadcast_rows), same, "left_anti")
@@ -118,8 +134,10 @@ with words as (
   select 'd' as kind, doc_id as id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents
   union all
   select 'i', item_id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') from benchmark),
-p as (select kind, id, ws, unnest(range(1, len(ws) - 3)) as i from words where len(ws) >= 5),
-s as (select distinct kind, id, ws[i] || ' ' || ws[i+1] || ' ' || ws[i+2] || ' ' || ws[i+3] || ' ' || ws[i+4] as shingle from p),
+widths as (select distinct least(len(ws), 5) as n from words where kind = 'i' and len(ws) > 0),
+p as (select kind, id, ws, n, unnest(range(1, len(ws) - n + 2)) as i from words, widths
+  where len(ws) >= n and (kind = 'd' or n = least(len(ws), 5))),
+s as (select distinct kind, id, array_to_string(ws[i:i + n - 1], ' ') as shingle from p),
 n as (select id, count(*) as n_item from s where kind = 'i' group by id),
 c as (
   select d.id as doc_id, i.id as item_id, count(*) as n_shared
