@@ -57,6 +57,14 @@ def test_designations(raw, canonical):
     assert designation.parse(raw)["canonical"] == canonical
 
 
+def test_designations_side_by_side():
+    text = "(E) W18x35, 2L 3-1/2x3x5/16 HP14×73 24 LH 08; 48G10N9.5F PIPE 6 SCH 40 HSS6X0.25 W18x .5 AW8x10"
+    assert [(d["canonical"], d["family"], d["status"]) for d in designation.find(text)] == [
+        ("W18X35", "W", "E"), ("2L3-1/2X3X5/16", "DOUBLE_L", None), ("HP14X73", "HP", None), ("24LH08", "JOIST", None),
+        ("48G10N9.5F", "JOIST_GIRDER", None), ("PIPE6SCH40", "PIPE", None), ("HSS6X0.250", "HSS_ROUND", None),
+    ]
+
+
 def test_designation_doubts():
     assert designation.find("WI8x3S")[0]["canonical"] == "W18X35" and designation.find("WI8x3S")[0]["confidence"] <= 0.6
     assert designation.find("W99x5000")[0]["confidence"] <= 0.3
