@@ -303,6 +303,23 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     )
 
 
+def blocked(rows: DataFrame, order: list[str], block: int) -> DataFrame:
+    """`rows` with their block: each `block` rows in sequence, sorted by range, whatever the number of partitions.
+
+    A row's place is its place in its partition plus the rows of those before, whose counts are all that the driver gets.
+    """
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    held = common.stored(ordered, "ordered")
+    part = F.call_function("shiftright", F.col("_id"), F.lit(33))
+    counts = sorted((r["part"], r["n"]) for r in held.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
+    before, offsets = 0, []
+    for k, n in counts:
+        offsets.append((k, before - (k << 33)))
+        before += n
+    shifts = rows.sparkSession.createDataFrame(offsets, "part long, shift long")
+    return held.join(F.broadcast(shifts), part == F.col("part")).withColumn("block", F.call_function("div", F.col("_id") + F.col("shift"), F.lit(block))).drop("_id", "part", "shift")
+
+
 def block_pairs(large: DataFrame, depth: int) -> DataFrame:
     """(i, j), i <= j: blocks of `large` (block, paths) of which some node of that depth has sets in both."""
     prefix = F.call_function("shiftright", F.col("path"), F.lit(8 * (MAX_DEPTH - depth)))
@@ -319,8 +336,7 @@ def _links(docs: DataFrame, sets: DataFrame, groups: DataFrame, threshold: float
     small = members.filter("n is null").select(F.lit(True).alias("whole"), F.col("label").alias("i"), F.col("label").alias("j"), F.col("label").alias("block"), "node", "copies", "row_key")
     large = members.filter("n is not null")
     if large.limit(1).count():
-        ordered = large.withColumn("first", F.col("paths")[0]).repartitionByRange("label", "first", "node").sortWithinPartitions("label", "first", "node")
-        large = common.stored(ordered.withColumn("block", F.call_function("div", F.monotonically_increasing_id(), F.lit(block))), "blocks")
+        large = blocked(large.withColumn("first", F.col("paths")[0]), ["label", "first", "node"], block)
         pairs = common.checkpointed(block_pairs(large, depth))
         sides = pairs.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
         small = small.unionByName(sides.join(large, "block").select(F.lit(False).alias("whole"), "i", "j", "block", "node", "copies", "row_key"))

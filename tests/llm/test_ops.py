@@ -302,6 +302,16 @@ def test_recall_of_the_forest_over_pairs_at_the_threshold(spark):
     assert sum(got.get(2 * k) == got.get(2 * k + 1, -1) for k in range(1200)) >= 0.999 * 1200
 
 
+@pytest.mark.parametrize("parts", [1, 50])
+def test_blocks_are_full_whatever_the_partitions(spark, parts):
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = jaccard_join.blocked(spark.range(100).withColumn("v", F.col("id") * 7919 % 101), ["v"], 8).orderBy("v").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert [r.block for r in got] == [k // 8 for k in range(100)]
+
+
 def test_chained_groups_meet_by_shared_nodes_only(spark):
     """Sets in a chain, each sharing a node with the next: block pairs grow with the blocks, not with their square."""
     rows = [(n // 10, [(n // 2) << 16, (n + 1) // 2 << 16]) for n in range(400)]
