@@ -127,3 +127,64 @@ def current_stock(events: DataFrame) -> DataFrame:
     """Idempotent imports: the first event of each URL and content hash is new, later ones unchanged."""
     w = Window.partitionBy("url", "sha256").orderBy("ts", "event_id")
     return events.withColumn("state", F.when(F.row_number().over(w) == 1, "new").otherwise("unchanged"))
+
+
+def url_filter(rows: DataFrame, part: str | None = None, pdf_only: bool = False) -> DataFrame:
+    """Rows whose url holds `part`, in any case, and, if asked, whose path ends in .pdf."""
+    url = F.lower("url")
+    held = url.contains(part.lower()) if part else F.lit(True)
+    return rows.filter(held & F.regexp_extract(url, r"^[^?#]*", 0).endswith(".pdf") if pdf_only else held)
+
+
+def allowed_urls(rows: DataFrame, hosts: list[str]) -> DataFrame:
+    """Rows whose url is http or https and whose host is listed; the list is a parameter, so it stays in the plan."""
+    host = F.regexp_extract(F.lower("url"), r"^https?://(?:[^/@?#]*@)?([^/:?#]+)", 1)
+    return rows.filter(host.isin([h.lower() for h in hosts]))
+
+
+#: System files that a walk passes over.
+SKIPPED_NAMES = (".DS_Store", "Thumbs.db", "desktop.ini", ".Spotlight-V100", ".Trashes", ".fseventsd")
+
+
+def walked(rows: DataFrame, path: str = "path", excludes: tuple[str, ...] = (), names: tuple[str, ...] = SKIPPED_NAMES) -> DataFrame:
+    """Rows whose path a walk reaches: no system name, no hidden folder, no lock or resource file, no excluded glob."""
+    parts = F.split(F.col(path), "/")
+    file = F.element_at(parts, -1)
+    folders = F.slice(parts, F.lit(1), F.size(parts) - 1)
+    keep = ~F.exists(parts, lambda p: p.isin(list(names))) & ~F.exists(folders, lambda p: p.startswith(".") & (F.length(p) > 1)) & ~file.startswith("._") & ~file.startswith("~$")
+    for glob in excludes:
+        keep = keep & ~F.col(path).rlike("^" + "".join({"*": ".*", "?": "."}.get(c, "\\" + c if not c.isalnum() and c != "/" else c) for c in glob) + "$")
+    return rows.filter(keep)
+
+
+def top_classes(scores: DataFrame, key: str, most: int = 5) -> DataFrame:
+    """The best `most` classes of each row with a score above 0, by score, then name."""
+    ranked = F.array_sort(F.array(*[F.struct((-F.col(f"score_{n}")).alias("s"), F.lit(n).alias("n")) for n in sorted(KEYWORDS)]))
+    best = F.slice(F.filter(ranked, lambda r: r["s"] < 0), 1, most)
+    return scores.select(F.col(key), F.posexplode(best).alias("rank", "r")).select(key, (F.col("rank") + 1).alias("rank"), F.col("r.n").alias("doc_class"), (-F.col("r.s")).alias("score"))
+
+
+def rows_by(rows: DataFrame, column: str) -> DataFrame:
+    """Rows for each value, the most common first, with its rank."""
+    counted = rows.groupBy(column).agg(F.count("*").alias("n"))
+    return counted.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), column)))
+
+
+def filled_across(cells: DataFrame, row: list[str], order: str, column: str) -> DataFrame:
+    """Labels printed once for several columns, carried to the right within their row."""
+    w = Window.partitionBy(*row).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return cells.withColumn(f"{column}_filled", F.last(column, ignorenulls=True).over(w))
+
+
+def header_groups(lines: DataFrame, by: list[str], line: str = "line", gap: int = 3) -> DataFrame:
+    """Header lines in groups: a new one where the line is more than `gap` below the one before."""
+    w = Window.partitionBy(*by).orderBy(line)
+    fresh = F.when(F.col(line) - F.lag(line).over(w) <= gap, 0).otherwise(1)
+    return lines.withColumn("_new", fresh).withColumn("header_group", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+
+
+def hour_groups(cells: DataFrame, by: list[str], order: str, hours: str = "hours") -> DataFrame:
+    """Columns of ratings in groups: a new one where the hours do not rise."""
+    w = Window.partitionBy(*by).orderBy(order)
+    fresh = F.when(F.col(hours) > F.lag(hours).over(w), 0).otherwise(1)
+    return cells.withColumn("_new", fresh).withColumn("column_group", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")

@@ -103,3 +103,21 @@ def explain(members: DataFrame, evidence: DataFrame, assertions: DataFrame, memb
     m = members.filter((F.col("member_id") == member_id) | F.col("member_id").endswith(member_id)).select("member_id")
     e = m.join(evidence, "member_id").select("member_id", F.lit("evidence").alias("what"), F.col("raw_text").alias("detail"))
     return e.unionByName(m.join(assertions, "member_id").select("member_id", F.lit("assertion").alias("what"), F.concat_ws(" = ", "key", "value").alias("detail")))
+
+
+def assign_all(table: DataFrame, members: DataFrame, resolutions: DataFrame, scenario: str, at, role: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows to append for every member (of a role) from the resolution of its section, and their counts by status.
+
+    resolutions: section, status, thickness_in. Each row supersedes the member's current one in the scenario; its id
+    follows from member, scenario and time, so a second run gives the same rows.
+    """
+    asked = members if not role else members.filter(F.col("member_type") == role)
+    rows = asked.join(resolutions, asked["canonical_section"] == resolutions["section"], "left")
+    status = F.coalesce("status", F.lit("unknown"))
+    changes = rows.select(
+        F.sha1(F.concat_ws("/", F.col("member_id").cast("string"), F.lit(scenario), F.lit(str(at)))).alias("id"),
+        "member_id", F.lit(scenario).alias("scenario_id"), F.lit(at).alias("created_at"), F.when(status == "resolved", F.col("thickness_in")).alias("thickness_in"), status.alias("status"),
+    )
+    now = current(table).filter(F.col("scenario_id") == scenario).select("member_id", F.col("id").alias("supersedes_id"))
+    out = changes.join(now, "member_id", "left")
+    return out, out.groupBy("status").agg(F.count("*").alias("n"))

@@ -62,16 +62,15 @@ def merge_chains(segments: DataFrame, gap: float = 1.5) -> DataFrame:
 def associate(spans: DataFrame, chains: DataFrame, cell: float = 32.0) -> DataFrame:
     """Each label with its nearest parallel line: offset up to max(10, 2.5 size), 15 % beyond its ends at most.
 
-    Chains are spread over buckets of `cell` points along and across; a label looks in its own bucket and reads
-    each chain once. The nearest chain wins (the lower, longer, earlier one on a tie); `competing` counts the
+    Chains are spread over buckets of `cell` points along, labels over the buckets across that they reach, so a label of
+    any size meets each chain once. The nearest chain wins (the lower, longer, earlier one on a tie); `competing` counts the
     others; a label without a line keeps a row.
     """
     reach = F.greatest(F.lit(10.0), 2.5 * F.col("size"))
     length = F.greatest(F.col("x1") - F.col("x0"), F.lit(1e-9))
-    widest = 32.0
     c = chains.withColumn("bx", F.explode(F.sequence(F.floor((F.col("x0") - 0.15 * length) / cell), F.floor((F.col("x1") + 0.15 * length) / cell))))
-    c = c.withColumn("by", F.explode(F.sequence(F.floor((F.col("y") - widest) / cell), F.floor((F.col("y") + widest) / cell)))).withColumnRenamed("y", "cy")
-    s = spans.withColumn("bx", F.floor(F.col("x") / cell)).withColumn("by", F.floor(F.col("y") / cell))
+    c = c.withColumn("by", F.floor(F.col("y") / cell)).withColumnRenamed("y", "cy")
+    s = spans.withColumn("bx", F.floor(F.col("x") / cell)).withColumn("by", F.explode(F.sequence(F.floor((F.col("y") - reach) / cell), F.floor((F.col("y") + reach) / cell))))
     t = (F.col("x") - F.col("x0")) / length
     off = F.abs(F.col("y") - F.col("cy"))
     near = s.join(c, ["page", "bx", "by"]).filter((off <= reach) & (t >= -0.15) & (t <= 1.15))
@@ -80,7 +79,7 @@ def associate(spans: DataFrame, chains: DataFrame, cell: float = 32.0) -> DataFr
     competing = F.coalesce(F.col("hits") - 1, F.lit(0))
     return joined.select(
         "span_id", "page", F.col("b.cy").alias("line_y"), F.col("b.x0").alias("line_x0"), F.col("b.x1").alias("line_x1"), competing.alias("competing"),
-        confidence(F.col("b").isNotNull(), competing, F.col("b.off") > F.col("size"), F.coalesce("b.dashed", F.lit(False))).alias("confidence"),
+        confidence(F.col("b").isNotNull(), competing, F.col("b.off") > 0.6 * reach, F.coalesce("b.dashed", F.lit(False))).alias("confidence"),
     )
 
 
@@ -149,7 +148,7 @@ def split_at_cuts(chains: DataFrame, cuts: DataFrame, least: float = 6.0) -> Dat
         lambda out, c: F.when((c - F.element_at(out, -1) >= least) & (F.col("x1") - c >= least), F.concat(out, F.array(c))).otherwise(out),
     )
     ends = joined.withColumn("starts", keep)
-    return ends.select(*key, F.posexplode(F.arrays_zip(F.col("starts").alias("p0"), F.concat(F.slice("starts", 2, 1_000_000), F.array("x1")).alias("p1"))).alias("piece", "z")).select(*key, "piece", F.col("z.p0").alias("p0"), F.col("z.p1").alias("p1"))
+    return ends.select(*key, F.posexplode(F.arrays_zip(F.col("starts").alias("p0"), F.concat(F.slice("starts", F.lit(2), F.size("starts")), F.array("x1")).alias("p1"))).alias("piece", "z")).select(*key, "piece", F.col("z.p0").alias("p0"), F.col("z.p1").alias("p1"))
 
 
 def nearest_mark(spans: DataFrame, marks: DataFrame, tolerance: float) -> DataFrame:
@@ -274,3 +273,13 @@ def cuts_between_labels(labels: DataFrame, crossed: DataFrame) -> DataFrame:
     off = F.abs(F.col("cx") - F.col("mid"))
     near = gaps.join(c, "chain_id").filter(off <= 0.4 * F.col("gap")).groupBy("chain_id", "span_id").agg(F.min(F.struct(off.alias("off"), "cx")).alias("n"))
     return gaps.join(near, ["chain_id", "span_id"], "left").select("chain_id", "span_id", F.coalesce("n.cx", "mid").alias("cut"), F.col("n").isNull().alias("needs_review"))
+
+
+def of_role(members: DataFrame, role: str | None) -> DataFrame:
+    """Members of a role, or all."""
+    return members if not role else members.filter(F.col("member_type") == role)
+
+
+def sorted_grids(grids: DataFrame) -> DataFrame:
+    """Grid lines of each page by axis and place, numbered."""
+    return grids.withColumn("no", F.row_number().over(Window.partitionBy("page").orderBy("axis", "coord", "label")))

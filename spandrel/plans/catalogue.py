@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import designation, geometry
 from ..functions import text as T
-from ..operators import catalog, checks, model, quantities, resolve, takeoff
+from ..operators import catalog, checks, drawing, model, quantities, resolve, takeoff
+from ..session import shared_dir
 from ..sources.bridge import bridge
 from ..sources.tables import read_table
 from ..streaming import manifest as stream
@@ -224,7 +224,7 @@ def ratio_lookup(spark, sf):
 def xref_closure(spark, sf):
     x = bridge(spark, sf, "xref")
     starts = x.select("design").distinct().withColumnRenamed("design", "d").select(F.col("d").alias("query_id"), F.col("d").alias("design"), F.lit("").alias("member"), F.lit(1.0).alias("rating_hours"))
-    return resolve.hops(starts, x, most=4).select(F.col("query_id").alias("design"), F.col("at").alias("target"), F.array_join("path", ">").alias("path"))
+    return resolve.hops(starts, x).select(F.col("query_id").alias("design"), F.col("at").alias("target"), F.array_join("path", ">").alias("path"))
 
 
 @query
@@ -410,8 +410,7 @@ def manifest_stream_fold(spark, sf):
     files = stream.manifest_stream(spark, f"{sf}/events*.parquet", events.schema)
     log = spark.sql(_bridge_text("manifest"), events=files)
     name = f"fold_{abs(hash(sf)) % 10**9}"
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    folder = f"{where.rstrip('/')}/{name}-{spark.sparkContext.applicationId}-{id(events)}" if where else tempfile.mkdtemp(prefix=name)
+    folder = f"{shared_dir(spark).rstrip('/')}/{name}-{spark.sparkContext.applicationId}-{id(events)}"
     stream.run_available(stream.latest_by_url(log), name, folder)
     return spark.table(name).select("url", "event_id", "status")
 
@@ -477,3 +476,116 @@ def workbook_tidy(spark, sf):
     wide = read_table(spark, sf, "part").select("p_partkey", "p_brand", *[F.when(F.col("p_partkey") % (k + 2) != 0, F.col("p_size") * (k + 1)).cast("long").alias(f"{k + 1} hr") for k in range(3)])
     tidy = catalog.unpivoted_grid(wide, ["p_partkey", "p_brand"], ["1 hr", "2 hr", "3 hr"])
     return tidy.select("p_partkey", "p_brand", T.rating_hours(F.col("rating")).alias("hours"), F.col("printed").alias("mils"))
+
+
+# drawings and reports -------------------------------------------------------------------------------------------
+
+
+@query
+def slanted_chains(spark, sf):
+    return drawing.slanted_chains(bridge(spark, sf, "slanted"))
+
+
+@query
+def grid_detect(spark, sf):
+    b = bridge(spark, sf, "bubble")
+    upright = F.col("circle_id") % 2 == 0
+    long = F.when(F.col("circle_id") % 7 == 0, 50.0).otherwise(400.0)
+    lines = b.select(F.col("circle_id").alias("seg_id"), "page", F.when(upright, F.col("cx")).otherwise(F.col("cx") + F.col("r")).alias("x0"), F.when(upright, F.col("cy") + F.col("r")).otherwise(F.col("cy")).alias("y0"),
+        F.when(upright, F.col("cx")).otherwise(F.col("cx") + F.col("r") + long).alias("x1"), F.when(upright, F.col("cy") + F.col("r") + long).otherwise(F.col("cy")).alias("y1"))
+    spans = b.select(F.col("circle_id").alias("span_id"), "page", (F.col("cx") + 1).alias("x"), (F.col("cy") - 1).alias("y"), F.col("label").alias("text"))
+    return drawing.detect_grids(spans, b.select("circle_id", "page", "cx", "cy", "r"), lines)
+
+
+@query
+def grid_cuts(spark, sf):
+    chains = takeoff.merge_chains(bridge(spark, sf, "segment")).select(F.concat_ws("/", "page", "y", "dashed", "x0").alias("chain_id"), "page", "y", "x0", "x1")
+    grids = bridge(spark, sf, "grid").select("page", F.when(F.col("axis") == "v", "x").otherwise("y").alias("axis"), F.when(F.col("axis") == "v", F.col("coord")).otherwise(F.col("coord") / 13 + 1).alias("coord"), "label")
+    found = drawing.grid_cuts(chains, grids, bridge(spark, sf, "span").select("page", "x", "y"))
+    return found.groupBy("chain_id", "why").agg(F.count("*").alias("n"), F.round(F.min("t"), 6).alias("first"), F.round(F.max("t"), 6).alias("last"))
+
+
+@query
+def sheet_scale(spark, sf):
+    scales = F.array(*[F.lit(x) for x in ("1/8\"=1'-0\"", "1/4\"=1'-0\"", "1\"=20'", "N.T.S.", "plan")])
+    rows = bridge(spark, sf, "span").select("page", F.col("span_id").alias("seq"), T.inches_per_point(scales[(F.col("span_id") % 5).cast("int")]).alias("inches_per_point"), (F.col("span_id") % 9 == 0).alias("in_title"), F.lit(0.9).alias("confidence"))
+    override = F.when(F.col("page") == 7, F.lit(2.0))
+    return drawing.sheet_scale(rows, override).withColumn("inches_per_point", F.round("inches_per_point", 6))
+
+
+@query
+def rows_by_product(spark, sf):
+    return catalog.rows_by(bridge(spark, sf, "chart_cell"), "products")
+
+
+@query
+def pdf_links(spark, sf):
+    return catalog.url_filter(bridge(spark, sf, "manifest"), "HOST3.", pdf_only=True).groupBy("url").agg(F.count("*").alias("n"))
+
+
+@query
+def allowed_links(spark, sf):
+    return catalog.allowed_urls(bridge(spark, sf, "manifest"), ["Host1.example", "host4.example"]).groupBy("url", "status").agg(F.count("*").alias("n"))
+
+
+@query
+def walked_files(spark, sf):
+    files = read_table(spark, sf, "part").select("p_partkey", F.concat(F.lit("top/"), F.element_at(F.array(*[F.lit(x) for x in ("", ".cache/", "a/.DS_Store/", "keep/")]), (F.col("p_partkey") % 4 + 1).cast("int")), F.element_at(F.array(*[F.lit(x) for x in ("._", "~$", "", "", "")]), (F.col("p_partkey") % 5 + 1).cast("int")), "p_brand", F.lit(".pdf")).alias("path"))
+    return catalog.walked(files, excludes=("*Brand#1?.pdf",))
+
+
+@query
+def members_by_role(spark, sf):
+    return takeoff.of_role(bridge(spark, sf, "member"), "beam").groupBy("level").agg(F.count("*").alias("n"))
+
+
+@query
+def grid_listing(spark, sf):
+    return takeoff.sorted_grids(bridge(spark, sf, "grid"))
+
+
+@query
+def top_classes(spark, sf):
+    return catalog.top_classes(catalog.keyword_scores(read_table(spark, sf, "documents"), "doc_id", "text", "source"), "doc_id")
+
+
+@query
+def capped_report(spark, sf):
+    q, listing, charts, equations = _library(spark, sf)
+    found = resolve.capped_report(resolve.candidates(q, listing, charts, equations))
+    return found.groupBy("query_id").agg(F.count("*").alias("shown"), F.min("thickness_in").alias("least"), F.max("thickness_in").alias("most"))
+
+
+@query
+def tube_names(spark, sf):
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("ST ", "RT", "hss ", "W")]), (F.col("p_partkey") % 4 + 1).cast("int"))
+    wall = F.element_at(F.array(*[F.lit(x) for x in ("3/8", ".25", "1", "0.5", "x")]), (F.col("p_partkey") % 5 + 1).cast("int"))
+    labels = read_table(spark, sf, "part").select("p_partkey", F.concat(kind, F.col("p_size").cast("string"), F.lit(" x "), (F.col("p_size") % 7 + 1).cast("string"), F.lit("x"), wall).alias("label"))
+    return labels.withColumn("canonical", resolve.tube_canonical(F.col("label")))
+
+
+@query
+def filled_across(spark, sf):
+    cells = read_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("at"), F.when(F.col("l_partkey") % 3 == 1, F.col("l_returnflag")).alias("label"))
+    return catalog.filled_across(cells, ["l_orderkey"], "at", "label").drop("at")
+
+
+@query
+def header_groups(spark, sf):
+    lines = read_table(spark, sf, "orders").select("o_custkey", F.col("o_orderkey").alias("line"))
+    return catalog.header_groups(lines, ["o_custkey"], gap=900)
+
+
+@query
+def hour_groups(spark, sf):
+    cells = read_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("at"), (F.col("l_suppkey") % 4 + 1).alias("hours"))
+    return catalog.hour_groups(cells, ["l_orderkey"], "at").drop("at")
+
+
+@query
+def assign_bulk(spark, sf):
+    table = bridge(spark, sf, "assignment").withColumn("status", F.lit("resolved"))
+    members = read_table(spark, sf, "customer").select(F.col("c_custkey").alias("member_id"), F.when(F.col("c_custkey") % 3 == 0, "column").otherwise("beam").alias("member_type"), F.concat(F.lit("W"), (F.col("c_custkey") % 11).cast("string")).alias("canonical_section"))
+    sections = spark.range(9).select(F.concat(F.lit("W"), F.col("id").cast("string")).alias("section"), F.when(F.col("id") % 4 == 3, "conflict").otherwise("resolved").alias("status"), ((F.col("id") + 1) / 16).alias("thickness_in"))
+    rows, _ = model.assign_all(table.withColumn("id", F.col("id").cast("string")), members, sections, "2-HIGH", "2030-01-01", role="beam")
+    return rows.select("member_id", "scenario_id", "status", "thickness_in", "supersedes_id")

@@ -135,7 +135,7 @@ hit as (
     and (s.x - c.x0) / greatest(c.x1 - c.x0, 1e-9) between -0.15 and 1.15),
 b as (select *, row_number() over (partition by span_id order by off, cy, x0, x1, dashed) as r, count(*) over (partition by span_id) as hits from hit)
 select s.span_id, s.page, b.cy as line_y, b.x0 as line_x0, b.x1 as line_x1, cast(coalesce(hits - 1, 0) as bigint) as competing,
-  case when b.cy is null then 0e0 else greatest(0.9e0 - 0.2e0 * (hits - 1), 0.35e0) - case when off > b.size then 0.1e0 else 0e0 end - case when b.dashed then 0.1e0 else 0e0 end end as confidence
+  case when b.cy is null then 0e0 else greatest(0.9e0 - 0.2e0 * (hits - 1), 0.35e0) - case when off > 0.6e0 * greatest(10, 2.5 * b.size) then 0.1e0 else 0e0 end - case when b.dashed then 0.1e0 else 0e0 end end as confidence
 from {{span}} s left join b on s.span_id = b.span_id and b.r = 1""",
     "grid_nearest": """
 with p as (select span_id, page, 'v' as axis, x as at from {span} union all select span_id, page, 'h', y from {span}),
@@ -186,7 +186,7 @@ with recursive walk as (
   select distinct design, design as target, [design] as path, design as txt from {xref}
   union all
   select w.design, x.target, list_append(w.path, x.target), concat(w.txt, '>', x.target) from walk w join {xref} x on w.target = x.design
-  where not list_contains(w.path, x.target) and len(w.path) <= 4)
+  where not list_contains(w.path, x.target))
 select design, target, txt as path from walk""",
     "resolve_status": f"with {_ROUTES}, {_LADDER} select status, count(*) as n from res group by 1",
     "resolve_all": f"with {_ROUTES}, {_LADDER} select query_id, status, case when status = 'resolved' then any_value end as thickness_in, cast(n_candidates as bigint) as n_candidates, cast(n_values as bigint) as n_values from res",
@@ -293,4 +293,103 @@ r as (select doc_id, list_sort([{{'s': -score_chart, 'n': 'chart'}}, {{'s': -sco
 c as (select doc_id, -l[1].s as best, l[1].n as name, least(greatest(0.3e0 + -l[1].s * 0.1e0 - -l[2].s * 0.05e0, 0), 0.95e0) as conf from r)
 select doc_id, cast(best as bigint) as best_score, round(conf, 4) as confidence, case when conf >= 0.45 - 1e-9 and best >= 2 then name else 'unclassified' end as doc_class from c"""
 
+_SQL |= {
+    "designation_all": """
+select family, canonical, count(*) as n, max(confidence) as confidence from (
+  select 'W' as family, text as canonical, 0.95e0 as confidence from {span} union all select 'HSS_ROUND', 'HSS6X0.250', 0.95e0 from {span}
+  union all select 'JOIST', concat('16K', cast(page % 9 + 1 as varchar)), 0.9e0 from {span}) group by 1, 2""",
+    "chain_split": f"""
+with {_CHAINS},
+cut as (select distinct page, y - 3 as y, x from {{span}}),
+hit as (select c.page, c.y, c.dashed, c.x0, c.x1, list_sort(list(cut.x) filter (where cut.x is not null)) as cuts
+  from chains c left join cut on c.page = cut.page and c.y = cut.y and cut.x > c.x0 and cut.x < c.x1 group by all),
+s as (select *, list_reduce(list_concat([[x0]], list_transform(coalesce(cuts, []), lambda v: [v])), lambda a, v: case when v[1] - a[-1] >= 6 and x1 - v[1] >= 6 then list_append(a, v[1]) else a end) as starts from hit),
+p as (select *, unnest(range(1, len(starts) + 1)) as i from s)
+select page, y, dashed, x0, x1, cast(i - 1 as integer) as piece, starts[i] as p0, case when i < len(starts) then starts[i + 1] else x1 end as p1 from p""",
+    "row_cluster_first": """
+with l as (select page, list_sort(list(distinct y)) as ys from {span} group by page),
+s as (select page, list_reduce(list_transform(ys, lambda v: [v]), lambda a, v: case when v[1] - a[-1] > 2 then list_append(a, v[1]) else a end) as starts from l),
+r as (select x.page, x.y, cast(len(list_filter(s.starts, lambda v: v <= x.y)) as integer) as row_no from {span} x join s on x.page = s.page)
+select page, row_no, count(*) as n, min(y) as y0, max(y) as y1 from r group by 1, 2""",
+    "slanted_chains": """
+with a as (select *, (degrees(atan2(y1 - y0, x1 - x0)) + 360) % 180 as angle from {slanted} where sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)) >= 0.5),
+b as (select *, cast(round_even(angle / 2, 0) as integer) % 90 as slope, cast(round_even(width / 0.35, 0) as integer) as weight from a),
+c as (select *, radians(arg_min(angle, seq) over (partition by page, slope, dashed, weight)) as r from b),
+d as (select *, round(y0 * cos(r) - x0 * sin(r), 6) as off, round(x0 * cos(r) + y0 * sin(r), 6) as u0, round(x1 * cos(r) + y1 * sin(r), 6) as u1 from c),
+e as (select *, least(u0, u1) as t0, greatest(u0, u1) as t1 from d),
+f as (select *, case when off - lag(off) over w <= 0.75 then 0 else 1 end as jump from e window w as (partition by page, slope, dashed, weight order by off, t0, t1, seq)),
+g as (select *, sum(jump) over (partition by page, slope, dashed, weight order by off, t0, t1, seq rows unbounded preceding) as band from f),
+h as (select *, max(t1) over (partition by page, slope, dashed, weight, band order by off, t0, t1, seq rows between unbounded preceding and 1 preceding) as reached from g),
+i as (select *, sum(case when reached is null or t0 > reached + 1.5 then 1 else 0 end) over (partition by page, slope, dashed, weight, band order by off, t0, t1, seq rows unbounded preceding) as island from h),
+j as (select page, slope, dashed, weight, band, island, any_value(r) as r, avg(off) as off, min(t0) as t0, max(t1) as t1, max(width) as width, count(*) as parts from i group by 1, 2, 3, 4, 5, 6)
+select page, slope, dashed, weight, cast(band as bigint) as band, cast(island as bigint) as island, width, parts,
+  round(t0 * cos(r) - off * sin(r), 4) + 0e0 as x0, round(t0 * sin(r) + off * cos(r), 4) + 0e0 as y0, round(t1 * cos(r) - off * sin(r), 4) + 0e0 as x1, round(t1 * sin(r) + off * cos(r), 4) + 0e0 as y1 from j""",
+    "grid_detect": """
+with s as (select circle_id, page, cx, cy, r, label, circle_id % 2 = 0 as up, case when circle_id % 7 = 0 then 50e0 else 400e0 end as len from {bubble}),
+l as (select circle_id as seg_id, page, up, case when up then cx else cx + r end as x0, case when up then cy + r else cy end as y0,
+  case when up then cx else cx + r + len end as x1, case when up then cy + r + len else cy end as y1 from s where len >= 100),
+b as (select t.circle_id as span_id, t.page, t.label, c.cx, c.cy, c.r, row_number() over (partition by t.circle_id order by c.circle_id) as k
+  from s t join s c on t.page = c.page and c.r >= 4 and sqrt(pow(t.cx + 1 - c.cx, 2) + pow(t.cy - 1 - c.cy, 2)) <= 0.6 * c.r
+  where regexp_matches(t.label, '^(?:[A-Z]{1,2}|[0-9]{1,2}|[A-Z]\\.[0-9]|[A-Z][0-9])$')),
+n as (select b.span_id, b.page, b.label, b.r, l.seg_id, l.up, case when l.up then l.x0 else l.y0 end as coord,
+  case when l.up then sqrt(pow(b.cx - l.x0, 2) + pow(b.cy - greatest(l.y0, least(l.y1, b.cy)), 2)) else sqrt(pow(b.cy - l.y0, 2) + pow(b.cx - greatest(l.x0, least(l.x1, b.cx)), 2)) end as off,
+  least(sqrt(pow(b.cx - l.x0, 2) + pow(b.cy - l.y0, 2)), sqrt(pow(b.cx - l.x1, 2) + pow(b.cy - l.y1, 2))) as fin
+  from b join l on b.page = l.page where b.k = 1),
+m as (select *, row_number() over (partition by span_id order by off + 0.25 * fin, seg_id) as k from n where off <= 2.5 * r and fin <= 4 * r),
+o as (select *, case when up then 'x' else 'y' end as axis, case when off + 0.25 * fin < r then 0.9e0 else 0.7e0 end as confidence from m where k = 1),
+q as (select *, row_number() over (partition by page, label, axis order by confidence desc, span_id) as best from o)
+select page, label, axis, coord, confidence from q where best = 1""",
+    "grid_cuts": f"""
+with {_CHAINS},
+c as (select concat(cast(page as varchar), '/', cast(y as varchar), '/', cast(dashed as varchar), '/', cast(x0 as varchar)) as chain_id, page, y, x0, x1 from chains where x1 > x0),
+g as (select page, case when axis = 'v' then 'x' else 'y' end as axis, case when axis = 'v' then coord else coord / 13 + 1 end as coord, label from {{grid}}),
+a as (select distinct c.chain_id, (v.coord - c.x0) / (c.x1 - c.x0) as t, concat('grid intersection ', v.label) as why, c.x1 - c.x0 as len
+  from c join g h on c.page = h.page and h.axis = 'y' and abs(c.y - h.coord) <= 1.5 join g v on v.page = c.page and v.axis = 'x' and v.coord > c.x0 and v.coord < c.x1),
+b as (select distinct c.chain_id, (s.x - c.x0) / (c.x1 - c.x0) as t, 'column symbol' as why, c.x1 - c.x0 as len
+  from c join {{span}} s on c.page = s.page and abs(s.y - c.y) <= 3 and s.x > c.x0 and s.x < c.x1),
+u as (select chain_id, t, why from a union all select chain_id, t, why from b where not exists (select 1 from a where a.chain_id = b.chain_id and abs(a.t - b.t) * b.len <= 4))
+select chain_id, why, count(*) as n, round(min(t), 6) as first, round(max(t), 6) as last from u group by 1, 2""",
+    "sheet_scale": """
+with s as (select page, span_id, span_id % 9 <> 0 as late, case span_id % 5 when 0 then 96e0 / 72 when 1 then 48e0 / 72 when 2 then 240e0 / 72 end as v from {span}),
+k as (select page, arg_min(v, (late, span_id)) as v, min(late) as late, count(distinct round(v, 6)) as n from s where v is not null group by page)
+select page, round(case when page = 7 then 2 else v end, 6) as inches_per_point, case when page = 7 then 0.98e0 when n > 1 then 0.6e0 else 0.9e0 end as confidence,
+  case when page = 7 then 'manual' when late then 'sheet' else 'title_block' end as source, n as n_scales from k""",
+    "rows_by_product": "select products, count(*) as n, cast(row_number() over (order by count(*) desc, products) as integer) as rank from {chart_cell} group by 1",
+    "pdf_links": "select url, count(*) as n from {manifest} where contains(lower(url), 'host3.') and url like '%.pdf' group by 1",
+    "allowed_links": "select url, status, count(*) as n from {manifest} where url like 'https://host1.example/%' or url like 'https://host4.example/%' group by 1, 2",
+    "walked_files": """
+select p_partkey, path from (select *, concat('top/', case p_partkey % 4 when 3 then 'keep/' else '' end, p_brand, '.pdf') as path from {part}
+  where p_partkey % 4 in (0, 3) and p_partkey % 5 > 1) where not (p_brand like 'Brand#1_')""",
+    "members_by_role": "select level, count(*) as n from {member} where member_type = 'beam' group by 1",
+    "grid_listing": "select *, cast(row_number() over (partition by page order by axis, coord, label) as integer) as no from {grid}",
+    "capped_report": f"""
+with {_ROUTES}, r as (select *, row_number() over (partition by query_id order by authority, case when method = 'ul_table' then 0 else 1 end, seq, thickness_in, coalesce(chart_id, ''), coalesce(section, '')) as k from cand)
+select query_id, count(*) as shown, min(thickness_in) as least, max(thickness_in) as most from r where k <= 4 group by 1""",
+    "tube_names": """
+with l as (select p_partkey, p_size, p_partkey % 4 as k, p_partkey % 5 as w,
+  concat(case p_partkey % 4 when 0 then 'ST ' when 1 then 'RT' when 2 then 'hss ' else 'W' end, cast(p_size as varchar), ' x ', cast(p_size % 7 + 1 as varchar), 'x',
+    case p_partkey % 5 when 0 then '3/8' when 1 then '.25' when 2 then '1' when 3 then '0.5' else 'x' end) as label from {part})
+select p_partkey, label, case when k < 3 and w < 4 then concat('HSS', cast(p_size as varchar), 'X', cast(p_size % 7 + 1 as varchar), 'X', case w when 0 then '3/8' when 1 then '0.250' when 2 then '1' else '0.500' end) end as canonical from l""",
+    "filled_across": """
+with c as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, case when l_partkey % 3 = 1 then l_returnflag end as label from {lineitem})
+select *, last_value(label ignore nulls) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey rows unbounded preceding) as label_filled from c""",
+    "header_groups": """
+with a as (select o_custkey, o_orderkey as line, case when o_orderkey - lag(o_orderkey) over (partition by o_custkey order by o_orderkey) <= 900 then 0 else 1 end as fresh from {orders})
+select o_custkey, line, cast(sum(fresh) over (partition by o_custkey order by line rows unbounded preceding) as bigint) as header_group from a""",
+    "hour_groups": """
+with a as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_suppkey % 4 + 1 as hours from {lineitem}),
+b as (select *, case when hours > lag(hours) over w then 0 else 1 end as fresh from a window w as (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey))
+select l_orderkey, l_linenumber, l_partkey, l_suppkey, hours, cast(sum(fresh) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey rows unbounded preceding) as bigint) as column_group from b""",
+    "assign_bulk": """
+with gone as (select supersedes_id from {assignment} where supersedes_id is not null),
+now as (select member_id, id, row_number() over (partition by member_id, scenario_id order by created_at desc, cast(id as varchar) desc) as r from {assignment} where scenario_id = '2-HIGH' and id not in (select supersedes_id from gone)),
+m as (select c_custkey as member_id, c_custkey % 11 as s from {customer} where c_custkey % 3 <> 0),
+k as (select member_id, s, case when s > 8 then 'unknown' when s % 4 = 3 then 'conflict' else 'resolved' end as status from m)
+select k.member_id, '2-HIGH' as scenario_id, status, case when status = 'resolved' then (s + 1) / 16e0 end as thickness_in, cast(now.id as varchar) as supersedes_id from k left join now on k.member_id = now.member_id and now.r = 1""",
+}
+_SQL["top_classes"] = f"""
+with s as ({_scores()}),
+u as (select doc_id, 'chart' as doc_class, score_chart as score from s union all select doc_id, 'drawing', score_drawing from s union all select doc_id, 'license', score_license from s union all select doc_id, 'listing', score_listing from s)
+select doc_id, cast(row_number() over (partition by doc_id order by score desc, doc_class) as integer) as rank, doc_class, score from u where score > 0"""
+
 ORACLES = {name: oracle(sql) if name != "bid_verdicts" else sql for name, sql in _SQL.items()}

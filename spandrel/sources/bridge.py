@@ -82,9 +82,19 @@ select l_partkey % 40 as page, cast(l_suppkey as double) as y, cast((l_orderkey
   cast((l_orderkey % 500) * 4 + l_quantity as double) as x1, l_linestatus = 'F' as dashed, l_orderkey, l_partkey, l_suppkey, l_linenumber
 from {lineitem}""",
     "span": """
-select o_orderkey as span_id, o_custkey % 40 as page, cast((o_orderkey % 500) * 4 as double) as x, cast(o_custkey % 100 as double) + 3 as y, 8e0 + (o_orderkey % 3) as size,
+select o_orderkey as span_id, o_custkey % 40 as page, cast((o_orderkey % 500) * 4 as double) as x, cast(o_custkey % 100 as double) + 3 as y, 8e0 + (o_orderkey % 3) + case when o_orderkey % 50 = 0 then 30e0 else 0e0 end as size,
   concat('W', cast(8 + 2 * (o_orderkey % 10) as string), 'X', cast(10 + (o_orderkey % 30) as string)) as text
 from {orders}""",
+    "slanted": """
+select page, seq, dashed, width, case k when 0 then t when 1 then o else t - o end as x0, case k when 0 then o when 1 then t else t + o end as y0,
+  case k when 0 then t + n when 1 then o else t + n - o end as x1, case k when 0 then o when 1 then t + n else t + n + o end as y1
+from (select l_partkey % 40 as page, l_orderkey * 8 + l_linenumber as seq, l_linestatus = 'F' as dashed, 0.5e0 * (1 + l_linenumber % 2) as width,
+  l_orderkey % 3 as k, cast((l_orderkey % 500) * 4 as double) as t, (l_suppkey % 50) * 0.5e0 as o, cast(l_quantity as double) as n from {lineitem}) s""",
+    "bubble": """
+select s_suppkey as circle_id, s_suppkey % 40 as page, case when s_suppkey % 2 = 0 then s_suppkey * 13.0e0 else 10e0 end as cx,
+  case when s_suppkey % 2 = 0 then 10e0 else s_suppkey * 13.0e0 end as cy, 3e0 + s_suppkey % 5 as r,
+  case when s_suppkey % 2 = 0 then chr(cast(65 + s_suppkey % 26 as int)) when s_suppkey % 9 = 0 then 'NOTE' else cast(s_suppkey % 100 as string) end as label
+from {supplier}""",
     "grid": """
 select s_suppkey % 40 as page, case when s_suppkey % 2 = 0 then 'v' else 'h' end as axis, s_suppkey * 13.0e0 as coord,
   case when s_suppkey % 2 = 0 then chr(cast(65 + s_suppkey % 26 as int)) else cast(s_suppkey as string) end as label
