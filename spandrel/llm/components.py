@@ -1,4 +1,4 @@
-"""Connected components over an edge table, by least labels with pointer jumping."""
+"""Connected components over an edge table, by contraction along least neighbours."""
 
 from __future__ import annotations
 
@@ -11,21 +11,28 @@ from . import common
 def components(edges: DataFrame, most: int = 50) -> DataFrame:
     """(node, label) for the nodes of `edges` (a, b): label is the least node of the component.
 
-    Each round takes the least label among neighbours and then the label's label, so chains shorten
-    geometrically; lineage is cut after each. Nothing but a count of changes reaches the driver.
+    Each round ties every node to its least neighbour, follows these ties two steps further, and contracts the edges:
+    both ends are named anew, loops and doubles go. So the edges are joined in full in the first round only, and few
+    are left after it. Lineage is cut in each round. Nothing but whether edges are left reaches the driver.
     """
-    ends = edges.select(F.col("a").alias("x"), F.col("b").alias("y"))
-    both = common.checkpointed(ends.union(ends.select("y", "x")).filter("x <> y").distinct())
-    labels = common.checkpointed(both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("l")).select(F.col("x").alias("node"), F.col("l").alias("label")))
+    ends = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    left = common.checkpointed(ends.filter("a <> b").distinct())
+    labels = None
     for _ in range(most):
-        theirs = both.join(labels, both["y"] == labels["node"]).groupBy("x").agg(F.min("label").alias("m"))
-        least = labels.join(theirs, labels["node"] == theirs["x"]).select("node", F.col("label").alias("old"), F.least("label", "m").alias("new"))
-        least = common.checkpointed(least)
-        jump = least.select(F.col("node").alias("at"), F.col("new").alias("next"))
-        jumped = least.join(jump, least["new"] == jump["at"], "left").select("node", "old", F.least("new", F.coalesce("next", "new")).alias("label"))
-        jumped = common.checkpointed(jumped)
-        changed = jumped.filter("label <> old").count()
-        labels = jumped.select("node", "label")
-        if not changed:
-            return labels
+        if left.isEmpty():
+            return labels if labels is not None else left.select(F.col("a").alias("node"), F.col("b").alias("label"))
+        below = left.groupBy(F.col("b").alias("x")).agg(F.min("a").alias("up"))
+        alone = left.groupBy(F.col("a").alias("x")).agg(F.min("a").alias("up"))  # no neighbour is less, unless `below` has one
+        ties = common.checkpointed(below.union(alone).groupBy("x").agg(F.min("up").alias("up")))
+        for _ in range(2):
+            further = ties.select(F.col("x").alias("at"), F.col("up").alias("next"))
+            ties = common.checkpointed(ties.join(further, ties["up"] == further["at"]).select("x", F.col("next").alias("up")))
+        if labels is None:
+            labels = ties.select(F.col("x").alias("node"), F.col("up").alias("label"))
+        else:
+            moved = labels.join(ties, labels["label"] == ties["x"], "left")
+            labels = common.checkpointed(moved.select("node", F.coalesce("up", "label").alias("label")))
+        first, second = ties.toDF("a", "la"), ties.toDF("b", "lb")
+        renamed = left.join(first, "a").join(second, "b").filter("la <> lb")
+        left = common.checkpointed(renamed.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct())
     raise RuntimeError(f"components did not settle in {most} rounds")

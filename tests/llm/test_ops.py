@@ -325,6 +325,23 @@ def test_components(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
 
 
+def test_components_of_random_graphs(spark):
+    rng = random.Random(5)
+    edges = [(a, rng.choice([rng.randrange(600), a + 1, 599])) for a in (rng.randrange(500) for _ in range(330))] + [(700, k) for k in range(600, 640)]
+    root = list(range(701))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in edges:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: find(n) for e in edges if e[0] != e[1] for n in e}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 # chat
 
 
