@@ -47,6 +47,70 @@ def chart_rows(lines: DataFrame) -> DataFrame:
     return out.withColumn("canonical", F.get(designations(F.col("label")), F.lit(0))["canonical"])
 
 
+_LABEL = r"(?i)^\*?\s*(?:W|HP|M|S|C|MC|WT|L|HSS|PIPE)\s*\d\S*(?:\s*x\s*[\d./-]+)*$"
+_OPEN_LABEL = r"(?i)^(?:W|HP|M|S|C|MC|WT)\s*\d+\s*x$"
+_RATIO_NAME = r"(?i)^\(?(?:W/D|A/P|M/D|Hp/A)\)?$"
+
+
+def listing_cells(lines: DataFrame) -> DataFrame:
+    """Thickness cells of listing text that prints one cell a line (document, line_no, text).
+
+    A head is a run of lines that are neither sizes nor numbers; its ratings are the columns of the rows below it, up
+    to the next head. Three kinds of rows: `size_wd`, a size, its ratio if printed, and a value for each rating;
+    `ratio_rows`, a ratio and the values, where the head names a ratio and no size is printed; `rating_rows`, the
+    head's ratings and the values under them, numbered by value_no. A size broken after its x is joined again. The
+    last unit and restraint printed hold until the next: mils become inches, millimetres stay null. A row with more
+    or fewer values than ratings gives one row with a note. Empty and null lines are left out; numbers under a head
+    without ratings are no rows.
+    """
+    w = Window.partitionBy("document").orderBy("line_no")
+    t = F.col("t")
+    df = lines.select("document", "line_no", F.trim("text").alias("t")).filter("t <> ''")
+    df = df.withColumns({"after": F.lead("t").over(w), "before": F.coalesce(F.lag("t").over(w), F.lit(""))})
+    df = df.filter(~(F.col("before").rlike(_OPEN_LABEL) & t.rlike(r"^\d{1,4}$")))
+    df = df.withColumn("t", F.when(t.rlike(_OPEN_LABEL) & F.col("after").rlike(r"^\d{1,4}$"), F.concat("t", "after")).otherwise(t))
+    kind = (
+        F.when(t.rlike(_LABEL), "label").when(t.rlike(rf"^(?:{_RATING})$"), "rating").when(t.rlike(rf"(?i)^{_CELL}[*+#]*$"), "cell").when(t.rlike(_RATIO_NAME), "ratio").otherwise("other")
+    )
+    df = df.select("document", "line_no", "t", kind.alias("kind"))
+    unit = F.when(t.rlike(r"(?i)\bmils\b"), "mils").when(t.rlike(r"(?i)\bmm\b"), "mm").when(t.rlike(r"(?i)\bin(?:ch|ches)?\b"), "in")
+    df = _carried(df, F.when(F.col("kind").isin("other", "ratio", "rating"), unit), "units")
+    df = _carried(df, F.when(F.col("kind") == "other", F.nullif(F.regexp_extract("t", r"(?i)\b((?:un)?restrained)\b", 1), F.lit(""))), "condition")
+    in_body = F.col("kind").isin("cell", "label")
+    opens = ~in_body & F.coalesce(F.lag(in_body).over(w), F.lit(True))
+    df = df.withColumn("opens", opens.cast("int")).withColumn("head", F.sum("opens").over(w))
+    whole = Window.partitionBy("document", "head")
+    printed = F.array_sort(F.collect_list(F.when(F.col("kind") == "rating", F.struct("line_no", rating_hours(t).alias("hours")))).over(whole))
+    df = df.withColumns({"ratings": F.transform(printed, lambda x: x["hours"]), "declared": F.max(F.col("kind") == "ratio").over(whole)})
+    inside = Window.partitionBy("document", "head").orderBy("line_no")
+    body = df.filter(F.col("kind").isin("cell", "label") & (F.size("ratings") > 0))
+    body = body.withColumns({"size_no": F.count_if(F.col("kind") == "label").over(inside), "place": F.row_number().over(inside) - 1})
+    row = F.when((F.col("size_no") == 0) & F.col("declared"), F.floor(F.col("place") / (F.size("ratings") + 1))).otherwise(0)
+    cells = F.array_sort(F.collect_list(F.when(F.col("kind") == "cell", F.struct("line_no", "t"))))
+    rows = body.groupBy("document", "head", "size_no", row.alias("row")).agg(
+        F.min("line_no").alias("line_no"), F.max(F.when(F.col("kind") == "label", F.col("t"))).alias("label"), F.transform(cells, lambda x: x["t"]).alias("cells"),
+        F.first("ratings").alias("ratings"), F.first("declared").alias("declared"), F.first("units").alias("units"), F.first("condition").alias("condition"),
+    )
+    n, got = F.size("ratings"), F.size("cells")
+    table = F.when(F.col("size_no") > 0, "size_wd").when(F.col("declared"), "ratio_rows").otherwise("rating_rows")
+    rows = rows.withColumn("kind", table).withColumn("with_ratio", (F.col("kind") != "rating_rows") & (got == n + 1))
+    fits = F.when(F.col("kind") == "size_wd", got.isin(n, n + 1)).when(F.col("kind") == "ratio_rows", got == n + 1).otherwise(True)
+    rows = rows.withColumn("values", F.when(F.col("with_ratio"), F.slice("cells", F.lit(2), n)).otherwise(F.col("cells")))
+    pair = lambda hours, value, no: F.struct(hours.alias("hours"), value.alias("printed"), no.cast("int").alias("value_no"))
+    by_column = F.transform("values", lambda v, k: pair(F.get("ratings", k), v, F.lit(None)))
+    by_rating = F.flatten(F.transform("ratings", lambda h: F.transform("values", lambda v, k: pair(h, v, k + 1))))
+    unread = F.array(pair(F.lit(None).cast("double"), F.lit(None).cast("string"), F.lit(None)))
+    tidy = rows.withColumn("z", F.explode(F.when(~fits, unread).when(F.col("kind") == "rating_rows", by_rating).otherwise(by_column)))
+    value = fraction(F.regexp_replace("z.printed", r"[*+#]+$", ""))
+    inches = F.when(F.col("units") == "mils", value / 1000).when(F.coalesce("units", F.lit("in")) == "in", value)
+    note = F.when(F.col("z.printed").isNull(), "cells do not fit the header").when(F.col("z.printed").rlike(r"(?i)^NR"), "not rated").when(F.col("z.printed").rlike(r"[*+#]$") | F.col("label").startswith("*"), "marked")
+    return tidy.select(
+        "document", "line_no", "kind", F.regexp_replace("label", r"^\*\s*", "").alias("label"), F.get(designations(F.coalesce("label", F.lit(""))), F.lit(0))["canonical"].alias("canonical"),
+        F.when(F.col("with_ratio"), F.expr("try_cast(cells[0] as double)")).alias("ratio"), F.col("z.hours").alias("hours"), F.col("z.value_no").alias("value_no"),
+        F.col("z.printed").alias("as_printed"), inches.alias("thickness_in"), "units", F.lower("condition").alias("condition"), note.alias("note"),
+    )
+
+
 _X = r"(?:\(?\s*W/D\s*\)?|\(?\s*A/P\s*\)?|\(?\s*M/D\s*\)?)"
 _NUM = r"(\d*\.?\d+)"
 _FORMS = {

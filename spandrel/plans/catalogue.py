@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import designation, geometry
 from ..functions import text as T
-from ..operators import catalog, checks, drawing, model, quantities, resolve, takeoff
+from ..operators import catalog, checks, drawing, model, parse, quantities, resolve, takeoff
 from ..session import shared_dir
 from ..sources.bridge import bridge
 from ..sources.tables import read_table
@@ -589,3 +589,16 @@ def assign_bulk(spark, sf):
     sections = spark.range(9).select(F.concat(F.lit("W"), F.col("id").cast("string")).alias("section"), F.when(F.col("id") % 4 == 3, "conflict").otherwise("resolved").alias("status"), ((F.col("id") + 1) / 16).alias("thickness_in"))
     rows, _ = model.assign_all(table.withColumn("id", F.col("id").cast("string")), members, sections, "2-HIGH", "2030-01-01", role="beam")
     return rows.select("member_id", "scenario_id", "status", "thickness_in", "supersedes_id")
+
+
+@query
+def listing_cells(spark, sf):
+    p, text = F.col("p_partkey"), lambda c: c.cast("string")
+    lines = F.array(
+        F.when(p % 2 == 0, "Thickness, mils").otherwise("Min Thkns In."), F.when(p % 3 == 0, "Unrestrained Beam").otherwise("W/D"), F.lit("1 Hr"), F.lit("2 Hr"),
+        F.concat(F.lit("W"), text(8 + 2 * (p % 10)), F.lit(" x")), text(10 + p % 30), F.concat(F.lit("0."), text(20 + p % 64)),
+        F.concat(text(p % 7 + 1), F.lit("/16")), F.when(p % 17 == 0, "NR").otherwise(F.concat(text(p % 5 + 1), F.lit("-1/2"))), F.lit("See Item 4"),
+    )
+    listing = read_table(spark, sf, "part").select(p.alias("document")).distinct().withColumnRenamed("document", "p_partkey").select(p.alias("document"), F.posexplode(lines).alias("line_no", "text"))
+    cells = parse.listing_cells(listing)
+    return cells.select("document", "kind", "canonical", "ratio", "hours", F.round("thickness_in", 8).alias("thickness_in"), "condition", "note")

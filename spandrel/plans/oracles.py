@@ -386,6 +386,11 @@ now as (select member_id, id, row_number() over (partition by member_id, scenari
 m as (select c_custkey as member_id, c_custkey % 11 as s from {customer} where c_custkey % 3 <> 0),
 k as (select member_id, s, case when s > 8 then 'unknown' when s % 4 = 3 then 'conflict' else 'resolved' end as status from m)
 select k.member_id, '2-HIGH' as scenario_id, status, case when status = 'resolved' then (s + 1) / 16e0 end as thickness_in, cast(now.id as varchar) as supersedes_id from k left join now on k.member_id = now.member_id and now.r = 1""",
+    "listing_cells": """
+with p as (select distinct p_partkey as k from {part}),
+c as (select k, 1e0 as hours, (k % 7 + 1) / 16e0 as v from p union all select k, 2e0, case when k % 17 = 0 then null else k % 5 + 1.5e0 end from p)
+select k as document, 'size_wd' as kind, concat('W', cast(8 + 2 * (k % 10) as varchar), 'X', cast(10 + k % 30 as varchar)) as canonical, (20 + k % 64) / 100e0 as ratio, hours,
+  round(case when k % 2 = 0 then v / 1000 else v end, 8) as thickness_in, case when k % 3 = 0 then 'unrestrained' end as condition, case when v is null then 'not rated' end as note from c""",
 }
 _SQL["top_classes"] = f"""
 with s as ({_scores()}),

@@ -16,6 +16,27 @@ def test_chart_lines(spark):
     assert {(r.line_no, r.section) for r in rows} == {(3, "Unrestrained Beam"), (4, "Unrestrained Beam"), (5, "Unrestrained Beam"), (7, "Restrained")}
 
 
+def test_listing_cells(spark):
+    texts = {
+        "a": ["Unrestrained Beam", "Min Thkns In.", "Size", "W/D", "1 Hr", "1-1/2 Hr", "W16 x", "100", "0.62", "1/2", "NR", "", "*W8x10", "3/8*", "9/16", "W8x15", ".5", "1/2", "3/4", "1", "Note 1", "2 Hr", "W8x10", "1"],
+        "b": ["Thickness, mils", "A/P", "1 Hr", "2 Hr", "0.5", "40", "80", "0.75", "30", "60"],
+        "c": ["Thickness, mm", "1 Hr", "5", "2 Hr", "9", "7"],
+        "d": ["W8x10", "0.5", "12", "nothing rated"],
+        "e": [],
+    }
+    lines = spark.createDataFrame([(d, k, t) for d, ts in texts.items() for k, t in enumerate(ts)] + [("e", 0, None), ("e", 1, "  ")], "document string, line_no int, text string")
+    got = {}
+    for r in parse.listing_cells(lines).orderBy("document", "line_no", "hours", "value_no").collect():
+        got.setdefault(r.document, []).append((r.kind, r.canonical, r.ratio, r.hours, r.value_no, r.thickness_in, r.note))
+    assert got["a"] == [
+        ("size_wd", "W16X100", 0.62, 1, None, 0.5, None), ("size_wd", "W16X100", 0.62, 1.5, None, None, "not rated"), ("size_wd", "W8X10", None, 1, None, 0.375, "marked"),
+        ("size_wd", "W8X10", None, 1.5, None, 0.5625, "marked"), ("size_wd", "W8X15", None, None, None, None, "cells do not fit the header"), ("size_wd", "W8X10", None, 2, None, 1, None),
+    ]
+    assert got["b"] == [("ratio_rows", None, x, h, None, v, None) for x, h, v in ((0.5, 1, 0.04), (0.5, 2, 0.08), (0.75, 1, 0.03), (0.75, 2, 0.06))]
+    assert got["c"] == [("rating_rows", None, None, 1, 1, None, None), ("rating_rows", None, None, 2, 1, None, None), ("rating_rows", None, None, 2, 2, None, None)]
+    assert set(got) == {"a", "b", "c"}
+
+
 def test_listing_equations_and_header(spark):
     t = "Design No. N782 Last Updated: 2019-10-09 Ratings 1 Hr, 1-1/2 Hr. h = R / [1.05 (W/D) + 0.61] or T = 0.95 / (A/P); h = (R - 0.2) / (1.1 (W/D)) T = 1.2 (W/D) - 0.3"
     e = {r.form: r for r in parse.listing_equations(spark.createDataFrame([("N782", t)], "design string, text string")).collect()}
