@@ -742,6 +742,56 @@ def test_a_word_costs_the_sum_of_its_bits():
         assert model.log10([word])[0] == pytest.approx(total)
 
 
+def plain_phrases(words):
+    """Phrases of a list of words that closes with the end mark, by a plain loop."""
+    out, at = [], []
+    for w in words:
+        at.append(w)
+        if zlib.crc32(w) % (1 << lm_scoring.ANCHOR_BITS) == 0:
+            out.append(tuple(at))
+            at = []
+    assert not at
+    return out
+
+
+@pytest.mark.parametrize(("frequent", "hot"), [(200_000, 10_000), (5, 3)])
+def test_score_mixes_spelling_and_phrase_counts(spark, monkeypatch, frequent, hot):
+    """`score` by plain loops, with a spelling cost that is easy to work out."""
+    monkeypatch.setattr(lm_scoring.Model, "log10", lambda self, words: np.array([-1.5 * len(w) - 1 for w in words]))
+    monkeypatch.setattr(lm_scoring, "HOT", hot)
+    monkeypatch.setattr(lm_scoring, "ANCHOR_BITS", 2)
+    base = texts(60, 9)
+    rows = [(i, t) for i, t in enumerate([*base, *base[:15], base[0] + " " + base[1], None, "", "the", *["the same line of words in many texts"] * 40, "a b " * 3000])]
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    cut = {i: plain_phrases([*(t or "").lower().encode().split(), b""]) for i, t in rows}
+    counts = Counter(p for i, ps in cut.items() if not held(i) for p in ps)
+    total = sum(counts.values())
+    seen, shares = {}, {g: [0.5, 1.0] for g in range(4)}
+    for i, ps in cut.items():
+        own, gate, seen[i] = Counter() if held(i) else Counter(ps), 0, []
+        for p in ps:
+            c, spelled = counts[p] - own[p], sum(-1.5 * len(w) - 1 for w in p)
+            seen[i].append((gate, spelled, c))
+            if not held(i):
+                shares[gate][0] += 1 / (1 + 10 ** max(-300, spelled - math.log10(c / total))) if c else 0
+                shares[gate][1] += 1
+            gate = 1 if not c else 3 if len(p) >= lm_scoring.LONG_PHRASE else 2
+    weight = {g: a / b for g, (a, b) in shares.items()}
+    plain = lambda g, s, c: s + math.log10(1 - weight[g] + weight[g] * c / total * 10**-s) if s > -280 else max(s + math.log10(1 - weight[g]), math.log10(weight[g] * c / total) if c else -math.inf)
+    got = {r.doc_id: r.score for r in lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), frequent=frequent).collect()}
+    assert got == pytest.approx({i: sum(plain(*x) for x in xs) for i, xs in seen.items()})
+
+
+def test_copies_are_scored_apart(spark):
+    base = texts(300, 12)
+    df = spark.createDataFrame(list(enumerate([*base, *base[:40]])), "doc_id long, text string")
+    rows = {r.doc_id: r for r in lm_scoring.score(df).collect()}
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    longer = [i for i in range(300) if len(base[i]) > 100]
+    copies = [rows[i].bits_per_byte for i in longer if i < 40 and not held(i + 300)]
+    assert len(copies) > 20 and max(copies) < 0.5 * min(rows[i].bits_per_byte for i in longer if i >= 40)
+
+
 def test_held_out_text_costs_less_than_unknown_text(spark):
     known = [(i, t) for i, t in enumerate(texts(200, 4))]
     df = spark.createDataFrame(known, "doc_id long, text string")
