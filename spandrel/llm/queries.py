@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op3_bpe
 from .chat import op5_chat_format
 from .decontamination import OP9_SQL, op9_decontamination
+from .filter_audit import OP11_SQL, op11_filter_audit
 from .html_text import op6_html_text
 from .jaccard_join import op4_jaccard_join
 from .licenses import op7_license_scan
@@ -28,9 +29,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_decontamination": op9_decontamination,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_filter_audit": op11_filter_audit,
 }
 
 ORACLES: dict[str, str] = {
     "op8_quality_rules": OP8_SQL,
     "op9_decontamination": OP9_SQL,
+    "op11_filter_audit": OP11_SQL,
 }
