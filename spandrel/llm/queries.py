@@ -17,6 +17,7 @@ from .lm_scoring import op10_lm_scoring
 from .quality import OP8_SQL, op8_quality_rules
 from .secrets import op2_secret_scan
 from .sharding import op1_sharding
+from .spelling import op13_spelling_variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_lm_scoring": op10_lm_scoring,
     "op11_filter_audit": op11_filter_audit,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLES: dict[str, str] = {
