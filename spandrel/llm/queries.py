@@ -12,6 +12,7 @@ from .decontamination import OP9_SQL, op9_decontamination
 from .filter_audit import OP11_SQL, op11_filter_audit
 from .html_text import op6_html_text
 from .jaccard_join import op4_jaccard_join
+from .language_id import op12_language_id
 from .licenses import op7_license_scan
 from .lm_scoring import op10_lm_scoring
 from .quality import OP8_SQL, op8_quality_rules
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_lm_scoring": op10_lm_scoring,
     "op11_filter_audit": op11_filter_audit,
+    "op12_language_id": op12_language_id,
     "op13_spelling_variants": op13_spelling_variants,
 }
 
