@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import designation, geometry
 from ..functions import text as T
-from ..operators import catalog, checks, drawing, model, parse, quantities, resolve, takeoff
+from ..operators import catalog, checks, drawing, listing, model, parse, quantities, resolve, takeoff
 from ..session import shared_dir
 from ..sources.bridge import bridge
 from ..sources.tables import read_table
@@ -602,3 +602,28 @@ def listing_cells(spark, sf):
     listing = read_table(spark, sf, "part").select(p.alias("document")).distinct().withColumnRenamed("document", "p_partkey").select(p.alias("document"), F.posexplode(lines).alias("line_no", "text"))
     cells = parse.listing_cells(listing)
     return cells.select("document", "kind", "canonical", "ratio", "hours", F.round("thickness_in", 8).alias("thickness_in"), "condition", "note")
+
+
+def _printed_listing(spark, sf):
+    """A printed listing for each part key: header, items, makers, a table cut by a page end, an equation, a second table."""
+    p, text = F.col("k"), lambda c: c.cast("string")
+    odd = p % 2 == 1
+    lines = F.array(
+        F.concat(F.lit("Design No. X"), text(p % 900 + 100)), F.lit("May 03, 2018"), F.concat(F.lit("Ratings — 1, "), text(p % 3 + 2), F.lit(" Hr (See Item 2)")),
+        F.concat(F.lit("Stray words "), text(p)), F.concat(F.lit("1. Steel Column — Size "), text(p % 7)), F.when(odd, "A. Bracing as shown below").otherwise("a plain sentence of the first item"),
+        F.concat(F.lit("2. Spray Material — Applied in "), text(p % 5 + 1), F.lit(" coats")), F.lit("R"), F.lit("h ="), F.concat(F.lit("0."), text(p % 90 + 10), F.lit(" (W/D) + 0.5")),
+        F.concat(F.lit("W/D in the range of 0.5 to "), text(p % 4 + 1)), F.concat(F.lit("MAKER "), text(p % 9), F.lit(" CO — Types A and")), F.when(odd, "Type B").otherwise("then text goes on in lower case"),
+        F.lit("Sizes stand in the table below"), F.lit("W/D"), F.lit("1 Hr"), F.lit("2 Hr"), F.when(p % 3 == 0, "Thickness, mils").otherwise("Min Thkns In."),
+        F.concat(F.lit("W8x"), text(p % 30 + 10)), F.concat(F.lit("0."), text(p % 64 + 20)), F.concat(text(p % 7 + 1), F.lit("/8")),
+        F.lit("4/24/2019"), F.lit("RATINGS | Site"), F.lit("https://example.org/p?e=1"), F.lit("2/3"), F.when(p % 5 == 0, "NR").otherwise(text(p % 6 + 1)),
+        F.lit("W10 x"), text(p % 40 + 12), F.lit("0.75"), F.lit("1-1/2*"), F.when(p % 4 == 0, "a broken row").otherwise("2"), F.lit("NR = No Rating"), F.lit("Last Updated on 2018-05-08"), F.lit("Notice."),
+    )
+    keys = read_table(spark, sf, "part").select(F.col("p_partkey").alias("k")).distinct()
+    return keys.select(text(p).alias("document"), F.posexplode(lines).alias("line_no", "text"))
+
+
+@query
+def listing_record(spark, sf):
+    found = listing.parts(_printed_listing(spark, sf))
+    rows = found.select("document", "kind", "item", "sub", "line_no", F.size("lines").alias("n_lines"), "label", "text", F.array_join(F.transform("values_in", lambda v: F.coalesce(F.round(v * 8000).cast("long").cast("string"), F.lit("-"))), ",").alias("printed"), "units", "note", "table_no", F.col("equation.a").alias("a"), F.col("equation.ratio_hi").alias("ratio_hi"))
+    return rows

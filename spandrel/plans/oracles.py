@@ -392,6 +392,39 @@ c as (select k, 1e0 as hours, (k % 7 + 1) / 16e0 as v from p union all select k,
 select k as document, 'size_wd' as kind, concat('W', cast(8 + 2 * (k % 10) as varchar), 'X', cast(10 + k % 30 as varchar)) as canonical, (20 + k % 64) / 100e0 as ratio, hours,
   round(case when k % 2 = 0 then v / 1000 else v end, 8) as thickness_in, case when k % 3 = 0 then 'unrestrained' end as condition, case when v is null then 'not rated' end as note from c""",
 }
+_SQL["listing_record"] = """
+with k as (select distinct p_partkey as p from {part}),
+mils as (select p, p % 3 = 0 as m, case when p % 3 = 0 then 1e-3 else 1e0 end as s, chr(10) as nl from k),
+x as (
+  select p, 'design' as kind, null as item, null as sub, 0 as line_no, 1 as n_lines, concat('X', p % 900 + 100) as label, concat('Design No. X', p % 900 + 100) as text,
+    null as printed, null as units, null as note, null as table_no, cast(null as double) as a, cast(null as double) as ratio_hi from mils
+  union all select p, 'design_date', null, null, 1, 1, 'May 03, 2018', 'May 03, 2018', null, null, null, null, null, null from mils
+  union all select p, 'rating', null, null, 2, 1, 'Ratings', concat('Ratings — 1, ', p % 3 + 2, ' Hr (See Item 2)'), null, null, 'See Item 2', null, null, null from mils
+  union all select p, 'unparsed', null, null, 3, 1, null, concat('Stray words ', p), null, null, null, null, null, null from mils
+  union all select p, 'item', '1', null, 4, 1, 'Steel Column', concat('1. Steel Column — Size ', p % 7), null, null, null, null, null, null from mils
+  union all select p, case when p % 2 = 1 then 'sub_item' else 'text' end, '1', case when p % 2 = 1 then 'A' end, 5, 1, case when p % 2 = 1 then 'A' end,
+    case when p % 2 = 1 then 'A. Bracing as shown below' else 'a plain sentence of the first item' end, null, null, null, null, null, null from mils
+  union all select p, 'item', '2', null, 6, 1, 'Spray Material', concat('2. Spray Material — Applied in ', p % 5 + 1, ' coats'), null, null, null, null, null, null from mils
+  union all select p, 'equation', '2', null, 7, 3, null, concat('R / h = / 0.', p % 90 + 10, ' (W/D) + 0.5'), null, null, null, null, (p % 90 + 10) / 100e0, p % 4 + 1 from mils
+  union all select p, 'text', '2', null, 10, 1, null, concat('W/D in the range of 0.5 to ', p % 4 + 1), null, null, null, null, null, null from mils
+  union all select p, 'maker', '2', null, 11, 1 + p % 2, concat('MAKER ', p % 9, ' CO'), concat('Types A and', case when p % 2 = 1 then ' Type B' else '' end), null, null, null, null, null, null from mils
+  union all select p, 'text', '2', null, 12, 1, null, 'then text goes on in lower case', null, null, null, null, null, null from mils where p % 2 = 0
+  union all select p, 'condition', '2', null, 13, 1, null, 'Sizes stand in the table below', null, null, null, null, null, null from mils
+  union all select p, 'table', '2', null, 14, 4, 'size_wd', concat('W/D', nl, '1 Hr', nl, '2 Hr', nl, case when m then 'Thickness, mils' else 'Min Thkns In.' end), null,
+    case when m then 'mils' else 'in' end, null, 1, null, null from mils
+  union all select p, 'row', '2', null, 18, 4, concat('W8x', p % 30 + 10), concat('W8x', p % 30 + 10, nl, '0.', p % 64 + 20, nl, p % 7 + 1, '/8', nl, case when p % 5 = 0 then 'NR' else cast(p % 6 + 1 as varchar) end),
+    concat(cast(round((p % 7 + 1) * 1000 * s) as bigint), ',', case when p % 5 = 0 then '-' else cast(cast(round((p % 6 + 1) * 8000 * s) as bigint) as varchar) end),
+    case when m then 'mils' else 'in' end, null, 1, null, null from mils
+  union all select p, 'furniture', '2', null, 21, 4, null, concat('4/24/2019', nl, 'RATINGS | Site', nl, 'https://example.org/p?e=1', nl, '2/3'), null, null, null, null, null, null from mils
+  union all select p, 'row', '2', null, 26, 5, concat('W10 x ', p % 40 + 12), concat('W10 x ', p % 40 + 12, nl, '0.75', nl, '1-1/2*', nl, '2'), concat(cast(round(12000 * s) as bigint), ',', cast(round(16000 * s) as bigint)),
+    case when m then 'mils' else 'in' end, '1-1/2*', 1, null, null from mils where p % 4 <> 0
+  union all select p, 'unparsed', '2', null, 26, 4, null, concat('W10 x ', p % 40 + 12, nl, '0.75', nl, '1-1/2*'), null, null, 'cells do not fit the heads', 1, null, null from mils where p % 4 = 0
+  union all select p, 'text', '2', null, 30, 1, null, 'a broken row', null, null, null, null, null, null from mils where p % 4 = 0
+  union all select p, case when p % 5 = 0 and p % 4 <> 0 then 'legend' else 'text' end, '2', null, 31, 1, case when p % 5 = 0 and p % 4 <> 0 then 'NR' end, 'NR = No Rating', null, null, null,
+    case when p % 5 = 0 and p % 4 <> 0 then 1 end, null, null from mils
+  union all select p, 'updated', null, null, 32, 1, '2018-05-08', 'Last Updated on 2018-05-08', null, null, null, null, null, null from mils
+  union all select p, 'notice', null, null, 33, 1, null, 'Notice.', null, null, null, null, null, null from mils)
+select cast(p as varchar) as document, * exclude (p) from x"""
 _SQL["top_classes"] = f"""
 with s as ({_scores()}),
 u as (select doc_id, 'chart' as doc_class, score_chart as score from s union all select doc_id, 'drawing', score_drawing from s union all select doc_id, 'license', score_license from s union all select doc_id, 'listing', score_listing from s)
