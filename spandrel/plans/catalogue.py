@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import designation, geometry
 from ..functions import text as T
-from ..operators import catalog, checks, drawing, listing, model, parse, quantities, resolve, takeoff
+from ..operators import catalog, charts, checks, drawing, listing, model, parse, quantities, resolve, takeoff
 from ..session import shared_dir
 from ..sources.bridge import bridge
 from ..sources.tables import read_table
@@ -627,3 +627,52 @@ def listing_record(spark, sf):
     found = listing.parts(_printed_listing(spark, sf))
     rows = found.select("document", "kind", "item", "sub", "line_no", F.size("lines").alias("n_lines"), "label", "text", F.array_join(F.transform("values_in", lambda v: F.coalesce(F.round(v * 8000).cast("long").cast("string"), F.lit("-"))), ",").alias("printed"), "units", "note", "table_no", F.col("equation.a").alias("a"), F.col("equation.ratio_hi").alias("ratio_hi"))
     return rows
+
+
+def _charted(spark, sf):
+    """Part keys as rows of one chart for each brand, 30 rows a page."""
+    keys = read_table(spark, sf, "part").select(F.col("p_brand").alias("document"), F.col("p_partkey").alias("k")).distinct()
+    at = F.row_number().over(Window.partitionBy("document").orderBy("k")) - 1
+    return keys.withColumn("i", at).withColumn("page", F.expr("i div 30 + 1"))
+
+
+@query
+def chart_cells(spark, sf):
+    k, text = F.col("k"), lambda c: c.cast("string")
+    rows = _charted(spark, sf)
+    span = lambda x, width, y, t: F.struct((x - width / 2.0).alias("x0"), (x + width / 2.0).alias("x1"), y.alias("y"), t.alias("text"))
+    y = 130.0 + 12.0 * (F.col("i") % 30) + 0.5 * (k % 3)
+    lean = (k % 3 - 1).cast("double")
+    printed = (
+        (60.0, 30.0, F.concat(F.lit("W"), text(8 + 2 * (k % 10)), F.lit("X"), text(10 + k % 30))), (130.0, 20.0, F.concat(F.lit("0."), text(20 + k % 64))), (225.0, 24.0, F.when(k % 17 == 0, "NR").otherwise(F.concat(text(k % 7 + 1), F.lit("/8")))),
+        (325.0, 24.0, F.concat(text(k % 3 + 1), F.lit("-1/2"))), (425.0, 24.0, F.when(k % 11 == 0, F.lit("9")).otherwise(F.concat(text(k % 5 + 1), F.lit("/16")))), (525.0, 24.0, F.when(k % 13 == 0, F.lit(None).cast("string")).otherwise(text(k % 4 + 1))),
+    )
+    cells = rows.select("document", "page", F.explode(F.array(*[span(x + lean, F.lit(w), y, t) for x, w, t in printed])).alias("s"), F.col("k").alias("seq"))
+    printed_heads = ((275.0, 150.0, 90.0, "NORMAL WEIGHT"), (475.0, 150.0, 90.0, "LIGHT WEIGHT"), (60.0, 20.0, 104.0, "Size"), (130.0, 20.0, 104.0, "W/D"), (225.0, 20.0, 104.0, "1 Hr"), (325.0, 20.0, 104.0, "2 Hr"), (425.0, 20.0, 104.0, "1 Hr"), (525.0, 20.0, 104.0, "2 Hr"))
+    heads = rows.filter("i = 0").select("document", F.lit(1).alias("page"), F.explode(F.array(*[span(F.lit(x), F.lit(w), F.lit(y), F.lit(t)) for x, w, y, t in printed_heads])).alias("s"), F.lit(0).cast("long").alias("seq"))
+    spans = cells.unionByName(heads).filter("s.text is not null").select("document", "page", F.xxhash64("document", "page", "seq", "s.x0", "s.y", "s.text").alias("span_id"), "s.*")
+    return charts.positioned_chart(spans).select("document", "page", "group_no", "title", "label", "canonical", "ratio_name", "ratio", "hours", "as_printed", "thickness_in", "note")
+
+
+def _printed_chart(spark, sf):
+    """Each brand's rows as chart lines: a head on the first page, none on the second, another head on later pages, one broken row in 19."""
+    k, text = F.col("k"), lambda c: c.cast("string")
+    rows = _charted(spark, sf).withColumn("late", F.col("page") > 2)
+    size = F.concat(F.lit("W"), text(8 + 2 * (k % 10)), F.lit("x"), text(10 + k % 30), F.lit(" 0."), text(20 + k % 64))
+    cells = F.concat(F.when(k % 17 == 0, "NR").otherwise(F.concat(text(k % 7 + 1), F.lit("/8"))), F.lit(" "), text(k % 3 + 1), F.lit("-1/2"))
+    body = F.when(k % 19 == 0, F.concat(size, F.lit(" 1"))).when(F.col("late"), F.concat(size, F.lit(" 35.8 219.2 "), cells, F.lit(" 3"))).otherwise(F.concat(size, F.lit(" "), cells))
+    lines = rows.select("document", "page", (F.col("i") % 30 + 1).alias("line_no"), body.alias("text"))
+    heads = rows.filter("i % 30 = 0 and page <> 2").select("document", "page", F.lit(0).alias("line_no"), F.when(F.col("late"), "Size W/D M/D Hp/A 1 Hr 2 Hr 3 Hr").otherwise("Size W/D 1 Hr 1-1/2 Hr").alias("text"))
+    notes = rows.filter("i = 0").select("document", F.lit(0).alias("page"), F.lit(0).alias("line_no"), F.concat(F.lit("Use Design S"), text(700 + k % 50)).alias("text"))
+    return lines.unionByName(heads).unionByName(notes)
+
+
+@query
+def chart_runs(spark, sf):
+    return charts.chart_runs(_printed_chart(spark, sf))[0].select("document", "page", "kind", "head_page", F.size("ratings").alias("n_ratings"), "ratios", "fits", "rows", F.array_join("targets", ",").alias("targets"))
+
+
+@query
+def chart_lines(spark, sf):
+    rows = charts.chart_runs(_printed_chart(spark, sf))[1]
+    return rows.select("document", "page", "line_no", "label", "canonical", F.element_at("ratios", 1).alias("ratio"), F.size(F.coalesce("ratios", F.array().cast("array<double>"))).alias("n_ratios"), "hours", "as_printed", "thickness_in", "note")

@@ -425,6 +425,40 @@ x as (
   union all select p, 'updated', null, null, 32, 1, '2018-05-08', 'Last Updated on 2018-05-08', null, null, null, null, null, null from mils
   union all select p, 'notice', null, null, 33, 1, null, 'Notice.', null, null, null, null, null, null from mils)
 select cast(p as varchar) as document, * exclude (p) from x"""
+_CHARTED = """
+with r as (select document, k, row_number() over (partition by document order by k) - 1 as i from (select distinct p_brand as document, p_partkey as k from {part}) d),
+c as (select document, k, i, cast(i // 30 + 1 as integer) as page, concat(8 + 2 * (k % 10), 'X', 10 + k % 30) as size, (20 + k % 64) / 100e0 as ratio from r),"""
+_SQL["chart_cells"] = (
+    _CHARTED
+    + """
+v as (
+  select *, 1 as group_no, 1e0 as hours, case when k % 17 = 0 then 'NR' else concat(k % 7 + 1, '/8') end as as_printed, (k % 7 + 1) / 8e0 as v from c
+  union all select *, 1, 2e0, concat(k % 3 + 1, '-1/2'), k % 3 + 1.5e0 from c
+  union all select *, 2, 1e0, case when k % 11 = 0 then '9' else concat(k % 5 + 1, '/16') end, case when k % 11 = 0 then 9e0 else (k % 5 + 1) / 16e0 end from c
+  union all select *, 2, 2e0, cast(k % 4 + 1 as varchar), k % 4 + 1e0 from c where k % 13 <> 0)
+select document, page, group_no, case group_no when 1 then 'NORMAL WEIGHT' else 'LIGHT WEIGHT' end as title, concat('W', size) as label, concat('W', size) as canonical, 'W/D' as ratio_name,
+  ratio, hours, as_printed, case when as_printed not in ('NR', '9') then v end as thickness_in, case as_printed when 'NR' then 'not rated' when '9' then 'too thick' end as note
+from v"""
+)
+_SQL["chart_runs"] = (
+    _CHARTED
+    + """
+p as (select document, page, count(*) as n, count(*) filter (k % 19 <> 0) as fits from c group by document, page)
+select document, page, case when page = 2 then 'continued' else 'table' end as kind, case when page = 2 then 1 else page end as head_page, case when page > 2 then 3 else 2 end as n_ratings,
+  case when page > 2 and fits > 0 then 3 when page > 2 then 0 else 1 end as ratios, fits, n as rows, '' as targets from p
+union all select document, 0, 'cross_reference', null, null, null, null, null, concat('S', 700 + k % 50) from c where i = 0"""
+)
+_SQL["chart_lines"] = (
+    _CHARTED
+    + """
+l as (select *, i % 30 + 1 as line_no, concat('W', replace(size, 'X', 'x')) as label, concat('W', size) as canonical from c),
+v as (
+  select *, 1e0 as hours, case when k % 17 = 0 then 'NR' else concat(k % 7 + 1, '/8') end as as_printed, case when k % 17 <> 0 then (k % 7 + 1) / 8e0 end as v from l where k % 19 <> 0
+  union all select *, case when page > 2 then 2e0 else 1.5e0 end, concat(k % 3 + 1, '-1/2'), k % 3 + 1.5e0 from l where k % 19 <> 0
+  union all select *, 3e0, '3', 3e0 from l where k % 19 <> 0 and page > 2)
+select document, page, line_no, label, canonical, ratio, case when page > 2 then 3 else 1 end as n_ratios, hours, as_printed, v as thickness_in, case when v is null then 'not rated' end as note from v
+union all select document, page, line_no, label, canonical, null, 0, null, null, null, 'cells do not fit the layout' from l where k % 19 = 0"""
+)
 _SQL["top_classes"] = f"""
 with s as ({_scores()}),
 u as (select doc_id, 'chart' as doc_class, score_chart as score from s union all select doc_id, 'drawing', score_drawing from s union all select doc_id, 'license', score_license from s union all select doc_id, 'listing', score_listing from s)
