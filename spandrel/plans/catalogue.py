@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import designation, geometry
 from ..functions import text as T
-from ..operators import catalog, charts, checks, drawing, listing, model, parse, quantities, resolve, takeoff
+from ..operators import catalog, charts, checks, drawing, listing, model, parse, plane, quantities, resolve, takeoff
 from ..session import shared_dir
 from ..sources.bridge import bridge
 from ..sources.tables import read_table
@@ -509,7 +509,8 @@ def grid_cuts(spark, sf):
 def sheet_scale(spark, sf):
     scales = F.array(*[F.lit(x) for x in ("1/8\"=1'-0\"", "1/4\"=1'-0\"", "1\"=20'", "N.T.S.", "plan")])
     rows = bridge(spark, sf, "span").select("page", F.col("span_id").alias("seq"), T.inches_per_point(scales[(F.col("span_id") % 5).cast("int")]).alias("inches_per_point"), (F.col("span_id") % 9 == 0).alias("in_title"), F.lit(0.9).alias("confidence"))
-    override = F.when(F.col("page") == 7, F.lit(2.0))
+    rows = rows.withColumn("inches_per_point", F.when(~F.col("page").isin(9, 11), F.col("inches_per_point")))
+    override = F.when(F.col("page").isin(7, 9), F.lit(2.0))
     return drawing.sheet_scale(rows, override).withColumn("inches_per_point", F.round("inches_per_point", 6))
 
 
@@ -676,3 +677,47 @@ def chart_runs(spark, sf):
 def chart_lines(spark, sf):
     rows = charts.chart_runs(_printed_chart(spark, sf))[1]
     return rows.select("document", "page", "line_no", "label", "canonical", F.element_at("ratios", 1).alias("ratio"), F.size(F.coalesce("ratios", F.array().cast("array<double>"))).alias("n_ratios"), "hours", "as_printed", "thickness_in", "note")
+
+
+# line work at any angle -------------------------------------------------------------------------------------
+
+
+def _slanted(spark, sf):
+    return bridge(spark, sf, "slanted").select("page", F.col("key").alias("chain_id"), "x0", "y0", "x1", "y1", "dashed")
+
+
+def _axes(spark, sf):
+    upright = F.col("axis") == "v"
+    return bridge(spark, sf, "grid").select("page", F.when(upright, "x").otherwise("y").alias("axis"), F.when(upright, F.col("coord") / 26).otherwise(F.col("coord") / 13 + 1).alias("coord"), "label")
+
+
+@query
+def slanted_crossings(spark, sf):
+    met = plane.crossings(_slanted(spark, sf), _axes(spark, sf))
+    kind = F.when(F.col("other_id").isNull(), "grid").otherwise("member").alias("kind")
+    return met.groupBy("page", kind).agg(F.count("*").alias("n"), F.count_distinct("chain_id").alias("n_chains"), F.round(F.sum("t"), 3).alias("sum_t"))
+
+
+@query
+def slanted_cuts(spark, sf):
+    found = plane.support_cuts(_slanted(spark, sf), bridge(spark, sf, "span").select("page", (F.col("x") / 4).alias("x"), "y"), _axes(spark, sf))
+    return found.groupBy("page", "why").agg(F.count("*").alias("n"), F.round(F.min("t"), 6).alias("first"), F.round(F.sum("t"), 3).alias("sum_t"))
+
+
+@query
+def slanted_associate(spark, sf):
+    labels = bridge(spark, sf, "span").select("span_id", "page", (F.col("x") / 4).alias("x"), "y", "size", (F.col("span_id") % 4 * 45.0).alias("rotation"))
+    found = plane.associate(labels, _slanted(spark, sf))
+    return found.select("span_id", F.round("off", 6).alias("off"), "competing", F.round("confidence", 6).alias("confidence"))
+
+
+@query
+def column_symbols(spark, sf):
+    k, half = F.col("s_suppkey"), (F.col("s_suppkey") % 5 + 6) / 2
+    x, y = (F.floor(k / 40) % 50 * 40).cast("double"), (F.floor(k / 2000) * 40).cast("double")
+    corner = lambda a, b: (x + a * half, y + b * half)
+    turns = [corner(-1, -1), corner(1, -1), corner(1, 1), corner(-1, 1)]
+    edges = [F.struct(*[c.alias(n) for c, n in zip((*turns[i], *turns[(i + 1) % 4]), ("x0", "y0", "x1", "y1"), strict=True)], F.lit(i).alias("i")) for i in range(4)]
+    drawn = read_table(spark, sf, "supplier").select(k.alias("k"), (k % 40).alias("page"), F.explode(F.array(*edges)).alias("e")).filter("k % 7 <> 0 or e.i < 2")
+    found = plane.column_symbols(drawn.select("page", (F.col("k") * 4 + F.col("e.i")).alias("seq"), "e.x0", "e.y0", "e.x1", "e.y1"))
+    return found.select("page", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "edges")

@@ -350,10 +350,10 @@ b as (select distinct c.chain_id, (s.x - c.x0) / (c.x1 - c.x0) as t, 'column sym
 u as (select chain_id, t, why from a union all select chain_id, t, why from b where not exists (select 1 from a where a.chain_id = b.chain_id and abs(a.t - b.t) * b.len <= 4))
 select chain_id, why, count(*) as n, round(min(t), 6) as first, round(max(t), 6) as last from u group by 1, 2""",
     "sheet_scale": """
-with s as (select page, span_id, span_id % 9 <> 0 as late, case span_id % 5 when 0 then 96e0 / 72 when 1 then 48e0 / 72 when 2 then 240e0 / 72 end as v from {span}),
-k as (select page, arg_min(v, (late, span_id)) as v, min(late) as late, count(distinct round(v, 6)) as n from s where v is not null group by page)
-select page, round(case when page = 7 then 2 else v end, 6) as inches_per_point, case when page = 7 then 0.98e0 when n > 1 then 0.6e0 else 0.9e0 end as confidence,
-  case when page = 7 then 'manual' when late then 'sheet' else 'title_block' end as source, n as n_scales from k""",
+with s as (select page, span_id, span_id % 9 <> 0 as late, case when page in (9, 11) then null when span_id % 5 = 0 then 96e0 / 72 when span_id % 5 = 1 then 48e0 / 72 when span_id % 5 = 2 then 240e0 / 72 end as v from {span}),
+k as (select page, arg_min(v, (late, span_id)) filter (v is not null) as v, min(late) filter (v is not null) as late, count(distinct round(v, 6)) as n from s group by page)
+select page, round(case when page in (7, 9) then 2 else v end, 6) as inches_per_point, case when page in (7, 9) then 0.98e0 when n > 1 then 0.6e0 else 0.9e0 end as confidence,
+  case when page in (7, 9) then 'manual' when late then 'sheet' else 'title_block' end as source, n as n_scales from k where v is not null or page in (7, 9)""",
     "rows_by_product": "select products, count(*) as n, cast(row_number() over (order by count(*) desc, products) as integer) as rank from {chart_cell} group by 1",
     "pdf_links": "select url, count(*) as n from {manifest} where contains(lower(url), 'host3.') and url like '%.pdf' group by 1",
     "allowed_links": "select url, status, count(*) as n from {manifest} where url like 'https://host1.example/%' or url like 'https://host4.example/%' group by 1, 2",
@@ -459,6 +459,59 @@ v as (
 select document, page, line_no, label, canonical, ratio, case when page > 2 then 3 else 1 end as n_ratios, hours, as_printed, v as thickness_in, case when v is null then 'not rated' end as note from v
 union all select document, page, line_no, label, canonical, null, 0, null, null, null, 'cells do not fit the layout' from l where k % 19 = 0"""
 )
+_PLANE = """
+with c as (
+  select page, key as chain_id, x0, y0, x1, y1, dashed, x1 - x0 as dx, y1 - y0 as dy, sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) as len,
+    (degrees(atan2(y1 - y0, x1 - x0)) + 360) % 180 as ang from {slanted} where x1 <> x0 or y1 <> y0),
+g as (select page, case when axis = 'v' then 'x' else 'y' end as axis, case when axis = 'v' then coord / 26 else coord / 13 + 1 end as coord, label from {grid}),"""
+_SQL["slanted_crossings"] = (
+    _PLANE
+    + """
+p as (
+  select c.page, c.chain_id, ((o.x0 - c.x0) * o.dy - (o.y0 - c.y0) * o.dx) / (c.dx * o.dy - c.dy * o.dx) as t, ((o.x0 - c.x0) * c.dy - (o.y0 - c.y0) * c.dx) / (c.dx * o.dy - c.dy * o.dx) as u, o.len
+  from c join c o on c.page = o.page and c.chain_id <> o.chain_id and abs(c.dx * o.dy - c.dy * o.dx) >= 1e-9
+    and least(abs(c.ang - o.ang) % 180, 180 - abs(c.ang - o.ang) % 180) >= 30),
+x as (
+  select page, 'member' as kind, chain_id, t from p where t > 0 and t < 1 and u >= -3 / greatest(len, 1) and u <= 1 + 3 / greatest(len, 1)
+  union all select c.page, 'grid', chain_id, (coord - x0) / dx from c join g on c.page = g.page and axis = 'x' and abs(dx) > 1e-6 and (coord - x0) / dx > 0 and (coord - x0) / dx < 1
+  union all select c.page, 'grid', chain_id, (coord - y0) / dy from c join g on c.page = g.page and axis = 'y' and abs(dy) > 1e-6 and (coord - y0) / dy > 0 and (coord - y0) / dy < 1)
+select page, kind, count(*) as n, count(distinct chain_id) as n_chains, round(sum(t), 3) as sum_t from x group by 1, 2"""
+)
+_SQL["slanted_cuts"] = (
+    _PLANE
+    + """
+m as (select distinct page, x / 4 as px, y as py from {span}),
+a as (
+  select c.page, c.chain_id, c.len, ((px - x0) * dx + (py - y0) * dy) / (len * len) as t from c join m on c.page = m.page and abs((px - x0) * dy - (py - y0) * dx) / len <= 3),
+r as (
+  select distinct c.page, chain_id, len, 'x' as axis, y0 as s, dy as d from c join g on c.page = g.page and axis = 'x' and least(abs(ang - 90), 180 - abs(ang - 90)) < 2 and abs(x0 - coord) <= 1.5
+  union all select distinct c.page, chain_id, len, 'y', x0, dx from c join g on c.page = g.page and axis = 'y' and least(ang, 180 - ang) < 2 and abs(y0 - coord) <= 1.5),
+b as (
+  select r.page, chain_id, len, (coord - s) / d as t, concat('grid intersection ', label) as why from r join g on r.page = g.page and r.axis <> g.axis where (coord - s) / d > 0 and (coord - s) / d < 1),
+u as (
+  select page, t, why from b
+  union all select page, t, 'column symbol' from a where t > 0 and t < 1 and not exists (select 1 from b where a.page = b.page and a.chain_id = b.chain_id and abs(a.t - b.t) * a.len <= 4))
+select page, why, count(*) as n, round(min(t), 6) as first, round(sum(t), 3) as sum_t from u group by 1, 2"""
+)
+_SQL["slanted_associate"] = (
+    _PLANE
+    + """
+s as (select span_id, page, x / 4 as px, y as py, greatest(10, 2.5e0 * size) as reach, span_id % 4 * 45e0 as rot from {span}),
+n as (
+  select span_id, reach, chain_id, dashed, abs((px - x0) * dy - (py - y0) * dx) / len as off, ((px - x0) * dx + (py - y0) * dy) / (len * len) as t
+  from s join c on s.page = c.page and least(abs(ang - rot) % 180, 180 - abs(ang - rot) % 180) <= 3 and abs((px - x0) * dy - (py - y0) * dx) / len <= reach),
+b as (select span_id, count(*) as n, min(off) as off, arg_min(dashed, (off, chain_id)) as dashed from n where t between -0.15 and 1.15 group by span_id)
+select span_id, round(off, 6) as off, coalesce(n - 1, 0) as competing,
+  round(case when b.n is null then 0e0 else greatest(0.35e0, 0.9e0 - 0.2e0 * (b.n - 1)) - case when off > 0.6e0 * reach then 0.1e0 else 0e0 end - case when dashed then 0.1e0 else 0e0 end end, 6) as confidence
+from s left join b using (span_id)"""
+)
+_SQL["column_symbols"] = """
+with e as (
+  select s_suppkey as k, s_suppkey % 40 as page, i, (s_suppkey // 40) % 50 * 40e0 + case i when 1 then 1 when 3 then -1 else 0 end * (s_suppkey % 5 + 6) / 2e0 as x,
+    (s_suppkey // 2000) * 40e0 + case i when 0 then -1 when 2 then 1 else 0 end * (s_suppkey % 5 + 6) / 2e0 as y
+  from supplier, (select unnest([0, 1, 2, 3]) as i) where s_suppkey % 7 <> 0),
+f as (select page, k, arg_min(x, i) as x, arg_min(y, i) as y from e group by page, k, round_even(x / 6, 0), round_even(y / 6, 0))
+select page, round(avg(x), 6) as x, round(avg(y), 6) as y, count(*) as edges from f group by page, k"""
 _SQL["top_classes"] = f"""
 with s as ({_scores()}),
 u as (select doc_id, 'chart' as doc_class, score_chart as score from s union all select doc_id, 'drawing', score_drawing from s union all select doc_id, 'license', score_license from s union all select doc_id, 'listing', score_listing from s)

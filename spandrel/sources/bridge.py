@@ -86,9 +86,10 @@ select o_orderkey as span_id, o_custkey % 40 as page, cast((o_orderkey % 500) *
   concat('W', cast(8 + 2 * (o_orderkey % 10) as string), 'X', cast(10 + (o_orderkey % 30) as string)) as text
 from {orders}""",
     "slanted": """
-select page, seq, dashed, width, case k when 0 then t when 1 then o else t - o end as x0, case k when 0 then o when 1 then t else t + o end as y0,
+select page, seq, key, dashed, width, case k when 0 then t when 1 then o else t - o end as x0, case k when 0 then o when 1 then t else t + o end as y0,
   case k when 0 then t + n when 1 then o else t + n - o end as x1, case k when 0 then o when 1 then t + n else t + n + o end as y1
-from (select l_partkey % 40 as page, l_orderkey * 8 + l_linenumber as seq, l_linestatus = 'F' as dashed, 0.5e0 * (1 + l_linenumber % 2) as width,
+from (select l_partkey % 40 as page, l_orderkey * 8 + l_linenumber as seq,
+  concat(cast(l_orderkey as string), '/', cast(l_partkey as string), '/', cast(l_suppkey as string), '/', cast(l_linenumber as string)) as key, l_linestatus = 'F' as dashed, 0.5e0 * (1 + l_linenumber % 2) as width,
   l_orderkey % 3 as k, cast((l_orderkey % 500) * 4 as double) as t, (l_suppkey % 50) * 0.5e0 as o, cast(l_quantity as double) as n from {lineitem}) s""",
     "bubble": """
 select s_suppkey as circle_id, s_suppkey % 40 as page, case when s_suppkey % 2 = 0 then s_suppkey * 13.0e0 else 10e0 end as cx,
