@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import designation, geometry
 from ..functions import text as T
-from ..operators import catalog, charts, checks, drawing, listing, model, parse, plane, quantities, resolve, takeoff
+from ..operators import catalog, changes, charts, checks, drawing, listing, model, parse, plane, quantities, resolve, takeoff
 from ..session import shared_dir
 from ..sources.bridge import bridge
 from ..sources.tables import read_table
@@ -721,3 +721,35 @@ def column_symbols(spark, sf):
     drawn = read_table(spark, sf, "supplier").select(k.alias("k"), (k % 40).alias("page"), F.explode(F.array(*edges)).alias("e")).filter("k % 7 <> 0 or e.i < 2")
     found = plane.column_symbols(drawn.select("page", (F.col("k") * 4 + F.col("e.i")).alias("seq"), "e.x0", "e.y0", "e.x1", "e.y1"))
     return found.select("page", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "edges")
+
+
+# the change log -----------------------------------------------------------------------------------------------
+
+
+def _requests(spark, sf):
+    k = F.col("o_orderkey")
+    what = F.element_at(F.array(*[F.lit(t) for t in changes.TABLES]), (k % 5 + 1).cast("int"))
+    status = F.when(k % 7 == 0, "conflict").when(k % 7 == 1, "unknown").otherwise("resolved")
+    return read_table(spark, sf, "orders").select(
+        F.lpad(k.cast("string"), 12, "0").alias("request_id"), F.col("o_orderdate").cast("string").alias("created_at"), what.alias("what"), F.col("o_custkey").cast("string").alias("member_id"), F.substring("o_orderpriority", 1, 1).alias("scenario_id"),
+        status.alias("status"), F.when(k % 3 == 0, "ul_equation").otherwise("ul_table").alias("method"), ((k % 20 + 1) / 16).alias("value"), (k % 13 == 0).alias("choice"), F.concat(F.lit("actor"), (k % 4).cast("string")).alias("actor"),
+        F.lit(None).cast("string").alias("reason"), F.lit("doc").alias("source_ref"),
+    )
+
+
+@query
+def change_log(spark, sf):
+    rows = changes.rows_for(_requests(spark, sf))
+    keys = _requests(spark, sf).select("request_id", F.sha1(F.concat_ws("/", F.lit("assignment"), "what", "member_id", "scenario_id", "request_id")).alias("rid"))
+    flat = rows.select("assignment.*", F.col("assertion.kind").alias("kind"), F.col("assertion.confidence").alias("confidence"), F.get_json_object("audit.before", "$.status").alias("before"), F.size("review").alias("n_review"), F.get(F.col("review"), F.lit(0))["status"].alias("review"))
+    named = flat.join(keys.withColumnRenamed("request_id", "request"), F.col("id") == F.col("rid")).drop("rid")
+    before = keys.select(F.col("rid").alias("supersedes_id"), F.col("request_id").alias("supersedes"))
+    return named.join(before, "supersedes_id", "left").select("request", "supersedes", "what", "member_id", "scenario_id", "status", "value", "kind", "confidence", "before", "n_review", "review")
+
+
+@query
+def stage_freeze(spark, sf):
+    found = changes.tables_of(changes.rows_for(_requests(spark, sf)))["assignment"]
+    members = read_table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("member_id"))
+    frozen = changes.freeze(found, members, "1")
+    return frozen.select("member_id", *[F.get_json_object(t, "$.status").alias(t) for t in changes.TABLES], F.get_json_object("design", "$.value").cast("double").alias("thickness_in"))

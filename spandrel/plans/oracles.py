@@ -512,6 +512,35 @@ with e as (
   from supplier, (select unnest([0, 1, 2, 3]) as i) where s_suppkey % 7 <> 0),
 f as (select page, k, arg_min(x, i) as x, arg_min(y, i) as y from e group by page, k, round_even(x / 6, 0), round_even(y / 6, 0))
 select page, round(avg(x), 6) as x, round(avg(y), 6) as y, count(*) as edges from f group by page, k"""
+_REQUESTS = """
+with r as (
+  select o_orderkey as k, lpad(cast(o_orderkey as varchar), 12, '0') as request, case o_orderkey % 5 when 0 then 'interpretation' when 1 then 'rating' when 2 then 'exposure' when 3 then 'condition' else 'design' end as what,
+    cast(o_custkey as varchar) as member_id, left(o_orderpriority, 1) as scenario_id, o_orderkey % 13 = 0 as chosen, o_orderkey % 7 > 1 as resolved, o_orderdate as made from {orders}),
+s as (
+  select *, case when chosen then 'override' when k % 7 = 0 then 'conflict' when k % 7 = 1 then 'unknown' else 'resolved' end as status, case when chosen or resolved then (k % 20 + 1) / 16e0 end as value,
+    case when chosen then 'HUMAN_OVERRIDE' when not resolved then 'ASSUMPTION' when k % 3 = 0 then 'CALCULATION' else 'FACT' end as kind,
+    case when chosen then 1e0 when not resolved then 0e0 when k % 3 = 0 then 0.95e0 else 0.98e0 end as confidence from r)"""
+_SQL["change_log"] = (
+    _REQUESTS
+    + """,
+p as (select s.*, lag(request) over w as supersedes, lag(status) over w as before, row_number() over w as i from s window w as (partition by what, member_id, scenario_id order by made, request)),
+closing as (
+  select c.request, count(o.request) as n from p c left join p o on o.what = c.what and o.member_id = c.member_id and o.scenario_id = c.scenario_id and o.i < c.i and o.kind = 'ASSUMPTION'
+    and not exists (select 1 from p m where m.what = c.what and m.member_id = c.member_id and m.scenario_id = c.scenario_id and m.chosen and m.i > o.i and m.i < c.i)
+  where c.chosen group by c.request)
+select p.request, supersedes, what, member_id, scenario_id, status, value, kind, confidence, before,
+  case when chosen then cast(n as integer) when kind = 'ASSUMPTION' then 1 else 0 end as n_review, case when chosen and n > 0 then 'resolved' when kind = 'ASSUMPTION' then 'open' end as review
+from p left join closing using (request)"""
+)
+_SQL["stage_freeze"] = (
+    _REQUESTS
+    + """,
+l as (select *, row_number() over (partition by what, member_id order by made desc, request desc) as i from s where scenario_id = '1'),
+c as (select * from l where i = 1)
+select cast(c_custkey as varchar) as member_id, max(status) filter (what = 'interpretation') as interpretation, max(status) filter (what = 'rating') as rating, max(status) filter (what = 'exposure') as exposure,
+  max(status) filter (what = 'condition') as condition, max(status) filter (what = 'design') as design, max(value) filter (what = 'design') as thickness_in
+from {customer} left join c on c.member_id = cast(c_custkey as varchar) group by c_custkey"""
+)
 _SQL["top_classes"] = f"""
 with s as ({_scores()}),
 u as (select doc_id, 'chart' as doc_class, score_chart as score from s union all select doc_id, 'drawing', score_drawing from s union all select doc_id, 'license', score_license from s union all select doc_id, 'listing', score_listing from s)
