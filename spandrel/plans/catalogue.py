@@ -753,3 +753,10 @@ def stage_freeze(spark, sf):
     members = read_table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("member_id"))
     frozen = changes.freeze(found, members, "1")
     return frozen.select("member_id", *[F.get_json_object(t, "$.status").alias(t) for t in changes.TABLES], F.get_json_object("design", "$.value").cast("double").alias("thickness_in"))
+
+
+@query
+def resolve_reasons(spark, sf):
+    q, listing, charts, _ = _library(spark, sf)
+    found = resolve.reasons(q, listing, charts)
+    return found.select("query_id", "route", "reason", "n_rows", "after_restraint", "after_column", "after_rated", F.array_join("seen", "|").alias("seen"))

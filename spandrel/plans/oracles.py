@@ -541,6 +541,29 @@ select cast(c_custkey as varchar) as member_id, max(status) filter (what = 'inte
   max(status) filter (what = 'condition') as condition, max(status) filter (what = 'design') as design, max(value) filter (what = 'design') as thickness_in
 from {customer} left join c on c.member_id = cast(c_custkey as varchar) group by c_custkey"""
 )
+_SQL["resolve_reasons"] = f"""
+with facts as (select chart_id, list_sort(list_distinct(list({_RESTRAINT.format('section')}) filter (where section is not null))) as rs from {{chart_cell}} group by chart_id),
+u as (
+  select q.query_id, 'ul_table' as route, {_RESTRAINT.format('c.condition')} as printed, c.hours, c.thickness_in, q.restraint, q.rating_hours, true as product_ok, true as application_ok,
+    q.restraint is null or {_RESTRAINT.format('c.condition')} is null or {_RESTRAINT.format('c.condition')} = q.restraint as restraint_ok, null as products, null as application
+  from {{query_set}} q join {{ul_cell}} c on q.design = c.design and q.member = c.canonical
+  union all
+  select q.query_id, 'chart_table', coalesce({_RESTRAINT.format('c.section')}, array_to_string(coalesce(rs, []), ', ')), c.hours, c.thickness_in, q.restraint, q.rating_hours, {_PHRASE}, c.condition not like '%half flange%',
+    q.restraint is null or case when c.section is not null then {_RESTRAINT.format('c.section')} = q.restraint else len(rs) = 0 or rs is null or rs = [q.restraint] end, c.products,
+    case when c.condition like '%half flange%' then 'half_flange_tip' else 'contour' end
+  from {{query_set}} q join {{chart_cell}} c on q.design = c.design and q.member = c.canonical join facts f on f.chart_id = c.chart_id),
+s as (
+  select *, case when not product_ok then 0 when not application_ok then 1 when not restraint_ok then 3 when abs(hours - rating_hours) >= 1e-6 then 4 when thickness_in is null then 5 else 6 end as fell from u),
+t as (select *, case fell when 0 then products when 1 then application when 3 then printed when 4 then cast(hours as varchar) end as said, max(fell) over (partition by query_id, route) as reached from s),
+g as (
+  select query_id, route, max(reached) as reached, count(*) as n, count(*) filter (fell > 3) as a3, count(*) filter (fell > 4) as a4, count(*) filter (fell > 5) as a5,
+    array_to_string(list_sort(list_distinct(list(said) filter (fell = reached and said is not null))), '|') as seen from t group by 1, 2),
+k as (select distinct design, 'ul_table' as route from {{ul_cell}} union select distinct design, 'chart_table' from {{chart_cell}}),
+r as (select query_id, design, route from {{query_set}}, (select unnest(['ul_table', 'chart_table']) as route))
+select r.query_id, r.route, case when k.design is null then 'design not in the library' when n is null then 'member not printed' when reached = 0 then 'product' when reached = 1 then 'application' when reached = 3 then 'restraint'
+    when reached = 4 then 'column' when reached = 5 then 'rated' else 'found' end as reason,
+  coalesce(n, 0) as n_rows, coalesce(a3, 0) as after_restraint, coalesce(a4, 0) as after_column, coalesce(a5, 0) as after_rated, coalesce(seen, '') as seen
+from r left join k on r.design = k.design and r.route = k.route left join g on g.query_id = r.query_id and g.route = r.route"""
 _SQL["top_classes"] = f"""
 with s as ({_scores()}),
 u as (select doc_id, 'chart' as doc_class, score_chart as score from s union all select doc_id, 'drawing', score_drawing from s union all select doc_id, 'license', score_license from s union all select doc_id, 'listing', score_listing from s)

@@ -205,3 +205,28 @@ def test_empty_tables(spark):
 def test_product_lines(spark):
     rows = spark.createDataFrame([("Acme Shield 400",), ("ACME",), (None,)], "n string")
     assert [r[0] for r in rows.select(checks.product_line(F.col("n"), ("acme",))).collect()] == ["SHIELD 400", None, None]
+
+
+def test_hops_reach_each_design_once(spark):
+    names = [f"S{700 + k}" for k in range(8)]
+    xrefs = spark.createDataFrame([(a, b) for a in names for b in names if a != b] + [("S707", "S900"), ("S900", "S901")], "design string, target string")
+    q = spark.createDataFrame([(1, "S700", "W8X10", 1.0), (2, "S900", "W8X10", 1.0), (3, None, "W8X10", 1.0)], "query_id int, design string, member string, rating_hours double")
+    got = {}
+    for r in resolve.hops(q, xrefs).collect():
+        got.setdefault(r.query_id, []).append((r.at, len(r.path)))
+    assert sorted(got[1]) == sorted([("S700", 1), *[(n, 2) for n in names[1:]], ("S900", 3), ("S901", 4)]) and sorted(got[2]) == [("S900", 1), ("S901", 2)]
+
+
+def test_reasons_name_the_test_that_removed_the_last_cell(spark):
+    q = spark.createDataFrame(
+        [(1, "S700", "W8X10", 3.0, None, None), (2, "S700", "W8X10", 1.0, "restrained", None), (3, "S700", "W8X10", 1.0, None, "Other"), (4, "S700", "W9X10", 1.0, None, None), (5, "S999", "W8X10", 1.0, None, None), (6, "S700", "W8X10", 2.0, None, "Brand 1"), (7, "S700", "W8X10", 1.0, "unrestrained", "brand 1")],
+        "query_id int, design string, member string, rating_hours double, restraint string, product string",
+    )
+    cell = [("c", k, "W8X10", "S700", h, t, "Unrestrained Beam", "Brand 1") for k, (h, t) in enumerate(((1.0, 0.5), (1.5, 0.75), (2.0, None)))]
+    charts = spark.createDataFrame(cell, "chart_id string, seq int, canonical string, design string, hours double, thickness_in double, section string, products string")
+    listing = charts.select("seq", "canonical", "design", "hours", "thickness_in", F.lit("Restrained assembly").alias("condition")).filter("hours = 1")
+    got = {(r.query_id, r.route): (r.reason, r.n_rows, r.after_product, r.after_restraint, r.after_column, r.seen) for r in resolve.reasons(q, listing, charts).collect()}
+    assert got[1, "chart_table"] == ("column", 3, 3, 3, 0, ["1.0", "1.5", "2.0"]) and got[2, "chart_table"] == ("restraint", 3, 3, 0, 0, ["unrestrained"])
+    assert got[3, "chart_table"] == ("product", 3, 0, 0, 0, ["Brand 1"]) and got[4, "chart_table"][0] == "member not printed" and got[5, "chart_table"][0] == "design not in the library"
+    assert got[6, "chart_table"] == ("rated", 3, 3, 3, 1, []) and got[7, "chart_table"][0] == "found"
+    assert got[7, "ul_table"] == ("restraint", 1, None, 0, 0, ["restrained"]) and got[1, "ul_table"] == ("column", 1, None, 1, 0, ["1.0"])
