@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import designation, geometry
 from ..functions import text as T
-from ..operators import catalog, changes, charts, checks, drawing, listing, model, parse, plane, quantities, resolve, takeoff
+from ..operators import catalog, changes, charts, checks, crawl, drawing, listing, model, parse, plane, quantities, resolve, takeoff
 from ..session import shared_dir
 from ..sources.bridge import bridge
 from ..sources.tables import read_table
@@ -760,3 +760,16 @@ def resolve_reasons(spark, sf):
     q, listing, charts, _ = _library(spark, sf)
     found = resolve.reasons(q, listing, charts)
     return found.select("query_id", "route", "reason", "n_rows", "after_restraint", "after_column", "after_rated", F.array_join("seen", "|").alias("seen"))
+
+
+@query
+def crawl_order(spark, sf):
+    def url(k):
+        return F.concat(F.lit("https://Host"), (k % 7).cast("string"), F.lit(".example/"), F.when(k % 3 == 0, "docs/").otherwise("private/"), F.when(k % 5 == 0, "open/").otherwise(""), k.cast("string"))
+
+    keys = read_table(spark, sf, "part").select(F.col("p_partkey").alias("k")).distinct()
+    targets = F.array(F.col("k") * 3 % 1009, F.col("k") * 5 % 1013, F.col("k") + 1)
+    edges = keys.select("k", F.posexplode(targets).alias("place", "t")).select(url(F.col("k")).alias("src"), url(F.col("t")).alias("dst"), "place")
+    rules = spark.createDataFrame([("host1.example", "/private/", False), ("host1.example", "/private/open/", True), ("host2.example", "/", False), ("host2.example", "/docs/", True), ("HOST3.example", "/docs/1", False)], "host string, path string, allow boolean")
+    found = crawl.crawl(keys.filter("k % 10 = 1").select(url(F.col("k")).alias("url")), edges, rules, [f"host{h}.example" for h in range(5)], depth=2, budget=40)
+    return found

@@ -564,6 +564,41 @@ select r.query_id, r.route, case when k.design is null then 'design not in the l
     when reached = 4 then 'column' when reached = 5 then 'rated' else 'found' end as reason,
   coalesce(n, 0) as n_rows, coalesce(a3, 0) as after_restraint, coalesce(a4, 0) as after_column, coalesce(a5, 0) as after_rated, coalesce(seen, '') as seen
 from r left join k on r.design = k.design and r.route = k.route left join g on g.query_id = r.query_id and g.route = r.route"""
+
+
+def _crawl_sql(depth: int, budget: int) -> str:
+    url = "concat('https://Host', {0} % 7, '.example/', case when {0} % 3 = 0 then 'docs/' else 'private/' end, case when {0} % 5 = 0 then 'open/' else '' end, {0})"
+    out = f"""
+with k as (select distinct p_partkey as k from {{part}}),
+e as (
+  select {url.format('k')} as src, {url.format('t')} as dst, place from (
+    select k, k * 3 % 1009 as t, 0 as place from k union all select k, k * 5 % 1013, 1 from k union all select k, k + 1, 2 from k)),
+m0 as (select distinct {url.format('k')} as url, '' as src, 0 as place from k where k % 10 = 1)"""
+    past = ""
+    for d in range(depth + 1):
+        if d:
+            seen = " union all ".join(f"select url from s{i}" for i in range(d))
+            out += f""",
+m{d} as (
+  select dst as url, min(src) as src, arg_min(place, (src, place)) as place from e
+  where src in (select url from s{d - 1} where status = 'fetched') and dst not in ({seen}) group by dst)"""
+        used = " union all ".join(f"select host from s{i} where status = 'fetched'" for i in range(d)) or "select null as host where false"
+        out += f""",
+r{d} as (
+  select *, split_part(lower(url), '/', 3) as host, substr(url, 22) as path from m{d}),
+t{d} as (
+  select *, case host when 'host1.example' then case when starts_with(path, '/private/open/') then '/private/open/' when starts_with(path, '/private/') then '/private/' end
+      when 'host2.example' then case when starts_with(path, '/docs/') then '/docs/' else '/' end when 'host3.example' then case when starts_with(path, '/docs/1') then '/docs/1' end end as rule from r{d}),
+u{d} as (
+  select *, case when host >= 'host5' then 'other host' when (host, rule) in (('host1.example', '/private/'), ('host2.example', '/'), ('host3.example', '/docs/1')) then 'disallowed' end as reason from t{d}),
+s{d} as (
+  select url, {d} as depth, u.host, rule, coalesce(reason, case when row_number() over (partition by u.host, reason order by src, place, url) + coalesce(n, 0) <= {budget} then 'fetched' else 'over budget' end) as status
+  from u{d} u left join (select host, count(*) as n from ({used}) group by host) used on used.host = u.host)"""
+        past += (" union all " if d else "") + f"select * from s{d}"
+    return out + "\n" + past
+
+
+_SQL["crawl_order"] = _crawl_sql(2, 40)
 _SQL["top_classes"] = f"""
 with s as ({_scores()}),
 u as (select doc_id, 'chart' as doc_class, score_chart as score from s union all select doc_id, 'drawing', score_drawing from s union all select doc_id, 'license', score_license from s union all select doc_id, 'listing', score_listing from s)
