@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -78,3 +81,21 @@ def agrees(points: Column, inches_per_point: Column, printed_inches: Column, sha
     """Whether a measured length agrees with a printed dimension; false where the dimension is missing."""
     error = F.try_divide(F.abs(points * inches_per_point - printed_inches), printed_inches)
     return F.coalesce((printed_inches > 0) & (points > 0) & (error <= share), F.lit(False))
+
+
+def spaced(values: Column, least: Column, strictly: bool = False) -> Column:
+    """Of sorted values, the first, and then each that lies `least` (or more than it) beyond the last one taken; linear in the array."""
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for arrays, gaps in batches:
+            out = []
+            for a, gap in zip(arrays, gaps, strict=True):
+                kept = []
+                for v in () if a is None else a:
+                    if not kept or (v - kept[-1] > gap if strictly else v - kept[-1] >= gap):
+                        kept.append(v)
+                out.append(np.array(kept, float))
+            yield pd.Series(out)
+
+    run.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, "array<double>")(values, least)

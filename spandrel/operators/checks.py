@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import greedy
+
 
 def designs_for_role(sheets: DataFrame) -> DataFrame:
     """(sheet, role, design): a column takes the sheet's X and Y designs, others the rest; all where that leaves none."""
@@ -54,52 +55,61 @@ def condition_of_tokens(tokens: Column) -> Column:
 
 
 def match_to_key(predicted: DataFrame, truth: DataFrame) -> DataFrame:
-    """Greedy one-to-one matches by level and section: each prediction in `seq` order takes the free truth of least relative length error.
+    """Greedy one-to-one matches by level and section: each prediction in `seq` order takes the free truth of least relative length error, the earlier on a tie.
+
+    kind: match, duplicate (truths there were, all taken), false_positive (there were none), missed. Groups are independent; each takes a
+    logarithmic time for a prediction and holds its truths only.
+    """
+    side = lambda df, k: df.select(F.col("level").cast("string").alias("level"), F.col("section").cast("string").alias("section"), F.lit(k).alias("side"), F.col("seq").cast("long").alias("seq"), F.col("length_in").cast("double").alias("length_in"))
+    fields = [("level", "string"), ("section", "string"), ("seq", "long"), ("truth_seq", "long"), ("kind", "string"), ("error", "double")]
+    return greedy.streamed(side(truth, 0).unionByName(side(predicted, 1)), ["level", "section"], ["side", "seq"], greedy.NearestFree, fields)
+
+
+def nth(values: DataFrame, ranks: list[int], column: str = "v", few: int = 4096) -> list[float]:
+    """The values of the given 0-based ranks in order of size, by counting: a range is cut into 256 parts until a part has few values.
 
-    Greedy by definition; groups are independent, one level and section each. kind: match, duplicate, false_positive, missed.
+    Only counts, and a bounded number of values, reach the driver. Infinite values are greatest. Ranks must be within the count.
     """
-    p = predicted.select("level", "section", "seq", F.col("length_in").cast("double"), F.lit(1).alias("side"))
-    t = truth.select("level", "section", "seq", F.col("length_in").cast("double"), F.lit(0).alias("side"))
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        free = g[g.side == 0].sort_values("seq")[["seq", "length_in"]].values.tolist()
-        some, out = bool(free), []
-        level, section = g.level.iloc[0], g.section.iloc[0]
-        for seq, length in g[g.side == 1].sort_values("seq")[["seq", "length_in"]].values:
-            if not free:
-                out.append((level, section, seq, None, "duplicate" if some else "false_positive", None))
-                continue
-            error = [abs(length - x) / x if x else float("inf") for _, x in free]
-            k = min(range(len(free)), key=error.__getitem__)
-            out.append((level, section, seq, free.pop(k)[0], "match", error[k]))
-        out += [(level, section, None, s, "missed", None) for s, _ in free]
-        return pd.DataFrame(out, columns=["level", "section", "seq", "truth_seq", "kind", "error"]).astype({"seq": "Int64", "truth_seq": "Int64", "error": "Float64"})
-
-    return p.unionByName(t).groupBy("level", "section").applyInPandas(run, "level string, section string, seq long, truth_seq long, kind string, error double")
+    counted = values.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("k"))
+    finite = counted.filter(F.abs("v") < float("inf"))
+    out = []
+    for rank in ranks:
+        part, low, high, left = finite, None, None, rank
+        while True:
+            size = part.agg(F.count("*").alias("n"), F.sum("k").alias("rows"), F.min("v").alias("low"), F.max("v").alias("high")).first()
+            if left >= (size["rows"] or 0):
+                out.append(float("inf"))
+                break
+            low, high = size["low"], size["high"]
+            if size["n"] <= few:
+                for r in sorted(part.collect()):
+                    if left < r["k"]:
+                        out.append(r["v"])
+                        break
+                    left -= r["k"]
+                break
+            bin_of = F.least(F.floor((F.col("v") - low) / (high - low) * 256), F.lit(255))
+            bins = part.groupBy(bin_of.alias("b")).agg(F.sum("k").alias("k")).collect()
+            for b in sorted(bins):
+                if left < b["k"]:
+                    part = part.filter(bin_of == b["b"])
+                    break
+                left -= b["k"]
+    return out
 
 
 def score(matches: DataFrame) -> DataFrame:
     """Recall, precision, counts, and the length error's upper median and floor-rank 95th percentile.
 
-    The ranks come from counts by distinct error, so no task holds all errors.
+    The percentiles are found by counting (`nth`), so neither a task nor the driver holds all errors.
     """
     n = lambda k: F.count_if(F.col("kind") == k)
     counts = matches.agg(n("match").alias("matched"), n("duplicate").alias("duplicates"), n("false_positive").alias("false_positives"), n("missed").alias("missed"))
-    errors = matches.filter("kind = 'match'").groupBy("error").agg(F.count("*").alias("k"))
-    ranked = errors.agg(F.array_sort(F.collect_list(F.struct("error", "k"))).alias("e"), F.sum("k").alias("n"))
-
-    def at(rank):
-        found = F.aggregate(
-            "e",
-            F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("double").alias("v")),
-            lambda s, x: F.struct((s["seen"] + x["k"]).alias("seen"), F.when((s["seen"] <= rank) & (rank < s["seen"] + x["k"]), x["error"]).otherwise(s["v"]).alias("v")),
-        )
-        return found["v"]
-
-    median, p95 = at(F.floor(F.col("n") / 2)), at(F.floor(0.95 * (F.col("n") - 1)))
-    out = counts.join(ranked)  # one row each
-    return out.select(
+    errors = matches.filter("kind = 'match'").select(F.col("error").alias("v"))
+    total = errors.count()
+    median, p95 = nth(errors, [total // 2, int(0.95 * (total - 1))]) if total else (None, None)
+    return counts.select(
         F.try_divide("matched", F.col("matched") + F.col("missed")).alias("recall"),
         F.try_divide("matched", F.col("matched") + F.col("duplicates") + F.col("false_positives")).alias("precision"),
-        "matched", "duplicates", "false_positives", "missed", median.alias("median_error"), p95.alias("p95_error"),
+        "matched", "duplicates", "false_positives", "missed", F.lit(median).cast("double").alias("median_error"), F.lit(p95).cast("double").alias("p95_error"),
     )

@@ -6,14 +6,12 @@ never paired with itself. A crossing is counted in the one cell that it lies in.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import confidence
+from ..functions.geometry import confidence, spaced
 from .drawing import angle_of
 
 CELL = 64.0
@@ -109,24 +107,6 @@ def support_cuts(chains: DataFrame, supports: DataFrame, grids: DataFrame | None
     return by_grid.select("page", "chain_id", "t", "why").unionByName(clear.select("page", "chain_id", "t", "why"))
 
 
-def spaced(values: Column, least: Column, strictly: bool = False) -> Column:
-    """Of sorted values, the first, and then each that lies `least` (or more than it) beyond the last one taken; linear in the array."""
-
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for arrays, gaps in batches:
-            out = []
-            for a, gap in zip(arrays, gaps, strict=True):
-                kept = []
-                for v in () if a is None else a:
-                    if not kept or (v - kept[-1] > gap if strictly else v - kept[-1] >= gap):
-                        kept.append(v)
-                out.append(np.array(kept, float))
-            yield pd.Series(out)
-
-    run.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
-    return F.pandas_udf(run, "array<double>")(values, least)
-
-
 def pieces(chains: DataFrame, cuts: DataFrame, least: float = 6.0) -> DataFrame:
     """(page, chain_id, piece, x0, y0, x1, y1): chains cut at `cuts` (page, chain_id, t); a cut that leaves less than `least` points on a side is passed over.
 

@@ -6,11 +6,11 @@ no page is paired with itself in full.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import confidence
+from ..functions.geometry import confidence, spaced
+from . import greedy
 
 
 def validate_labels(labels: DataFrame, shapes: DataFrame | None) -> DataFrame:
@@ -114,17 +114,11 @@ def cluster_rows(spans: DataFrame, tolerance: float = 3.0) -> DataFrame:
 
 
 def cluster_rows_from_first(spans: DataFrame, tolerance: float = 2.0) -> DataFrame:
-    """As `cluster_rows`, but measured from the row's first span; a fold over a page's sorted ys."""
-    seen = F.array_sort(F.collect_set("y"))
-    start = F.struct(F.lit(float("-inf")).alias("at"), F.lit(0).alias("no"), F.array().cast("array<struct<y:double,no:int>>").alias("out"))
-
-    def step(s: Column, y: Column) -> Column:
-        fresh = y - s["at"] > tolerance
-        no = s["no"] + fresh.cast("int")
-        return F.struct(F.when(fresh, y).otherwise(s["at"]).alias("at"), no.alias("no"), F.concat(s["out"], F.array(F.struct(y.alias("y"), no.alias("no")))).alias("out"))
-
-    numbered = spans.groupBy("page").agg(F.aggregate(seen, start, step)["out"].alias("ys")).select("page", F.explode("ys").alias("r"))
-    return spans.join(numbered.select("page", F.col("r.y").alias("y"), F.col("r.no").alias("row_no")), ["page", "y"])
+    """As `cluster_rows`, but measured from the row's first span: a page's distinct ys are gone through once."""
+    starts = spans.groupBy("page").agg(F.array_sort(F.collect_set("y")).alias("ys")).select("page", F.explode(spaced(F.col("ys"), F.lit(float(tolerance)), True)).alias("y"), F.lit(1).alias("first"))
+    w = Window.partitionBy("page").orderBy("y").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = spans.select("page", "y").distinct().join(starts, ["page", "y"], "left").withColumn("row_no", F.count("first").over(w).cast("int")).drop("first")
+    return spans.join(numbered, ["page", "y"])
 
 
 def forward_fill(rows: DataFrame, by: list[str], order: list[str], column: str) -> DataFrame:
@@ -142,11 +136,8 @@ def split_at_cuts(chains: DataFrame, cuts: DataFrame, least: float = 6.0) -> Dat
     key = ["page", "y", "dashed", "x0", "x1"]
     marks = hit.groupBy(*key).agg(F.array_sort(F.collect_set("cut")).alias("cuts"))
     joined = chains.select(*key).join(marks, key, "left")
-    keep = F.aggregate(
-        F.coalesce("cuts", F.array().cast("array<double>")),
-        F.array("x0"),
-        lambda out, c: F.when((c - F.element_at(out, -1) >= least) & (F.col("x1") - c >= least), F.concat(out, F.array(c))).otherwise(out),
-    )
+    room = F.filter(F.coalesce("cuts", F.array().cast("array<double>")), lambda c: F.col("x1") - c >= least)
+    keep = spaced(F.concat(F.array("x0"), room), F.lit(float(least)))
     ends = joined.withColumn("starts", keep)
     return ends.select(*key, F.posexplode(F.arrays_zip(F.col("starts").alias("p0"), F.concat(F.slice("starts", F.lit(2), F.size("starts")), F.array("x1")).alias("p1"))).alias("piece", "z")).select(*key, "piece", F.col("z.p0").alias("p0"), F.col("z.p1").alias("p1"))
 
@@ -168,26 +159,31 @@ def reused_marks(items: DataFrame) -> DataFrame:
     return items.withColumn("f", first).filter(~F.col("f.value").eqNullSafe(F.col("value")) | ~F.col("f.sides").eqNullSafe(F.col("sides"))).select("mark", "seq", "value", "sides", F.col("f.value").alias("first_value"), F.col("f.sides").alias("first_sides"))
 
 
-def merge_same_members(members: DataFrame, reach: float = 2.0) -> DataFrame:
-    """Members of a page and section with all four coordinates within `reach` of one kept before, in `seq` order, merge.
+def same_members(members: DataFrame, reach: float = 2.0) -> DataFrame:
+    """(page, section, seq, kept): for each member the first one kept, in `seq` order, of its page and section with all four coordinates within `reach`.
 
-    Greedy by definition, so it runs over each page and section in order; the group is one page's worth.
-    Returns the kept members with n_merged.
+    A member that none kept before is near is kept itself. The rule is sequential; it runs by itself in each island of
+    members that a gap of more than `reach` parts from the others, and in time linear in the members. Members without a coordinate are kept.
     """
+    places = ["x0", "y0", "x1", "y1"]
+    whole = F.forall(F.array(*places), lambda v: v.isNotNull())
+    rows = members.select(F.col("page").cast("long").alias("page"), F.col("section").cast("string").alias("section"), F.col("seq").cast("long").alias("seq"), *[F.col(c).cast("double").alias(c) for c in places])
+    parted = greedy.islands(rows.filter(whole), ["page", "section"], places, reach).select("page", "section", "island", "seq", *places)
+    found = greedy.streamed(parted, ["page", "section", "island"], ["seq"], lambda: greedy.FirstWithin(reach, 4), [("page", "long"), ("section", "string"), ("seq", "long"), ("kept", "long")])
+    return found.unionByName(rows.filter(~whole).select("page", "section", "seq", F.col("seq").alias("kept")))
+
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        kept: list[list] = []
-        for r in rows.sort_values("seq").itertuples(index=False):
-            at = (r.x0, r.y0, r.x1, r.y1)
-            for k in kept:
-                if all(abs(a - b) <= reach for a, b in zip(at, k[3:7], strict=True)):
-                    k[7] += 1
-                    break
-            else:
-                kept.append([r.page, r.section, r.seq, *at, 0])
-        return pd.DataFrame(kept, columns=["page", "section", "seq", "x0", "y0", "x1", "y1", "n_merged"])
-
-    return members.select("page", "section", "seq", "x0", "y0", "x1", "y1").groupBy("page", "section").applyInPandas(run, "page long, section string, seq long, x0 double, y0 double, x1 double, y1 double, n_merged long")
+def merge_same_members(members: DataFrame, reach: float = 2.0) -> DataFrame:
+    """The members that `same_members` keeps, with n_merged and, where members have `evidence` (an array), that of all merged ones, in seq order."""
+    columns = ["page", "section", "seq", "x0", "y0", "x1", "y1"]
+    pairs = same_members(members, reach)
+    if "evidence" not in members.columns:
+        counted = pairs.groupBy("page", "section", F.col("kept").alias("seq")).agg((F.count("*") - 1).alias("n_merged"))
+        return members.select(*columns).join(counted, ["page", "section", "seq"])
+    own = members.select("page", "section", "seq", "evidence").join(pairs, ["page", "section", "seq"])
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("seq", "evidence"))), lambda x: F.coalesce(x["evidence"], F.array().cast(members.schema["evidence"].dataType)))
+    counted = own.groupBy("page", "section", F.col("kept").alias("seq")).agg((F.count("*") - 1).alias("n_merged"), F.flatten(listed).alias("evidence"))
+    return members.select(*columns).join(counted, ["page", "section", "seq"])
 
 
 def sheet_level(spans: DataFrame) -> DataFrame:
