@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import keyword_hits, name_key, normal_url
+from ..functions.text import name_key, normal_url
 
 GOOD = ("fetched", "unchanged", "manual")
 #: Document classes and their keywords, and words of file or folder names that hint at them.
@@ -81,13 +81,41 @@ def matched_drops(dropped: DataFrame, registry: DataFrame) -> DataFrame:
     return dropped.withColumn("key", name_key(F.col("name"))).join(first, "key", "left").select("name", F.col("f.id").alias("registry_id"))
 
 
+def _passes(words: list[str]) -> list[list[str]]:
+    """Keywords in as few scans as find them all: within a scan none begins inside another and ends outside it."""
+    def crossed(a: str, b: str) -> bool:
+        return any(a.endswith(b[:n]) or b.endswith(a[:n]) for n in range(1, min(len(a), len(b)))) and a not in b and b not in a
+
+    out: list[list[str]] = []
+    for w in sorted(words, key=lambda w: (-len(w), w)):
+        place = next((p for p in out if not any(crossed(w, x) for x in p)), None)
+        if place is None:
+            out.append([w])
+        else:
+            place.append(w)
+    return out
+
+
 def keyword_scores(texts: DataFrame, key: str, text: str, folder: str) -> DataFrame:
-    """Score of each class: occurrences of its keywords, five of each at most, and 3 for a hinting folder. One pass, no join."""
+    """Score of each class: occurrences of its keywords, five of each at most, and 3 for a hinting folder. No join.
+
+    A text is scanned once for keywords that do not cross each other, the longest first; one that lies inside another counts with it.
+    """
+    passes = _passes(sorted({w for ws in KEYWORDS.values() for w in ws}))
+    quoted = lambda w: "".join("\\" + c if not c.isalnum() and c != " " else c for c in w)
+    counted = lambda column, names: F.size(F.filter(column, lambda h: h.isin(names)))
+    found = {}
+    rows = texts.select(F.col(key), F.col(folder).alias("_folder"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_low"))
+    for k, ws in enumerate(passes):
+        pattern = rf"(?<![a-z0-9])(?:{'|'.join(map(quoted, ws))})(?![a-z0-9])"
+        rows = rows.withColumn(f"_hits{k}", F.regexp_extract_all("_low", F.lit(pattern), F.lit(0)))
+        for w in ws:
+            found[w] = counted(f"_hits{k}", [x for x in ws if f" {w} " in f" {x} "])
     scores = []
     for name, words in KEYWORDS.items():
-        hits = sum((F.least(keyword_hits(F.col(text), w), F.lit(5)) for w in words), F.lit(0))
-        scores.append((hits + F.when(F.col(folder) == HINTS[name], 3).otherwise(0)).cast("long").alias(f"score_{name}"))
-    return texts.select(F.col(key), *scores)
+        hits = sum((F.least(found[w], F.lit(5)) for w in words), F.lit(0))
+        scores.append((hits + F.when(F.col("_folder") == HINTS[name], 3).otherwise(0)).cast("long").alias(f"score_{name}"))
+    return rows.select(F.col(key), *scores)
 
 
 def classify(scores: DataFrame, key: str) -> DataFrame:

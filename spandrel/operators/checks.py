@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import greedy
+from ..session import checkpointed
+from . import greedy, resolve
 
 
 def designs_for_role(sheets: DataFrame) -> DataFrame:
@@ -42,6 +43,42 @@ def verdicts(submitted: DataFrame, resolutions: DataFrame, candidates: DataFrame
     return joined.select("query_id", "submitted_in", "status", verdict.alias("verdict"))
 
 
+def bid_queries(sheets: DataFrame, items: DataFrame) -> DataFrame:
+    """The thickness queries of a bid: each item under each design of its sheet that fits its role, once for a design and rating.
+
+    sheets: sheet_no, product_name, designs (array of struct design, rating_hr); items: item_id, sheet_no, canonical_section, member_label,
+    role, sides, thickness_in. Items without a member or a thickness are skipped. Columns take X and Y designs, others the rest, all where
+    that leaves none. The restraint of all but columns is assumed unrestrained, and said so. An item of a sheet without designs keeps
+    one row without a query.
+    """
+    rows = items.withColumn("member", F.coalesce("canonical_section", "member_label")).filter("member is not null and thickness_in is not null").withColumn("role", F.coalesce("role", F.lit("beam")))
+    joined = rows.join(sheets.select("sheet_no", product_line(F.col("product_name")).alias("product"), "designs"), "sheet_no", "left")
+    listed = F.filter(F.coalesce("designs", F.array().cast("array<struct<design:string,rating_hr:double>>")), lambda d: d["design"].isNotNull())
+    fit = F.filter(listed, lambda d: F.substring(d["design"], 1, 1).isin("X", "Y") == (F.col("role") == "column"))
+    taken = F.array_distinct(F.transform(F.when(F.size(fit) == 0, listed).otherwise(fit), lambda d: F.struct(d["design"].alias("design"), F.coalesce(d["rating_hr"].cast("double"), F.lit(0.0)).alias("rating_hours"))))
+    each = joined.select("item_id", "sheet_no", "member", "role", "sides", F.col("thickness_in").alias("submitted_in"), "product", F.explode_outer(taken).alias("d"))
+    beam = F.col("role") != "column"
+    return each.select(
+        "item_id", "sheet_no", "member", "role", "sides", "submitted_in", "product", F.col("d.design").alias("design"), F.col("d.rating_hours").alias("rating_hours"), F.when(beam, "unrestrained").alias("restraint"),
+        F.when(beam & F.col("d").isNotNull(), "restraint assumed unrestrained").alias("assumption"), F.when(F.col("d").isNotNull(), F.concat_ws("/", F.col("item_id").cast("string"), "d.design", F.col("d.rating_hours").cast("string"))).alias("query_id"),
+    )
+
+
+def bid_report(sheets: DataFrame, items: DataFrame, listing: DataFrame, charts: DataFrame, equations: DataFrame | None = None, xrefs: DataFrame | None = None) -> DataFrame:
+    """A bid's items against the library: one row for each query of `bid_queries`, with status, resolved thickness and verdict.
+
+    Verdicts as in `verdicts`, and `no-design` for items of sheets that list none. Candidates are worked out once.
+    """
+    asked = checkpointed(bid_queries(sheets, items))
+    queries = asked.filter("query_id is not null").select("query_id", "design", "member", "rating_hours", "restraint", "product")
+    found = checkpointed(resolve.candidates(queries, listing, charts, equations, xrefs))
+    resolved = resolve.resolve(queries, listing, charts, equations, xrefs, found=found)
+    judged = verdicts(asked.filter("query_id is not null").select("query_id", "submitted_in"), resolved, found).select("query_id", "status", "verdict")
+    out = asked.join(judged, "query_id", "left").join(resolved.select("query_id", "thickness_in"), "query_id", "left")
+    said = lambda c: F.when(F.col("query_id").isNull(), "no-design").otherwise(F.col(c)).alias(c)
+    return out.select("item_id", "sheet_no", "member", "role", "sides", "submitted_in", "design", "rating_hours", "assumption", said("status"), "thickness_in", said("verdict"))
+
+
 def verdict_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("verdict").agg(F.count("*").alias("n"))
 

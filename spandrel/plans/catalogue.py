@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import designation, geometry
 from ..functions import text as T
 from ..operators import catalog, changes, charts, checks, crawl, drawing, listing, model, parse, plane, quantities, resolve, takeoff
-from ..session import shared_dir
+from ..session import checkpointed, shared_dir
 from ..sources.bridge import bridge
 from ..sources.tables import read_table
 from ..streaming import manifest as stream
@@ -315,7 +315,8 @@ def quantity_grouping_sets(spark, sf):
 
 def _verdicts(spark, sf):
     q, listing, charts, equations = _library(spark, sf)
-    return checks.verdicts(q.select("query_id", "submitted_in"), resolve.resolve(q, listing, charts, equations), resolve.candidates(q, listing, charts, equations))
+    found = checkpointed(resolve.candidates(q, listing, charts, equations))
+    return checks.verdicts(q.select("query_id", "submitted_in"), resolve.resolve(q, listing, charts, equations, found=found), found)
 
 
 @query
@@ -773,3 +774,29 @@ def crawl_order(spark, sf):
     rules = spark.createDataFrame([("host1.example", "/private/", False), ("host1.example", "/private/open/", True), ("host2.example", "/", False), ("host2.example", "/docs/", True), ("HOST3.example", "/docs/1", False)], "host string, path string, allow boolean")
     found = crawl.crawl(keys.filter("k % 10 = 1").select(url(F.col("k")).alias("url")), edges, rules, [f"host{h}.example" for h in range(5)], depth=2, budget=40)
     return found
+
+
+@query
+def bid_report(spark, sf):
+    c = F.col("c_custkey")
+    design = lambda letter, k, hours: F.struct(F.concat(F.lit(letter), (700 + k).cast("string")).alias("design"), F.lit(hours).alias("rating_hr"))
+    two = [design("S", c % 55, 1.0), design("S", c % 50, 1.5), design("S", c % 55, 1.0)]
+    designs = F.when(c % 9 == 0, F.array().cast("array<struct<design:string,rating_hr:double>>")).when(c % 4 == 0, F.array(*two, design("X", c % 55, 2.0))).otherwise(F.array(*two))
+    sheets = read_table(spark, sf, "customer").select(c.alias("sheet_no"), F.when(c % 3 != 0, F.concat(F.lit("Brand#"), (1 + c % 25).cast("string"), F.lit(" Inc"))).alias("product_name"), designs.alias("designs"))
+    k = F.col("o_orderkey")
+    items = read_table(spark, sf, "orders").select(
+        k.alias("item_id"), F.col("o_custkey").alias("sheet_no"), F.concat(F.lit("W"), (8 + 2 * (k % 10)).cast("string"), F.lit("X"), (10 + k % 30).cast("string")).alias("canonical_section"), F.lit("label").alias("member_label"),
+        F.when(k % 3 == 0, "column").alias("role"), F.lit(3).alias("sides"), F.when(k % 11 != 0, (4 + k % 20) / 16).alias("thickness_in"),
+    )
+    _, listing, charts, equations = _library(spark, sf)
+    return checks.bid_report(sheets, items, listing, charts, equations).select("item_id", "member", "design", "rating_hours", "submitted_in", "status", "thickness_in", "verdict")
+
+
+@query
+def assign_resolved(spark, sf):
+    q, listing, charts, equations = _library(spark, sf)
+    members = q.select(F.col("query_id").alias("member_id"), F.when(F.col("query_id") % 4 == 0, "column").otherwise("beam").alias("member_type"))
+    asked = changes.requests_for(members, resolve.resolve(q, listing, charts, equations), "base", "2030-01-01", role="beam")
+    tables = changes.tables_of(changes.rows_for(asked))
+    rows = tables["assignment"].join(tables["assertion"].select("assertion_id", "kind", "confidence"), "assertion_id").join(tables["review"].select("member_id", F.col("kind").alias("review")), "member_id", "left")
+    return rows.select(F.col("member_id").cast("long").alias("member_id"), "status", F.col("value").alias("thickness_in"), "kind", "confidence", "review")

@@ -564,6 +564,20 @@ select r.query_id, r.route, case when k.design is null then 'design not in the l
     when reached = 4 then 'column' when reached = 5 then 'rated' else 'found' end as reason,
   coalesce(n, 0) as n_rows, coalesce(a3, 0) as after_restraint, coalesce(a4, 0) as after_column, coalesce(a5, 0) as after_rated, coalesce(seen, '') as seen
 from r left join k on r.design = k.design and r.route = k.route left join g on g.query_id = r.query_id and g.route = r.route"""
+_BID = f"""
+with {_ROUTES}, {_LADDER}, among as (select distinct query_id, thickness_in from cand)
+select q.item_id, q.member, q.design, q.rating_hours, q.submitted_in, r.status, case when r.status = 'resolved' then r.any_value end as thickness_in,
+  case when r.status = 'resolved' and r.any_value is null then 'not-rated' when r.status = 'resolved' then case when abs(r.any_value - r.submitted_in) < 1e-6 then 'match' else 'differs' end
+  when r.status = 'conflict' then case when a.query_id is not null then 'match-one-route' else 'differs' end when r.status = 'review' and a.query_id is not null then 'review-match' else r.status end as verdict
+from {{query_set}} q join res r on q.query_id = r.query_id left join among a on r.query_id = a.query_id and r.submitted_in = a.thickness_in
+union all
+select o_orderkey, concat('W', 8 + 2 * (o_orderkey % 10), 'X', 10 + o_orderkey % 30), null, null, (4 + o_orderkey % 20) / 16e0, 'no-design', null, 'no-design' from {{orders}} where o_custkey % 9 = 0 and o_orderkey % 11 <> 0"""
+_SQL["assign_resolved"] = f"""
+with {_ROUTES}, {_LADDER}
+select query_id as member_id, status, case when status = 'resolved' then any_value end as thickness_in, case when status <> 'resolved' then 'ASSUMPTION' when method = 'ul_equation' then 'CALCULATION' else 'FACT' end as kind,
+  case when status <> 'resolved' then 0e0 when method = 'ul_equation' then 0.95e0 else 0.98e0 end as confidence, case when status = 'conflict' then 'conflict' when status <> 'resolved' then 'unknown' end as review
+from res where query_id % 4 <> 0"""
+_SQL["bid_report"] = _BID.replace("{query_set}", "{bid_query}")
 
 
 def _crawl_sql(depth: int, budget: int) -> str:

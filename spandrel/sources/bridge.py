@@ -57,6 +57,17 @@ select o_orderkey as query_id, concat('S', cast(700 + (o_custkey % 55) as string
   case when o_orderkey % 3 = 0 then cast(null as string) else concat('Brand#', cast(1 + o_orderkey % 25 as string)) end as product,
   case when o_orderkey % 5 = 0 then (4 + o_orderkey % 20) / 16e0 else (4 + (o_orderkey * 7) % 20) / 16e0 end as submitted_in
 from {orders}""",
+    "bid_query": """
+with d as (
+  select c_custkey as sheet, concat('S', cast(700 + c_custkey % 55 as string)) as design, 1.0e0 as hours, false as x from {customer} where c_custkey % 9 <> 0
+  union select c_custkey, concat('S', cast(700 + c_custkey % 50 as string)), 1.5e0, false from {customer} where c_custkey % 9 <> 0
+  union select c_custkey, concat('X', cast(700 + c_custkey % 55 as string)), 2.0e0, true from {customer} where c_custkey % 9 <> 0 and c_custkey % 4 = 0)
+select concat(cast(o_orderkey as string), '/', design, '/', cast(hours as string)) as query_id, o_orderkey as item_id, design, hours as rating_hours, x,
+  concat('W', cast(8 + 2 * (o_orderkey % 10) as string), 'X', cast(10 + (o_orderkey % 30) as string)) as member,
+  case when o_orderkey % 3 = 0 then cast(null as string) else 'unrestrained' end as restraint, case when o_custkey % 3 = 0 then cast(null as string) else concat('BRAND#', cast(1 + o_custkey % 25 as string)) end as product,
+  (4 + o_orderkey % 20) / 16e0 as submitted_in
+from {orders} join d on d.sheet = o_custkey
+where o_orderkey % 11 <> 0 and (case when o_orderkey % 3 = 0 and o_custkey % 4 = 0 then x when o_orderkey % 3 <> 0 then not x else true end)""",
     "assignment": """
 select o_orderkey as id, o_custkey as member_id, o_orderpriority as scenario_id, o_orderdate as created_at,
   case when o_orderkey % 11 = 0 then cast(null as double) else (o_orderkey % 20) / 16e0 end as thickness_in,

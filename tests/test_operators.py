@@ -230,3 +230,29 @@ def test_reasons_name_the_test_that_removed_the_last_cell(spark):
     assert got[3, "chart_table"] == ("product", 3, 0, 0, 0, ["Brand 1"]) and got[4, "chart_table"][0] == "member not printed" and got[5, "chart_table"][0] == "design not in the library"
     assert got[6, "chart_table"] == ("rated", 3, 3, 3, 1, []) and got[7, "chart_table"][0] == "found"
     assert got[7, "ul_table"] == ("restraint", 1, None, 0, 0, ["restrained"]) and got[1, "ul_table"] == ("column", 1, None, 1, 0, ["1.0"])
+
+
+def test_bid_queries_and_report(spark):
+    sheets = spark.createDataFrame(
+        [("A1", "Brand 1 Inc", [("S700", 1.0), ("X700", 2.0), ("S700", 1.0)]), ("A2", None, []), ("A3", None, None), ("A4", None, [("S701", None)])],
+        "sheet_no string, product_name string, designs array<struct<design:string,rating_hr:double>>",
+    )
+    items = spark.createDataFrame(
+        [(1, "A1", "W8X10", None, "beam", 3, 0.5), (2, "A1", "W8X10", None, "column", 4, 0.5), (3, "A2", None, "odd", None, None, 1.0), (4, "A1", None, None, "beam", 3, 0.5), (5, "A1", "W8X10", None, None, 3, None), (6, "A3", "W8X10", None, None, 3, 1.0), (7, "A4", "W8X10", None, "column", 3, 1.0), (8, "no sheet", "W8X10", None, None, 3, 1.0)],
+        "item_id int, sheet_no string, canonical_section string, member_label string, role string, sides int, thickness_in double",
+    )
+    asked = {(r.item_id, r.design): (r.member, r.rating_hours, r.restraint, r.product, r.assumption) for r in checks.bid_queries(sheets, items).collect()}
+    assumed = "restraint assumed unrestrained"
+    assert asked == {(1, "S700"): ("W8X10", 1.0, "unrestrained", "BRAND 1", assumed), (2, "X700"): ("W8X10", 2.0, None, "BRAND 1", None), (3, None): ("odd", None, "unrestrained", None, None),
+                     (6, None): ("W8X10", None, "unrestrained", None, None), (7, "S701"): ("W8X10", 0.0, None, None, None), (8, None): ("W8X10", None, "unrestrained", None, None)}
+    listing = spark.createDataFrame([("S700", 1, "W8X10", 1.0, 0.5)], "design string, seq int, canonical string, hours double, thickness_in double")
+    charts = spark.createDataFrame([], "chart_id string, design string, seq int, canonical string, hours double, thickness_in double")
+    got = {(r.item_id, r.design): (r.status, r.verdict) for r in checks.bid_report(sheets, items, listing, charts).collect()}
+    assert got[1, "S700"] == ("resolved", "match") and got[2, "X700"] == ("unknown", "unknown") and got[3, None] == ("no-design", "no-design") and len(got) == 6
+
+
+def test_keywords_in_one_scan_where_none_cross(spark):
+    assert catalog._passes(["fire rating", "rating", "rating level", "level"]) == [["rating level", "rating", "level"], ["fire rating"]]
+    text = "Assembly Rating, assembly ratings; RATING rating beam/beam w/d w/dx overrating license version1"
+    got = catalog.keyword_scores(spark.createDataFrame([(1, text, "src3"), (2, None, None), (3, "", "src2")], "k int, t string, f string"), "k", "t", "f").orderBy("k").collect()
+    assert tuple(got[0])[1:] == (1, 3 + 2 + 1, 3, 1) and tuple(got[1])[1:] == (0, 0, 0, 0) and tuple(got[2])[1:] == (0, 3, 0, 0)
