@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.designation import designations
 from ..functions.text import fraction, rating_hours
+from ..session import checkpointed
 from .takeoff import cluster_rows
 
 #: Points: gutters of less are none, prose is longer than PROSE characters, and no thickness is greater than THICKEST inches.
@@ -83,8 +84,9 @@ def positioned_chart(spans: DataFrame) -> DataFrame:
     """
     rows = cluster_rows(spans.withColumn("x", F.col("x0")).withColumn("page_no", F.col("page")).withColumn("page", F.struct("document", "page_no")))
     rows = rows.drop("page", "x").withColumnRenamed("page_no", "page").filter(F.length(F.trim("text")) > 0).withColumn("text", F.trim("text"))
+    rows = checkpointed(rows)  # read five times below
     heads = heads_of(rows)
-    columns = columns_of(rows, heads)
+    columns = checkpointed(columns_of(rows, heads))
     by_page = Window.partitionBy("document", "page").orderBy("x0")
     restart = F.coalesce((F.col("hours") <= F.lag("hours").over(by_page)) | ~F.col("title").eqNullSafe(F.lag("title").over(by_page)), F.lit(True))
     thick = columns.filter("kind = 'thickness'").withColumn("group_no", F.sum(restart.cast("int")).over(by_page)).select("document", "page", "column", "group_no")
