@@ -79,6 +79,58 @@ def bid_report(sheets: DataFrame, items: DataFrame, listing: DataFrame, charts:
     return out.select("item_id", "sheet_no", "member", "role", "sides", "submitted_in", "design", "rating_hours", "assumption", said("status"), "thickness_in", said("verdict"))
 
 
+KNOWN_TOKENS = ("NW", "LW", "C", "P/T")
+BEAM_ROLES = ("primary_beam", "secondary_beam", "bridging", "angle", "channel", "hss", "joist")
+
+
+def legend_conditions(legend: DataFrame) -> DataFrame:
+    """`legend` (design, design_suffix, design_tokens, ...) with `condition`, `unmapped` and `notes`: what its printed code is read as.
+
+    C stands for a cellular or corrugated deck, but on a column design (X) for the wide-flange chart, which asks no condition. Tokens and
+    suffixes that stand for nothing known are kept as printed and noted.
+    """
+    up = F.transform(F.coalesce("design_tokens", F.array().cast("array<string>")), F.upper)
+    on_column = F.coalesce(F.col("design").startswith("X"), F.lit(False))
+    read = F.when(on_column, F.filter(up, lambda t: t != "C")).otherwise(up)
+    other = F.filter(up, lambda t: ~t.isin(*KNOWN_TOKENS))
+    suffix = F.coalesce("design_suffix", F.lit("")) != ""
+    notes = F.array_compact(
+        F.concat(
+            F.array(
+                F.when(F.array_contains(up, "C"), F.when(on_column, "C read as wide-flange column chart").otherwise("C read as cellular or corrugated deck")),
+                F.when(F.array_contains(up, "P/T"), F.lit("P/T read as pipe or tube column chart")),
+                F.when(suffix, F.concat(F.lit("suffix "), "design_suffix", F.lit(" not mapped"))),
+            ),
+            F.transform(other, lambda t: F.concat(F.lit("token "), t, F.lit(" not mapped"))),
+        )
+    )
+    return legend.withColumns({"condition": condition_of_tokens(read), "unmapped": suffix | (F.size(other) > 0), "notes": notes})
+
+
+def drawing_report(legend: DataFrame, listing: DataFrame, charts: DataFrame, equations: DataFrame | None = None, xrefs: DataFrame | None = None) -> DataFrame:
+    """Legend rows of shop drawings against the library: one row each with condition, notes, status and verdict.
+
+    legend: row_id, product_hint, canonical, role, joist_depth_in, design, design_suffix, design_tokens, hours, thickness_in, sides. Rows without a member
+    (or, for joists, a depth), design, rating or thickness are `skipped`. The restraint of beams is assumed unrestrained, but for X and Y
+    designs. A value that differs is told apart where the row has four sides, or a code that stands for nothing known.
+    """
+    depth = F.when(F.col("role") == "joist", F.col("joist_depth_in"))
+    asks = (F.col("canonical").isNotNull() | depth.isNotNull()) & F.col("design").isNotNull() & F.col("hours").isNotNull() & F.col("thickness_in").isNotNull()
+    column = F.substring("design", 1, 1).isin("X", "Y")
+    restraint = F.when(F.col("role").isin(*BEAM_ROLES) & ~column, "unrestrained")
+    rows = checkpointed(legend_conditions(legend).withColumns({"asks": F.coalesce(asks, F.lit(False)), "depth": depth, "restraint": restraint}))
+    asked = rows.filter("asks").select(
+        F.col("row_id").alias("query_id"), "design", F.coalesce("canonical", F.concat(F.lit("JOIST "), F.col("depth").cast("string"))).alias("member"), F.col("hours").alias("rating_hours"), "restraint",
+        product_line(F.col("product_hint")).alias("product"), "condition", F.col("depth").alias("joist_depth_in"),
+    )
+    found = checkpointed(resolve.candidates(asked, listing, charts, equations, xrefs))
+    resolved = resolve.resolve(asked, listing, charts, equations, xrefs, found=found)
+    judged = verdicts(rows.filter("asks").select(F.col("row_id").alias("query_id"), F.col("thickness_in").alias("submitted_in")), resolved, found).select(F.col("query_id").alias("row_id"), "status", F.col("verdict").alias("v"))
+    differs = F.col("v") == "differs"
+    verdict = F.when(~F.col("asks"), "skipped").when(differs & (F.col("sides") == 4), "differs-4-sides").when(differs & F.col("unmapped"), "differs-unmapped-code").otherwise(F.col("v"))
+    return rows.join(judged, "row_id", "left").select("row_id", "role", "design", "condition", "restraint", "notes", "status", verdict.alias("verdict"))
+
+
 def verdict_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("verdict").agg(F.count("*").alias("n"))
 

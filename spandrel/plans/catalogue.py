@@ -800,3 +800,16 @@ def assign_resolved(spark, sf):
     tables = changes.tables_of(changes.rows_for(asked))
     rows = tables["assignment"].join(tables["assertion"].select("assertion_id", "kind", "confidence"), "assertion_id").join(tables["review"].select("member_id", F.col("kind").alias("review")), "member_id", "left")
     return rows.select(F.col("member_id").cast("long").alias("member_id"), "status", F.col("value").alias("thickness_in"), "kind", "confidence", "review")
+
+
+@query
+def report_check(spark, sf):
+    k, text = F.col("o_orderkey"), lambda c: c.cast("string")
+    tokens = F.element_at(F.array(*[F.array(*[F.lit(t) for t in ts]).cast("array<string>") for ts in ((), ("NW",), ("lw", "c"), ("P/T",), ("ZZ",), ())]), (k % 6 + 1).cast("int"))
+    legend = read_table(spark, sf, "orders").select(
+        k.alias("row_id"), F.when(F.col("o_custkey") % 3 != 0, F.concat(F.lit("Brand#"), text(1 + F.col("o_custkey") % 25), F.lit(" Company"))).alias("product_hint"), F.concat(F.lit("W"), text(8 + 2 * (k % 10)), F.lit("X"), text(10 + k % 30)).alias("canonical"),
+        F.when(k % 2 == 0, "primary_beam").otherwise("column").alias("role"), F.lit(None).cast("double").alias("joist_depth_in"), F.concat(F.lit("S"), text(700 + F.col("o_custkey") % 55)).alias("design"), F.when(k % 17 == 0, "a").alias("design_suffix"),
+        tokens.alias("design_tokens"), F.when(F.col("o_orderstatus") == "F", 1.0).when(F.col("o_orderstatus") == "O", 1.5).otherwise(2.0).alias("hours"), F.when(k % 13 != 0, (4 + k % 20) / 16).alias("thickness_in"), (3 + k % 7 % 2).cast("int").alias("sides"),
+    )
+    _, listing, charts, equations = _library(spark, sf)
+    return checks.drawing_report(legend, listing, charts, equations).select("row_id", "condition", "restraint", "status", "verdict")

@@ -572,6 +572,18 @@ select q.item_id, q.member, q.design, q.rating_hours, q.submitted_in, r.status,
 from {{query_set}} q join res r on q.query_id = r.query_id left join among a on r.query_id = a.query_id and r.submitted_in = a.thickness_in
 union all
 select o_orderkey, concat('W', 8 + 2 * (o_orderkey % 10), 'X', 10 + o_orderkey % 30), null, null, (4 + o_orderkey % 20) / 16e0, 'no-design', null, 'no-design' from {{orders}} where o_custkey % 9 = 0 and o_orderkey % 11 <> 0"""
+_SQL["report_check"] = (
+    f"""
+with {_ROUTES}, {_LADDER}, among as (select distinct query_id, thickness_in from cand),
+v as (
+  select q.*, r.status, case when r.status = 'resolved' and r.any_value is null then 'not-rated' when r.status = 'resolved' then case when abs(r.any_value - r.submitted_in) < 1e-6 then 'match' else 'differs' end
+    when r.status = 'conflict' then case when a.query_id is not null then 'match-one-route' else 'differs' end when r.status = 'review' and a.query_id is not null then 'review-match' else r.status end as verdict
+  from {{query_set}} q join res r on q.query_id = r.query_id left join among a on r.query_id = a.query_id and r.submitted_in = a.thickness_in)
+select query_id as row_id, cond as condition, restraint, status, case when verdict = 'differs' and sides = 4 then 'differs-4-sides' when verdict = 'differs' and unmapped then 'differs-unmapped-code' else verdict end as verdict from v
+union all select o_orderkey, case o_orderkey % 6 when 1 then 'Normal Weight' when 2 then 'Cellular or Corrugated Deck Lightweight' end, case when o_orderkey % 2 = 0 then 'unrestrained' end, null, 'skipped' from {{orders}} where o_orderkey % 13 = 0"""
+    .replace("where (q.product", "where q.cond is null and (q.product")
+    .replace("{query_set}", "{report_query}")
+)
 _SQL["assign_resolved"] = f"""
 with {_ROUTES}, {_LADDER}
 select query_id as member_id, status, case when status = 'resolved' then any_value end as thickness_in, case when status <> 'resolved' then 'ASSUMPTION' when method = 'ul_equation' then 'CALCULATION' else 'FACT' end as kind,

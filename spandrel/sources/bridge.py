@@ -68,6 +68,13 @@ select concat(cast(o_orderkey as string), '/', design, '/', cast(hours as string
   (4 + o_orderkey % 20) / 16e0 as submitted_in
 from {orders} join d on d.sheet = o_custkey
 where o_orderkey % 11 <> 0 and (case when o_orderkey % 3 = 0 and o_custkey % 4 = 0 then x when o_orderkey % 3 <> 0 then not x else true end)""",
+    "report_query": """
+select o_orderkey as query_id, concat('S', cast(700 + (o_custkey % 55) as string)) as design, concat('W', cast(8 + 2 * (o_orderkey % 10) as string), 'X', cast(10 + (o_orderkey % 30) as string)) as member,
+  case o_orderstatus when 'F' then 1.0e0 when 'O' then 1.5e0 else 2.0e0 end as rating_hours, case when o_orderkey % 2 = 0 then 'unrestrained' else cast(null as string) end as restraint,
+  case when o_custkey % 3 = 0 then cast(null as string) else concat('BRAND#', cast(1 + o_custkey % 25 as string)) end as product,
+  case o_orderkey % 6 when 1 then 'Normal Weight' when 2 then 'Cellular or Corrugated Deck Lightweight' else cast(null as string) end as cond,
+  (4 + o_orderkey % 20) / 16e0 as submitted_in, 3 + o_orderkey % 7 % 2 as sides, o_orderkey % 6 = 4 or o_orderkey % 17 = 0 as unmapped
+from {orders} where o_orderkey % 13 <> 0""",
     "assignment": """
 select o_orderkey as id, o_custkey as member_id, o_orderpriority as scenario_id, o_orderdate as created_at,
   case when o_orderkey % 11 = 0 then cast(null as double) else (o_orderkey % 20) / 16e0 end as thickness_in,

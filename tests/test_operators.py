@@ -256,3 +256,16 @@ def test_keywords_in_one_scan_where_none_cross(spark):
     text = "Assembly Rating, assembly ratings; RATING rating beam/beam w/d w/dx overrating license version1"
     got = catalog.keyword_scores(spark.createDataFrame([(1, text, "src3"), (2, None, None), (3, "", "src2")], "k int, t string, f string"), "k", "t", "f").orderBy("k").collect()
     assert tuple(got[0])[1:] == (1, 3 + 2 + 1, 3, 1) and tuple(got[1])[1:] == (0, 0, 0, 0) and tuple(got[2])[1:] == (0, 3, 0, 0)
+
+
+def test_legend_codes_and_drawing_report(spark):
+    kinds = "row_id int, product_hint string, canonical string, role string, joist_depth_in double, design string, design_suffix string, design_tokens array<string>, hours double, thickness_in double, sides int"
+    rows = [
+        (1, None, "W8X10", "primary_beam", None, "S700", None, ["nw"], 1.0, 0.5, 3), (2, None, "W8X10", "column", None, "X700", None, ["C", "LW"], 1.0, 0.5, 3), (3, None, "W8X10", "deck", None, "S700", "b", ["Q"], 1.0, 0.75, 3),
+        (4, None, "W8X10", "deck", None, "S700", None, None, 1.0, 0.75, 4), (5, None, None, "joist", None, "S700", None, None, 1.0, 0.75, 3), (6, None, "W8X10", "deck", None, "S700", None, ["C", "P/T"], None, 0.75, 3),
+    ]
+    legend = spark.createDataFrame(rows, kinds)
+    listing = spark.createDataFrame([("S700", 1, "W8X10", 1.0, 0.5)], "design string, seq int, canonical string, hours double, thickness_in double")
+    charts = spark.createDataFrame([], "chart_id string, design string, seq int, canonical string, hours double, thickness_in double")
+    got = {r.row_id: (r.condition, r.restraint, len(r.notes), r.verdict) for r in checks.drawing_report(legend, listing, charts).collect()}
+    assert got == {1: ("Normal Weight", "unrestrained", 0, "match"), 2: ("Lightweight", None, 1, "unknown"), 3: (None, None, 2, "differs-unmapped-code"), 4: (None, None, 0, "differs-4-sides"), 5: (None, "unrestrained", 0, "skipped"), 6: ("Cellular or Corrugated Deck", None, 2, "skipped")}
