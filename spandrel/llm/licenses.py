@@ -1,12 +1,13 @@
 """License scans by conditional compression.
 
 Cues are words of the templates, so many of each that no text can confirm it without one. Around each cue, on both sides and across line breaks, as many words as the longest template may take are
-gathered into a candidate block; blocks that meet are joined. Templates are confirmed in a block by exact wording
-differences: the words of the template are aligned with those of the block, and a finding stands only if few words
-differ and none of the words that tell licenses apart (numbers, version letters). Places that hold too few of the
-template's words for that are passed over. The confirmed wording alone is compressed with the template as zstandard raw
-dictionary: how much smaller it gets, as a share of what the template itself would save, ranks templates that
-claim the same place. The saving never rejects, and no text around a statement takes part in it.
+gathered into a candidate block; blocks that meet are joined, and long ones cut into overlapping pieces. A piece is
+compressed with each template that it can hold as zstandard raw dictionary, and the templates are ranked by how much
+smaller it gets. They are confirmed in that order by exact wording differences: the words of the template are aligned
+with those of the piece, and a finding stands only if few words differ and none of the words that tell licenses apart
+(numbers, version letters). Words that a template has won are closed to templates that save clearly less; among those
+that save about the same, the longest wording, then the one of fewest differences stays. A template that saves little is
+still confirmed wherever no other has won, so nothing is lost to the ranking.
 """
 
 from __future__ import annotations
@@ -124,6 +125,8 @@ _MARK = re.compile(r"(?:^|(?<=[:;.,]\s))[^\w\n]*\(?(\d{1,2})[.)](?=\s)", re.MULT
 WORD = re.compile(r"[A-Za-z0-9]+(?:[.+-][A-Za-z0-9]+)*")
 #: The share of a template's words that may differ.
 DIFFERENCES = 0.1
+#: Savings of two templates above this ratio, or within so many bytes of it (the frame and tables of a compressed text), are too alike to choose between them.
+LEAD, NOISE = 0.75, 32
 #: Words that tell licenses apart: none of these may be missing or replaced.
 _TELLING = re.compile(r"\d|^(?:apache|mit|gnu|lesser|affero|mozilla|bsd|cc|by(?:-\w+)*|sharealike|noncommercial|attribution(?:-\w+)?)$")
 
@@ -242,17 +245,55 @@ def _aligned(want: list[str], have: list[str], openings: list[int]) -> list[tupl
     return None
 
 
+def pieces(block: list[re.Match], reach: int) -> Iterator[list[re.Match]]:
+    """A block in pieces that a dictionary's window covers; any `reach` words in a row lie whole in one of them."""
+    for k in range(0, max(len(block) - reach, 1), 3 * reach):
+        yield block[k : k + 4 * reach]
+
+
+def winners(text: str, words: list[re.Match], templates: list[Template]) -> list[Finding]:
+    """The piece compressed with each template that it can hold; ranked by bytes saved, and confirmed in that order.
+
+    Words that a template has won are closed to templates that save clearly less (`LEAD`, `NOISE`). Those that save about the same
+    differ by so little that all of them are confirmed, and the exact differences decide.
+    """
+    lower = [w[0].lower() for w in words]
+    held = frozenset(lower)
+    able = [t for t in templates if len(t.vocabulary - held) <= DIFFERENCES * len(t.words)]
+    if not able:
+        return []
+    part = text[words[0].start() : words[-1].end()]
+    ranked = sorted(((t.saving(part), t) for t in able), key=lambda x: (-x[0], x[1].name))
+    found: list[tuple[int, Finding]] = []
+    for saving, t in ranked:
+        closed = sorted((f.start, f.end) for s, f in found if saving + NOISE < LEAD * s)
+        for run in _open_runs(words, closed):
+            low = lower[run]
+            if openings := _openings(t, low):
+                found += [(saving, f) for f in confirm(t, text, words[run], low, openings)]
+    return [f for _, f in found]
+
+
+def _open_runs(words: list[re.Match], closed: list[tuple[int, int]]) -> Iterator[slice]:
+    """The runs of words outside the closed spans, which are in order."""
+    begin, starts = 0, [w.start() for w in words]
+    for start, end in closed:
+        if (stop := bisect_left(starts, start)) > begin:
+            yield slice(begin, stop)
+        begin = max(begin, bisect_left(starts, end))
+    if begin < len(words):
+        yield slice(begin, len(words))
+
+
 def find_licenses(text: str | None, templates: list[Template]) -> list[Finding]:
-    found: list[Finding] = []
+    """The licenses of a text by conditional compression: candidate blocks, ranked templates, confirmed winners."""
+    found: set[Finding] = set()
     if not text or not templates:
-        return found
-    cue = cue_of(tuple(t.wording for t in templates))
-    for words in candidate_blocks(text, max(_stretch(len(t.words)) for t in templates), cue):
-        lower = [w[0].lower() for w in words]
-        held = frozenset(lower)
-        for t in templates:
-            if len(t.vocabulary - held) <= DIFFERENCES * len(t.words) and (openings := _openings(t, lower)):
-                found += confirm(t, text, words, lower, openings)
+        return []
+    cue, reach = cue_of(tuple(t.wording for t in templates)), max(_stretch(len(t.words)) for t in templates)
+    for block in candidate_blocks(text, reach, cue):
+        for words in pieces(block, reach):
+            found.update(winners(text, words, templates))
     out: list[Finding] = []
     for f in sorted(found, key=lambda f: (f.start - f.end, f.n_differences, -f.share, f.start, f.license)):
         if not any(f.start < o.end and o.start < f.end for o in out):
