@@ -32,9 +32,9 @@ from . import common
 #: Pages on which the classifier is fitted, about; only counts of feature patterns reach the driver.
 TRAIN_PAGES = 1000
 #: Elements whose content is not page text: scripts, styles, titles, inert templates and the parts of forms.
-HIDDEN = frozenset("script style noscript template iframe title form textarea select button option datalist".split())
+HIDDEN = frozenset("script style template title form textarea select button option datalist".split())
 #: Of these, the ones whose content is no markup, and those within which another of their kind cannot open.
-RAW = frozenset("script style noscript iframe title textarea".split())
+RAW = frozenset("script style title textarea".split())
 SINGLE = frozenset("form button select option".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form"
