@@ -7,7 +7,7 @@ smaller it gets. They are confirmed in that order by exact wording differences:
 with those of the piece, and a finding stands only if few words differ and none of the words that tell licenses apart
 (numbers, version letters). Words that a template has won are closed to templates that save clearly less; among those
 that save about the same, the longest wording, then the one of fewest differences stays. A template that saves little is
-still confirmed wherever no other has won, so nothing is lost to the ranking.
+still confirmed wherever no clearly better one has won the words.
 """
 
 from __future__ import annotations
