@@ -143,13 +143,20 @@ def split_at_cuts(chains: DataFrame, cuts: DataFrame, least: float = 6.0) -> Dat
 
 
 def nearest_mark(spans: DataFrame, marks: DataFrame, tolerance: float) -> DataFrame:
-    """Each span with the mark of its page nearest in y within `tolerance`; the earlier mark on a tie."""
+    """Each span with the mark of its page nearest in y within `tolerance`; the earlier mark on a tie.
+
+    Places (page, y) are looked up once, between the next marks below and above in their cell, so no place is paired with all marks about it.
+    """
     cell = tolerance * 2
-    m = marks.select("page", F.col("y").alias("my"), "mark_id").withColumn("b", F.explode(F.sequence(F.floor((F.col("my") - tolerance) / cell), F.floor((F.col("my") + tolerance) / cell))))
-    s = spans.withColumn("b", F.floor(F.col("y") / cell))
-    off = F.abs(F.col("y") - F.col("my"))
-    hit = s.join(m, ["page", "b"]).filter(off <= tolerance).groupBy("span_id").agg(F.min(F.struct(off.alias("off"), "mark_id")).alias("m"))
-    return spans.join(hit, "span_id", "left").select("span_id", "page", F.col("m.mark_id").alias("mark_id"), F.col("m.off").alias("off"))
+    first = marks.groupBy("page", F.col("y").alias("at")).agg(F.min("mark_id").alias("mark_id")).filter("at is not null")
+    m = first.withColumn("b", F.explode(F.sequence(F.floor((F.col("at") - tolerance) / cell), F.floor((F.col("at") + tolerance) / cell))))
+    p = spans.select("page", F.col("y").alias("at")).distinct().filter("at is not null").withColumn("b", F.floor(F.col("at") / cell))
+    rows = m.select("page", "b", "at", F.lit(0).alias("asks"), F.struct(F.col("at").alias("my"), "mark_id").alias("m")).unionByName(p.select("page", "b", "at", F.lit(1).alias("asks")), allowMissingColumns=True)
+    next_of = lambda *order: F.last("m", ignorenulls=True).over(Window.partitionBy("page", "b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    sides = rows.select("page", "at", "asks", next_of("at", "asks").alias("below"), next_of(F.desc("at"), "asks").alias("above")).filter("asks = 1")
+    reach = lambda side: F.when(F.abs(F.col("at") - F.col(f"{side}.my")) <= tolerance, F.struct(F.abs(F.col("at") - F.col(f"{side}.my")).alias("off"), F.col(f"{side}.mark_id").alias("mark_id")))
+    found = sides.select("page", F.col("at").alias("y"), F.least(reach("below"), reach("above")).alias("m"))
+    return spans.join(found, ["page", "y"], "left").select("span_id", "page", F.col("m.mark_id").alias("mark_id"), F.col("m.off").alias("off"))
 
 
 def reused_marks(items: DataFrame) -> DataFrame:
