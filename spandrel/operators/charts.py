@@ -3,7 +3,8 @@
 Positioned charts: columns are the islands of x that the cells of all rows leave, heads are joined to the columns
 that they overlap, so one that stands over several is the title of a group. Charts as lines: every printed head with
 every number of leading ratios is a layout; those that may hold for a run of rows compete, and the best stays.
-Windows run within a document or page; pairs meet by document, page and cell of x.
+Windows run within a document or page; pairs meet by document, page and cell of x. Positioned joins are merges: spans
+are often exploded from small files, whose size would pass for that of a table to broadcast.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ def heads_of(spans: DataFrame) -> DataFrame:
     rating = F.col("text").rlike(RATING)
     rows = spans.groupBy("document", "page", "row_no").agg(F.count_if(rating).alias("n"), F.min("y").alias("y"), F.max("y").alias("last"), F.max(F.col("text").rlike(r"^\d") & ~rating).alias("data"))
     first = rows.filter("n >= 2").groupBy("document", "page").agg(F.min(F.struct("y", "row_no")).alias("h"))
-    joined = rows.join(first, ["document", "page"])
+    joined = rows.join(first.hint("merge"), ["document", "page"])
     body = F.min(F.when((F.col("row_no") > F.col("h.row_no")) & F.col("data"), F.col("y")))
     per = joined.groupBy("document", "page", F.col("h.y").alias("head_y")).agg(body.alias("body"))
     return per.select("document", "page", "head_y", (F.col("head_y") - BAND).alias("band_top"), F.coalesce(F.col("body"), F.lit(float("inf"))).alias("body_y"))
@@ -48,7 +49,7 @@ def columns_of(spans: DataFrame, heads: DataFrame) -> DataFrame:
     the band belongs to the columns it overlaps: over one it is part of the column's name (a rating makes it a
     thickness column), over several it is their title. A column without any head keeps a null name.
     """
-    near = spans.join(heads, ["document", "page"])
+    near = spans.join(heads.hint("merge"), ["document", "page"])
     data = near.filter((F.col("y") >= F.col("body_y")) & (F.length("text") <= PROSE))
     order = Window.partitionBy("document", "page").orderBy("x0", "x1", "span_id")
     reach = F.max("x1").over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -56,7 +57,7 @@ def columns_of(spans: DataFrame, heads: DataFrame) -> DataFrame:
     columns = islands.groupBy("document", "page", "column").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"))
     band = near.filter((F.col("y") >= F.col("band_top")) & (F.col("y") < F.col("body_y"))).select("document", "page", "span_id", "y", "text", F.col("x0").alias("h0"), F.col("x1").alias("h1"))
     spread = columns.withColumn("b", _cells(F.col("x0"), F.col("x1")))
-    met = band.withColumn("b", _cells(F.col("h0"), F.col("h1"))).join(spread, ["document", "page", "b"]).filter("h0 <= x1 and h1 >= x0").drop("b").distinct()
+    met = band.withColumn("b", _cells(F.col("h0"), F.col("h1"))).join(spread.hint("merge"), ["document", "page", "b"]).filter("h0 <= x1 and h1 >= x0").drop("b").distinct()
     # a head belongs to all columns whose middle it covers, or else to the one that it overlaps most
     covers = ((F.col("h0") <= (F.col("x0") + F.col("x1")) / 2) & (F.col("h1") >= (F.col("x0") + F.col("x1")) / 2)).cast("int")
     share = F.least("x1", "h1") - F.greatest("x0", "h0")
@@ -70,7 +71,7 @@ def columns_of(spans: DataFrame, heads: DataFrame) -> DataFrame:
     )
     hours = rating_hours(F.col("rating"))
     kind = F.when(hours.isNotNull(), "thickness").when(F.col("name").rlike(RATIO), "ratio").when(F.col("name").rlike(r"(?i)\b(?:size|member|wt|dia|diameter)\b"), "label").otherwise("value")
-    return columns.join(named, ["document", "page", "column"], "left").select("document", "page", "column", "x0", "x1", "name", "title", hours.alias("hours"), F.coalesce(kind, F.lit("value")).alias("kind"))
+    return columns.join(named.hint("merge"), ["document", "page", "column"], "left").select("document", "page", "column", "x0", "x1", "name", "title", hours.alias("hours"), F.coalesce(kind, F.lit("value")).alias("kind"))
 
 
 def positioned_chart(spans: DataFrame) -> DataFrame:
@@ -90,17 +91,17 @@ def positioned_chart(spans: DataFrame) -> DataFrame:
     by_page = Window.partitionBy("document", "page").orderBy("x0")
     restart = F.coalesce((F.col("hours") <= F.lag("hours").over(by_page)) | ~F.col("title").eqNullSafe(F.lag("title").over(by_page)), F.lit(True))
     thick = columns.filter("kind = 'thickness'").withColumn("group_no", F.sum(restart.cast("int")).over(by_page)).select("document", "page", "column", "group_no")
-    columns = columns.join(thick, ["document", "page", "column"], "left")
+    columns = columns.join(thick.hint("merge"), ["document", "page", "column"], "left")
     prints = columns.filter("kind = 'thickness'").groupBy("document", "page").agg(F.array_sort(F.collect_list(F.struct("x0", "hours"))).alias("h")).select("document", "page", F.transform("h", lambda h: h["hours"]).alias("h"))
     first = Window.partitionBy("document").orderBy("page")
     good = prints.withColumn("same", F.col("h") == F.first("h").over(first)).select("document", "page", "same")
-    pages = rows.select("document", "page").distinct().join(good, ["document", "page"], "left")
+    pages = rows.select("document", "page").distinct().join(good.hint("merge"), ["document", "page"], "left")
     source = F.last(F.when(F.col("same"), F.col("page")), ignorenulls=True).over(first)
-    pages = pages.withColumn("source", source).filter(F.coalesce("same", F.lit(True)) & F.col("source").isNotNull()).join(heads.select("document", "page", "body_y"), ["document", "page"], "left")
+    pages = pages.withColumn("source", source).filter(F.coalesce("same", F.lit(True)) & F.col("source").isNotNull()).join(heads.select("document", "page", "body_y").hint("merge"), ["document", "page"], "left")
     long = F.max(F.length("text") > PROSE).over(Window.partitionBy("document", "page", "row_no"))
-    body = rows.withColumn("prose", long).filter("not prose").join(pages, ["document", "page"]).filter(F.col("body_y").isNull() | (F.col("y") >= F.col("body_y")))
+    body = rows.withColumn("prose", long).filter("not prose").join(pages.hint("merge"), ["document", "page"]).filter(F.col("body_y").isNull() | (F.col("y") >= F.col("body_y")))
     spread = columns.withColumnsRenamed({"page": "source", "x0": "c0", "x1": "c1"}).withColumn("b", _cells(F.col("c0") - GUTTER, F.col("c1") + GUTTER))
-    met = body.withColumn("b", _cells(F.col("x0"), F.col("x1"))).join(spread, ["document", "source", "b"]).filter(f"x0 <= c1 + {GUTTER} and x1 >= c0 - {GUTTER}")
+    met = body.withColumn("b", _cells(F.col("x0"), F.col("x1"))).join(spread.hint("merge"), ["document", "source", "b"]).filter(f"x0 <= c1 + {GUTTER} and x1 >= c0 - {GUTTER}")
     share = F.least("x1", "c1") - F.greatest("x0", "c0")
     found = met.groupBy("document", "page", "row_no", "span_id", "x0", "text").agg(F.max_by(F.struct("column", "kind", "name", "title", "hours", "group_no"), F.struct(share, -F.col("column"))).alias("c"))
     words = lambda when: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(when, F.struct("x0", "text")))), lambda w: w["text"]), " ")
