@@ -29,10 +29,10 @@ def ruled(urls: DataFrame, rules: DataFrame) -> DataFrame:
     r = rules.select(F.lower("host").alias("host"), "path", "allow").filter(F.length("path") > 0).groupBy("host", "path").agg(F.max("allow").alias("allow"))
     lengths = r.groupBy("host").agg(F.collect_set(F.length("path")).alias("lengths"))
     keyed = urls.select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("url_path")).distinct()
-    tried = keyed.join(lengths, "host").select("url", "host", "url_path", F.explode("lengths").alias("n")).filter(F.col("n") <= F.length("url_path"))
-    met = tried.withColumn("path", F.expr("left(url_path, n)")).join(r, ["host", "path"])
+    tried = keyed.join(lengths.hint("merge"), "host").select("url", "host", "url_path", F.explode("lengths").alias("n")).filter(F.col("n") <= F.length("url_path"))
+    met = tried.withColumn("path", F.expr("left(url_path, n)")).join(r.hint("merge"), ["host", "path"])
     best = met.groupBy("url").agg(F.max_by(F.struct("path", "allow"), "n").alias("r"))
-    return urls.join(best, "url", "left").withColumn("rule", F.col("r.path")).withColumn("allowed", F.coalesce("r.allow", F.lit(True))).drop("r")
+    return urls.join(best.hint("merge"), "url", "left").withColumn("rule", F.col("r.path")).withColumn("allowed", F.coalesce("r.allow", F.lit(True))).drop("r")
 
 
 def crawl(seeds: DataFrame, edges: DataFrame, rules: DataFrame, hosts: list[str], depth: int = 3, budget: int = 200) -> DataFrame:
@@ -40,7 +40,8 @@ def crawl(seeds: DataFrame, edges: DataFrame, rules: DataFrame, hosts: list[str]
 
     A url is met once, at its least depth. It is fetched if its host is listed, the longest rule allows it and its host has fetched
     fewer than `budget` pages; only fetched pages are followed, `depth` links deep. Within a depth a host takes its pages in order of
-    the least page that names them, the place there, and the url. The host list is a parameter and stays in the plan.
+    the least page that names them, the place there, and the url. The host list is a parameter and stays in the plan. Tables of urls
+    are merged, never broadcast.
     """
     listed = [h.lower() for h in hosts]
     level = seeds.select("url").distinct().withColumn("named", F.struct(F.lit("").alias("src"), F.lit(0).cast("long").alias("place")))
@@ -56,12 +57,12 @@ def crawl(seeds: DataFrame, edges: DataFrame, rules: DataFrame, hosts: list[str]
             ranked = ranked.join(used, "host", "left").filter(F.col("no") + F.coalesce("used", F.lit(0)) <= budget)
         fetched = ranked.select("url", F.lit(True).alias("within"))
         status = F.coalesce("reason", F.when(F.col("within"), "fetched"), F.lit("over budget"))
-        now = checkpointed(fresh.join(fetched, "url", "left").select("url", F.lit(d).alias("depth"), "host", "rule", status.alias("status")))
+        now = checkpointed(fresh.join(fetched.hint("merge"), "url", "left").select("url", F.lit(d).alias("depth"), "host", "rule", status.alias("status")))
         seen = now if seen is None else checkpointed(seen.unionByName(now))
         if d == depth:
             break
-        named = now.filter("status = 'fetched'").select(F.col("url").alias("src")).join(edges, "src").groupBy(F.col("dst").alias("url")).agg(F.min(F.struct("src", F.col("place").cast("long").alias("place"))).alias("named"))
-        level = checkpointed(named.join(seen.select("url"), "url", "left_anti"))
+        named = now.filter("status = 'fetched'").select(F.col("url").alias("src")).join(edges.hint("merge"), "src").groupBy(F.col("dst").alias("url")).agg(F.min(F.struct("src", F.col("place").cast("long").alias("place"))).alias("named"))
+        level = checkpointed(named.join(seen.select("url").hint("merge"), "url", "left_anti"))
         if level.isEmpty():
             break
     return seen
