@@ -185,3 +185,16 @@ def test_records_over_tables(spark):
     assert len(got["b"].tables) == 4 and len(got["b"].rows) == 7 and len(got["b"].equations) == 2 and len(got["b"].makers) == 1
     assert got["c"].design is None and [x.text for x in got["c"].unparsed] == ["Nothing known"]
     assert listing.parts(lines.limit(0)).count() == 0
+
+
+def test_documents_are_read_in_batches_and_answers_kept_are_bounded(spark, monkeypatch):
+    lines = spark.createDataFrame([("b", 0, "Design No. X101"), ("a", 1, "May 03, 2018"), ("a", 0, "Design No. X100"), (None, 0, "Design No. X102"), ("b", 1, None)], "document string, line_no int, text string")
+    found = listing.parts(lines)
+    assert "MapInArrow" in found._jdf.queryExecution().toString() and "PythonUDTF" not in found._jdf.queryExecution().toString()
+    got = {(r.document, r.kind, r.line_no, r.label) for r in found.collect()}
+    assert got == {("a", "design", 0, "X100"), ("a", "design_date", 1, "May 03, 2018"), ("b", "design", 0, "X101"), (None, "design", 0, "X102")}
+    assert listing.parts(lines.limit(0)).count() == 0
+    monkeypatch.setattr(listing, "KEPT", 3)
+    kept = listing.remembered(lambda s: s.upper())
+    assert [kept(s) for s in "abcdeabcde"] == list("ABCDEABCDE") and len(kept.__closure__[1].cell_contents) <= 3
+    assert kept("x" * 100) == "X" * 100 and "x" * 100 not in kept.__closure__[1].cell_contents
