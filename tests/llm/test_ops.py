@@ -841,3 +841,28 @@ def test_missing_columns_are_named(spark, docs):
     with pytest.raises(ValueError, match="text"):
         quality.judge(docs.drop("text"))
     assert common.shared_dir(spark)
+
+
+def test_weights_and_map_learn_from_every_training_token():
+    rng = np.random.default_rng(5)
+    for c in (np.array([1.0]), rng.zipf(1.3, 5000).clip(1, 10**6).astype(float), np.ones(700), np.array([10.0**6, 1, 1, 2])):
+        step, word, weight = lm_scoring.dealt(c)
+        assert set(word) == set(range(len(c))) and (np.diff(step) >= 0).all()
+        assert np.allclose(np.bincount(word, weight) / weight.sum(), c / c.sum())
+
+
+def test_a_bit_is_no_evidence_for_itself():
+    """Left out, one count of a bit's own gives the chances of the tables without it."""
+    rng = np.random.default_rng(6)
+    zeros, ones = ([rng.integers(0, 40, 1 << size) for size in lm_scoring.TABLE_BITS] for _ in range(2))
+    slots = [rng.integers(0, 1 << size, 500) for size in lm_scoring.TABLE_BITS]
+    own = rng.integers(0, 2, 500)
+    for z, o, s in zip(zeros, ones, slots):  # the bit was counted
+        z[s], o[s] = np.maximum(z[s], 1), np.maximum(o[s], 1)
+    full = lm_scoring.Model.blank([lm_scoring._quantized(*t) for t in zip(zeros, ones)], [z + o for z, o in zip(zeros, ones)])
+    x, gate = full.inputs(slots, 0, own)
+    for k, (z, o, s) in enumerate(zip(zeros, ones, slots)):
+        assert np.allclose(x[:, k], np.log((o[s] - own + 0.1) / (z[s] - (1 - own) + 0.1)))
+    once = lm_scoring.Model.blank([np.full(1 << size, lm_scoring._quantized(np.array([0]), np.array([1]))[0]) for size in lm_scoring.TABLE_BITS], [np.ones(1 << size, "<u2") for size in lm_scoring.TABLE_BITS])
+    x, gate = once.inputs(slots, 3, np.ones(500, int))
+    assert (x[:, :-1] == 0).all() and (gate == 3).all()
