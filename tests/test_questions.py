@@ -101,3 +101,17 @@ def test_verdicts_store_a_value_once(library, queries, monkeypatch):
 
 def test_reasons_are_counted_by_hash_first(library, queries):
     assert "[query_id#" in plan_of(resolve._reasons(queries, *library)).split("HashAggregate(keys=", 1)[1] and "fell#" in plan_of(resolve._reasons(queries, *library))
+
+
+def test_reports_store_no_rows_of_their_own(spark, library, monkeypatch):
+    listing, charts = library
+    sheets = spark.createDataFrame([(1, "MK-6 Inc", [("S1", 1.0)]), (2, None, [])], "sheet_no int, product_name string, designs array<struct<design:string,rating_hr:double>>")
+    items = spark.createDataFrame([(k, 1 + k % 2, "W8X12", "l", "beam", 3, 0.75) for k in range(20)], "item_id int, sheet_no int, canonical_section string, member_label string, role string, sides int, thickness_in double")
+    stored = stored_by(monkeypatch)
+    got = checks.bid_report(sheets, items, listing, charts).groupBy("verdict").count().collect()
+    assert sorted(tuple(r) for r in got) == [("match", 10), ("no-design", 10)] and stored == [2]
+    legend = spark.createDataFrame([(k, "MK-6 Inc", "W8X12", "joist" if k % 2 else "beam", None, "S1", None, None, 1.0, 0.75, 3) for k in range(20)], "row_id int, product_hint string, canonical string, role string, joist_depth_in double, design string, design_suffix string, design_tokens array<string>, hours double, thickness_in double, sides int")
+    legend = legend.withColumn("thickness_in", F.when(F.col("row_id") < 12, F.col("thickness_in")))
+    del stored[:]
+    got = checks.drawing_report(legend, listing, charts).groupBy("verdict", "status").count().collect()
+    assert sorted((r["verdict"], r["status"] or "", r["count"]) for r in got) == [("match", "resolved", 12), ("skipped", "", 8)] and stored == [4]
