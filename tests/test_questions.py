@@ -115,3 +115,9 @@ def test_reports_store_no_rows_of_their_own(spark, library, monkeypatch):
     del stored[:]
     got = checks.drawing_report(legend, listing, charts).groupBy("verdict", "status").count().collect()
     assert sorted((r["verdict"], r["status"] or "", r["count"]) for r in got) == [("match", "resolved", 12), ("skipped", "", 8)] and stored == [4]
+
+
+def test_counted_resolutions_are_of_questions(library, queries):
+    counted = resolve.resolve_counted(queries, *library)
+    each = {r["status"]: r["count"] for r in resolve.resolve(queries, *library).groupBy("status").count().collect()}
+    assert counted.count() == 6 and {r["status"]: r["n"] for r in counted.groupBy("status").agg(F.sum("times").alias("n")).collect()} == each
