@@ -129,14 +129,19 @@ def forward_fill(rows: DataFrame, by: list[str], order: list[str], column: str)
 
 def split_at_cuts(chains: DataFrame, cuts: DataFrame, least: float = 6.0) -> DataFrame:
     """Chains cut at points along them; a cut that would leave a piece shorter than `least` is passed over."""
-    cells = F.sequence(F.floor(F.col("x0") / 256), F.floor(F.col("x1") / 256))
-    spread = chains.withColumn("b", F.explode(cells))
-    at = cuts.select("page", "y", F.col("x").alias("cut"), F.floor(F.col("x") / 256).alias("b")).distinct()
-    hit = spread.join(at, ["page", "y", "b"]).filter((F.col("cut") > F.col("x0")) & (F.col("cut") < F.col("x1")))
     key = ["page", "y", "dashed", "x0", "x1"]
-    marks = hit.groupBy(*key).agg(F.array_sort(F.collect_set("cut")).alias("cuts"))
-    joined = chains.select(*key).join(marks, key, "left")
-    room = F.filter(F.coalesce("cuts", F.array().cast("array<double>")), lambda c: F.col("x1") - c >= least)
+    cells = F.sequence(F.floor(F.col("x0") / 256), F.floor(F.col("x1") / 256))
+    # a chain goes through the cuts once: of each cell it takes those within it, and its cells are put together again
+    spread = chains.select(*key, F.posexplode_outer(cells).alias("part", "b"))
+    at = cuts.groupBy("page", "y", F.floor(F.col("x") / 256).alias("b")).agg(F.collect_set("x").alias("at"))
+    within = F.filter(F.coalesce("at", F.array().cast("array<double>")), lambda c: (c > F.col("x0")) & (c < F.col("x1")))
+    parts = spread.join(at, ["page", "y", "b"], "left").select(*key, F.coalesce("part", F.lit(0)).alias("part"), within.alias("cuts"))
+    # most chains lie in one cell, which is all of them
+    alone = F.floor(F.col("x0") / 256).eqNullSafe(F.floor(F.col("x1") / 256))
+    wide = parts.filter(~alone).groupBy(*key).agg(F.array_distinct(F.flatten(F.collect_list("cuts"))).alias("cuts"), F.count_if(F.col("part") == 0).alias("copies"))
+    wide = wide.select(*key, "cuts", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("col")
+    joined = parts.filter(alone).select(*key, "cuts").unionByName(wide)
+    room = F.filter(F.array_sort("cuts"), lambda c: F.col("x1") - c >= least)
     keep = spaced(F.concat(F.array("x0"), room), F.lit(float(least)))
     ends = joined.withColumn("starts", keep)
     return ends.select(*key, F.posexplode(F.arrays_zip(F.col("starts").alias("p0"), F.concat(F.slice("starts", F.lit(2), F.size("starts")), F.array("x1")).alias("p1"))).alias("piece", "z")).select(*key, "piece", F.col("z.p0").alias("p0"), F.col("z.p1").alias("p1"))

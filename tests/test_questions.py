@@ -128,3 +128,14 @@ def test_assignments_are_read_from_their_own_row(spark, sf_dir):
 
     plan = plan_of(QUERIES["assign_resolved"](spark, sf_dir))
     assert not any("Join" in line and "assertion_id" in line for line in plan.splitlines())
+
+
+def test_chains_of_several_cells_are_cut_once(spark):
+    from spandrel.operators import takeoff
+
+    rows = [(1, 5.0, False, 0.0, 600.0), (1, 5.0, False, 0.0, 600.0), (1, 5.0, None, 10.0, 90.0), (2, 5.0, True, 0.0, 300.0)]
+    chains = spark.createDataFrame(rows, "page int, y double, dashed boolean, x0 double, x1 double")
+    cuts = spark.createDataFrame([(1, 5.0, 50.0), (1, 5.0, 52.0), (1, 5.0, 512.0), (1, 5.0, 50.0), (1, 5.0, 597.0)], "page int, y double, x double")
+    found = takeoff.split_at_cuts(chains, cuts)
+    got = sorted((r.page, r.x1, r.piece, r.p0, r.p1) for r in found.collect())
+    assert got == sorted([(1, 600.0, p, a, b) for p, a, b in ((0, 0.0, 50.0), (1, 50.0, 512.0), (2, 512.0, 600.0)) for _ in range(2)] + [(1, 90.0, 0, 10.0, 50.0), (1, 90.0, 1, 50.0, 90.0), (2, 300.0, 0, 0.0, 300.0)])
